@@ -1,0 +1,20 @@
+"""Key lookup of a large log against a table with one row per key."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+DEFAULT_SALTS = 32
+
+
+def salted_lookup(facts: DataFrame, table: DataFrame, key: str, row_id: str, salts: int = DEFAULT_SALTS) -> DataFrame:
+    """Left join of ``facts`` onto ``table`` with frequent keys spread over ``salts`` tasks.
+
+    ``row_id`` is unique in ``facts`` and decides the salt, so a retried task
+    sends its rows to the same place. Each table row is copied once per salt; the
+    table is the small side. Spark still broadcasts it where its size allows.
+    """
+    salted_facts = facts.withColumn("_salt", F.pmod(F.xxhash64(row_id), F.lit(salts)).cast("int"))
+    copies = table.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
+    return salted_facts.join(copies, [key, "_salt"], "left").drop("_salt")
