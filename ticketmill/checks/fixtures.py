@@ -15,8 +15,6 @@ TOKENS = {
     "$TEXT": ("STRING", "VARCHAR"),
     "$NTZ": ("TIMESTAMP_NTZ", "TIMESTAMP"),
     "$PROPS_K": ("get_json_object(props, '$.k')", "(props::JSON->>'$.k')"),
-    "$OPEN_SECONDS": ("make_dt_interval(0, 0, 0, $X)", "to_seconds($X)"),
-    "$CLOSE_SECONDS": ("make_dt_interval(0, 0, 0, $Y)", "to_seconds($Y)"),
     "$TAB": ("char(9)", "chr(9)"),
     "$NEWLINE": ("char(10)", "chr(10)"),
 }
@@ -61,7 +59,7 @@ TICKETS = Fixture(
         "subject": "CASE WHEN event_id % 7 = 0 THEN NULL ELSE concat('Case ', CAST(event_id AS $TEXT)) END",
         "content": "CASE WHEN event_id % 5 = 0 THEN NULL ELSE concat('Reservación \"', event_type, '\"') END",
         "created_at": "CASE WHEN event_id % 101 = 0 THEN NULL ELSE ts END",
-        "closed_at": "CASE WHEN event_id % 97 = 0 THEN NULL ELSE ts + $OPEN_SECONDS END",
+        "closed_at": "CASE WHEN event_id % 97 = 0 THEN NULL ELSE ts + ($X) * INTERVAL 1 SECOND END",
         "itinerary_number": "CASE WHEN event_id % 6 = 0 THEN 'N/A' ELSE concat('IT-', CAST(user_id AS $TEXT)) END",
         "source": "CASE WHEN event_id % 4 = 0 THEN 'Email' WHEN event_id % 4 = 1 THEN ' Chat ' "
         "WHEN event_id % 4 = 2 THEN 'Phone' WHEN event_id % 8 = 3 THEN '  ' ELSE NULL END",
@@ -86,8 +84,8 @@ WIDE_TICKETS = Fixture(
         "hubspot_ticket_id": "concat_ws('-', CAST(l_orderkey AS $TEXT), CAST(l_linenumber AS $TEXT), "
         "CAST(l_partkey AS $TEXT), CAST(l_suppkey AS $TEXT))",
         "subject": "CAST(l_orderkey AS $TEXT)",
-        "created_at": "l_shipdate + $OPEN_SECONDS",
-        "closed_at": "l_shipdate + $CLOSE_SECONDS",
+        "created_at": "l_shipdate + ($X) * INTERVAL 1 SECOND",
+        "closed_at": "l_shipdate + ($Y) * INTERVAL 1 SECOND",
         "owner_id": "CAST(l_suppkey AS $TEXT)",
         "owner_name": "concat('Agent ', CAST(l_suppkey AS $TEXT))",
         "source": "l_returnflag",
@@ -187,10 +185,10 @@ USERS = Fixture(
         "token": "CASE WHEN c_custkey % 4 = 2 THEN NULL WHEN c_custkey % 5 < 3 "
         "THEN concat('tok-', CAST(c_custkey % 3 AS $TEXT)) ELSE NULL END",
         "token_expires_at": "CASE WHEN c_custkey % 19 = 0 THEN NULL WHEN c_custkey % 4 <> 2 AND c_custkey % 5 < 3 "
-        "THEN CAST('2024-01-01 12:00:00' AS $NTZ) + $OPEN_SECONDS ELSE NULL END",
+        "THEN CAST('2024-01-01 12:00:00' AS $NTZ) + ($X) * INTERVAL 1 SECOND ELSE NULL END",
         "created_at": "CASE WHEN c_custkey % 17 = 0 THEN NULL "
-        "ELSE CAST('2023-12-01 08:00:00' AS $NTZ) + $OPEN_SECONDS END",
-        "updated_at": "CAST('2023-12-15 09:30:00' AS $NTZ) + $OPEN_SECONDS",
+        "ELSE CAST('2023-12-01 08:00:00' AS $NTZ) + ($X) * INTERVAL 1 SECOND END",
+        "updated_at": "CAST('2023-12-15 09:30:00' AS $NTZ) + ($X) * INTERVAL 1 SECOND",
     },
     where="c_custkey % 11 <> 0",
     values=(("$X", "(c_custkey * 7919) % 1728000"),),

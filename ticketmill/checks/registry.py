@@ -190,7 +190,8 @@ def _stream_ingest(spark, sf_dir):
     for batch in range(4):
         lines.where(F.col("batch_id") == batch).select("pos", "line").write.mode("append").json(f"{base}/landing")
         arriving = stream_ingest.read_line_stream(spark, f"{base}/landing")
-        run = stream_ingest.stream_ingest(arriving, f"{base}/tickets", f"{base}/rejects", f"{base}/checkpoint")
+        folders = [f"{base}/{name}" for name in ("tickets", "rejects", "staging", "checkpoint")]
+        run = stream_ingest.stream_ingest(arriving, *folders)
         run.awaitTermination()
     stored = spark.read.schema(ingest.STORED).parquet(f"{base}/tickets")
     return stored.select(*TICKETS.fieldNames(), "pos", F.col("ingest_id").alias("batch_id"))

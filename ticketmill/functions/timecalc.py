@@ -14,7 +14,7 @@ from zoneinfo import ZoneInfo
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-MONDAY = "1970-01-05"  # any Monday; weekday counts start here
+MONDAY = 4  # 1970-01-05 as days since 1970-01-01; any Monday will do
 
 
 @dataclass(frozen=True)
@@ -64,15 +64,22 @@ def utc_now() -> datetime:
 
 def wall_clock(instant: Column, tz: str = "UTC") -> Column:
     """A TIMESTAMP column as wall-clock TIMESTAMP_NTZ in ``tz``, whatever the session zone."""
-    since_epoch = F.unix_micros(instant).cast("decimal(18,0)") / F.lit(1000000).cast("decimal(7,0)")
-    utc = ntz_literal(date(1970, 1, 1)) + F.make_dt_interval(secs=since_epoch.cast("decimal(18,6)"))
+    utc = ntz_literal(date(1970, 1, 1)) + F.unix_micros(instant) * F.expr("interval '0.000001' second")
     return utc if tz == "UTC" else F.convert_timezone(F.lit("UTC"), F.lit(tz), utc)
 
 
+def _whole(span: Column) -> Column:
+    """Whole seconds of an interval, cut toward zero."""
+    return span.cast("interval second").cast("bigint")
+
+
+def _half_second() -> Column:
+    return F.expr("interval '0.5' second")
+
+
 def whole_seconds(start: Column, end: Column) -> Column:
-    """Seconds from ``start`` to ``end``, halves rounded away from zero."""
-    exact = (end - start).cast("interval day to second").cast("interval second").cast("decimal(18,6)")
-    return F.round(exact, 0).cast("bigint")
+    """Seconds from ``start`` to a later ``end``, halves rounded up."""
+    return _whole(end - start + _half_second())
 
 
 def day_of(ts: Column) -> Column:
@@ -94,20 +101,33 @@ def at_time(day: Column, seconds: int) -> Column:
 
 
 def _days_since_monday(day: Column) -> Column:
-    return F.datediff(day, F.lit(MONDAY).cast("date"))
+    return F.unix_date(day) - MONDAY
+
+
+def _day_of_week(day: Column) -> Column:
+    """Day of week with Monday = 0."""
+    return F.pmod(_days_since_monday(day), F.lit(7))
+
+
+def _working_days_started(in_week: Column, hours: WorkingHours) -> Column:
+    """Working days of a week before its day number ``in_week``."""
+    days = sorted(set(hours.weekdays))
+    if days == list(range(len(days))):
+        return F.least(in_week, F.lit(len(days)))
+    return reduce(lambda a, b: a + b, [(in_week > w).cast("int") for w in days], F.lit(0))
 
 
 def is_working_day(day: Column, hours: WorkingHours = STANDARD_HOURS) -> Column:
-    return F.weekday(day).isin(*hours.weekdays)
+    days = sorted(set(hours.weekdays))
+    in_week = _day_of_week(day)
+    return in_week < len(days) if days == list(range(len(days))) else in_week.isin(*days)
 
 
 def working_days_before(day: Column, hours: WorkingHours = STANDARD_HOURS) -> Column:
     """Working days from the fixed Monday up to, not including, ``day`` (negative before it)."""
-    n = _days_since_monday(day)
-    in_week = F.pmod(n, F.lit(7))
-    whole_weeks = F.call_function("div", n - in_week, F.lit(7))
-    started = [(in_week > w).cast("int") for w in sorted(set(hours.weekdays))]
-    return whole_weeks * len(started) + reduce(lambda a, b: a + b, started, F.lit(0))
+    in_week = _day_of_week(day)
+    whole_weeks = F.call_function("div", _days_since_monday(day) - in_week, F.lit(7))
+    return whole_weeks * len(set(hours.weekdays)) + _working_days_started(in_week, hours)
 
 
 def seconds_in_window(day: Column, created: Column, closed: Column, hours: WorkingHours = STANDARD_HOURS) -> Column:
@@ -127,12 +147,24 @@ def business_seconds(created: Column, closed: Column, hours: WorkingHours = STAN
     """Working seconds between two wall-clock times; NULL where ``has_open_days`` is false.
 
     Only the first and last day can be partial; the days between are counted
-    from their dates. No row per day is made.
+    from their dates, so no row per day is made. Each day is rounded on its own,
+    halves up: opening and closing times are whole seconds, so a part that
+    starts at a time rounds that time half down, and one that ends at a time
+    rounds it half up. It is all BIGINT arithmetic, to keep generated code small.
     """
     first, last = day_of(created), day_of(closed)
     full_day = hours.close_seconds - hours.open_seconds
-    between = working_days_before(last, hours) - working_days_before(F.date_add(first, 1), hours)
-    ends = seconds_in_window(first, created, closed, hours) + seconds_in_window(last, created, closed, hours)
+    just_below_half = F.expr("interval '0.499999' second")
+    starts = _whole(created - first.cast("timestamp_ntz") + just_below_half)
+    ends = _whole(closed - last.cast("timestamp_ntz") + _half_second())
+
+    def part(seconds: Column) -> Column:
+        return F.greatest(F.least(seconds, F.lit(full_day).cast("bigint")), F.lit(0).cast("bigint"))
+
+    none = F.lit(0).cast("bigint")
+    missed_on_first = F.when(is_working_day(first, hours), part(hours.close_seconds - starts) - full_day).otherwise(none)
+    worked_on_last = F.when(is_working_day(last, hours), part(ends - hours.open_seconds)).otherwise(none)
+    days_from_first = (working_days_before(last, hours) - working_days_before(first, hours)).cast("bigint")
     return F.when(first == last, seconds_in_window(first, created, closed, hours)).when(
-        first < last, ends + between.cast("bigint") * full_day
+        first < last, days_from_first * full_day + missed_on_first + worked_on_last
     )

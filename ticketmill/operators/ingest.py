@@ -79,14 +79,19 @@ def stored_before(spark: SparkSession, path: str, ingest_id: int) -> DataFrame:
     return stored.where(F.col("ingest_id") < ingest_id)
 
 
-def ingest_lines(raw: DataFrame, table: str, rejects: str, ingest_id: int, tz: str = "UTC") -> None:
+def ingest_lines(raw: DataFrame, table: str, rejects: str, staging: str, ingest_id: int, tz: str = "UTC") -> None:
     """Parse one batch (``pos``, ``line``) and store its new tickets and its bad rows.
 
-    Each ingest owns one folder and compares with earlier ones only. Running it
-    again replaces that folder with the same rows, also after a partial write.
+    The parsed rows are written once and read back by column, since choosing the
+    new ones needs the keys twice. Each ingest owns one folder in each table and
+    compares with earlier ones only. Running it again replaces those folders
+    with the same rows, also after a partial write.
     """
     spark = raw.sparkSession
-    valid, rejected = split_ticket_rows(parse_ticket_rows(raw.select("pos", "line"), tz))
+    parsed = parse_ticket_rows(raw.select("pos", "line"), tz)
+    folder = f"ingest_id={ingest_id}"
+    parsed.write.mode("overwrite").parquet(f"{staging}/{folder}")
+    valid, rejected = split_ticket_rows(spark.read.schema(parsed.schema).parquet(f"{staging}/{folder}"))
     fresh = insert_if_absent(valid, stored_before(spark, table, ingest_id), TICKET_KEY, ["pos"])
-    fresh.select(*TICKETS.fieldNames(), "pos").write.mode("overwrite").parquet(f"{table}/ingest_id={ingest_id}")
-    rejected.write.mode("overwrite").parquet(f"{rejects}/ingest_id={ingest_id}")
+    fresh.select(*TICKETS.fieldNames(), "pos").write.mode("overwrite").parquet(f"{table}/{folder}")
+    rejected.write.mode("overwrite").parquet(f"{rejects}/{folder}")

@@ -14,44 +14,47 @@ BAD_TIME = "invalid input syntax for type timestamp with time zone"
 BAD_JSON = "línea JSON inválida"
 NOT_OBJECT = "se esperaba un objeto JSON"
 
-_STARTS_WITH_DATE = r"^\s*\d{4}-\d{1,2}-\d{1,2}"
-_ENDS_WITH_ZONE = r":.*([Zz]|[+-]\d{1,2}(:?\d{2})?)\s*$"
+TIME_COLUMNS = ("created_at", "closed_at")
 
 
-def _value(key: str) -> Column:
-    """The value under a key as a variant: NULL where the key is absent, JSON null where it is null."""
-    return F.variant_get("doc", f"$.{key}", "variant")
+def _text(key: str) -> Column:
+    """Text of the value under a key; NULL where the key is absent or null."""
+    return F.col(f"doc.{key}")
 
 
-def _text(key: str) -> Column:
-    return F.try_variant_get("doc", f"$.{key}", "string")
+def _is_present(key: str) -> Column:
+    """True where the key is there, also with a JSON null."""
+    return F.array_contains("keys", key)
 
 
-def _text_or_default(key: str) -> Column:
-    """Text under a key; the default fills in for an absent key only, not for null."""
-    if key not in TEXT_DEFAULTS:
-        return _text(key)
-    return F.when(_value(key).isNull(), F.lit(TEXT_DEFAULTS[key])).otherwise(_text(key))
+def _field(name: str) -> Column:
+    """A text column; a default fills in for an absent key only, not for null."""
+    if name == "raw_hubspot":
+        return F.when(_is_present(name), F.coalesce(_text(name), F.lit("null"))).otherwise(F.lit("{}"))
+    if name in TEXT_DEFAULTS:
+        return F.when(_is_present(name), _text(name)).otherwise(F.lit(TEXT_DEFAULTS[name]))
+    return _text(name)
 
 
-def _is_empty_value(key: str) -> Column:
-    """Absent, null, empty text, zero, false, or an empty list or object."""
-    kind, text = F.schema_of_variant(_value(key)), _text(key)
-    is_zero = F.coalesce(text.try_cast("double") == 0, F.lit(False))
-    return (
-        F.when(text.isNull(), F.lit(True))
-        .when(kind == "STRING", text == "")
-        .otherwise(is_zero | text.isin("false", "[]", "{}"))
-    )
+def _time(text: Column, tz: str) -> Column:
+    """Wall-clock time in ``tz``; text that names its own zone is converted. NULL unless it has a full date."""
+    trimmed = F.trim(text)
+    has_date = (F.substring(trimmed, 5, 1) == "-") & (F.substring_index(trimmed, "-", 2) != trimmed)
+    zone = F.translate(F.substring(trimmed, 12, 64), "0123456789:. ", "")
+    zoned = wall_clock(trimmed.try_cast("timestamp"), tz)
+    return F.when(has_date, F.when(zone != "", zoned).otherwise(trimmed.try_cast("timestamp_ntz")))
 
 
-def _time(key: str, tz: str) -> Column:
-    """Wall-clock time in ``tz``; text that carries its own zone is converted."""
-    text = _text(key)
-    zoned = wall_clock(text.try_cast("timestamp"), tz)
-    return F.when(
-        text.rlike(_STARTS_WITH_DATE),
-        F.when(text.rlike(_ENDS_WITH_ZONE), zoned).otherwise(text.try_cast("timestamp_ntz")),
+def _is_empty_value(text: Column) -> Column:
+    """Absent, null, empty text, zero, false, or an empty list or object.
+
+    Text that looks like one of the last is looked up in the line again, to
+    tell the number 0 from the text "0"; hardly any row needs that.
+    """
+    looks_empty = text.isin("false", "[]", "{}") | (text.try_cast("double") == 0)
+    kind = F.schema_of_variant(F.try_variant_get(F.try_parse_json("line"), f"$.{TICKET_KEY}", "variant"))
+    return F.coalesce(text, F.lit("")).isin("") | F.when(F.coalesce(looks_empty, F.lit(False)), kind != "STRING").otherwise(
+        F.lit(False)
     )
 
 
@@ -62,17 +65,17 @@ def _error(row_number: Column) -> Column:
         return F.concat(F.lit("Ticket "), subject, F.lit(": "), *message)
 
     place = row_number.cast("string")
+    unreadable = F.when(F.try_parse_json("line").isNull(), F.lit(BAD_JSON)).otherwise(F.lit(NOT_OBJECT))
     bad_time = [
         F.when(
             _text(key).isNotNull() & F.col(key).isNull(),
             fault(_text(TICKET_KEY), F.lit(f'{BAD_TIME}: "'), _text(key), F.lit('"')),
         )
-        for key in ("created_at", "closed_at")
+        for key in TIME_COLUMNS
     ]
     return F.coalesce(
-        F.when(F.col("doc").isNull(), fault(place, F.lit(BAD_JSON))),
-        F.when(~F.startswith(F.schema_of_variant("doc"), F.lit("OBJECT")), fault(place, F.lit(NOT_OBJECT))),
-        F.when(_is_empty_value(TICKET_KEY), fault(place, F.lit(MISSING_ID))),
+        F.when(F.col("keys").isNull(), fault(place, unreadable)),
+        F.when(_is_empty_value(_text(TICKET_KEY)), fault(place, F.lit(MISSING_ID))),
         *bad_time,
     )
 
@@ -84,16 +87,18 @@ def parse_ticket_rows(raw: DataFrame, tz: str = "UTC") -> DataFrame:
     are passed through.
     """
     kept = [c for c in raw.columns if c != "line"]
-    fields = []
-    for name in TICKETS.fieldNames():
-        if name in ("created_at", "closed_at"):
-            fields.append(_time(name, tz).alias(name))
-        elif name == "raw_hubspot":
-            fields.append(F.coalesce(F.to_json(_value(name)), F.lit("{}")).alias(name))
-        else:
-            fields.append(_text_or_default(name).alias(name))
-    parsed = raw.select(*kept, "line", F.try_parse_json("line").alias("doc")).select(*kept, "line", "doc", *fields)
-    return parsed.withColumn("error", _error(F.col("pos"))).drop("doc")
+    names = TICKETS.fieldNames()
+    text_schema = ", ".join(f"{name} STRING" for name in names)
+    # Absent and null keys look the same in a parsed struct, so the key names are read too.
+    documents = raw.select(
+        *kept, "line", F.from_json("line", text_schema).alias("doc"), F.json_object_keys("line").alias("keys")
+    )
+    columns = [_time(_text(n), tz).alias(n) if n in TIME_COLUMNS else _field(n).alias(n) for n in names]
+    rows = documents.select(*kept, "line", "doc", "keys", *columns)
+    # A filter on ``error`` would be pushed below the parse and repeat it for every key
+    # it reads. It does not pass a generator, so each line is parsed and judged once.
+    checked = F.struct(*kept, "line", *names, _error(F.col("pos")).alias("error"))
+    return rows.select(F.explode(F.array(checked)).alias("row")).select("row.*")
 
 
 def split_ticket_rows(rows: DataFrame) -> tuple[DataFrame, DataFrame]:
