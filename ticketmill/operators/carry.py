@@ -8,32 +8,30 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 DEFAULT_SPAN = 1 << 16
+BLOCK = "_block"
 
 
-def carry_forward(
-    log: DataFrame, key: str, order: str, columns: Sequence[str], span: int = DEFAULT_SPAN, prefix: str = "prior_"
-) -> DataFrame:
+def in_blocks(log: DataFrame, order: str, span: int = DEFAULT_SPAN) -> DataFrame:
+    """Number the blocks of ``span`` order values; ``order`` is a BIGINT."""
+    return log.withColumn(BLOCK, F.call_function("div", F.col(order), F.lit(span).cast("bigint")))
+
+
+def carry_forward(rows: DataFrame, key: str, order: str, columns: Sequence[str], prefix: str = "prior_") -> DataFrame:
     """Add, for each column, its last non-NULL value in earlier rows of the same key.
 
-    ``order`` is a BIGINT that is unique within a key. One plain window per key
-    would put a whole history into one task. Here the history is cut into blocks
-    of ``span`` order values, so no task sorts more than a block; one summary row
-    per block carries values from block to block.
+    ``rows`` come from ``in_blocks`` and ``order`` is unique within a key. One
+    plain window per key would put a whole history into one task. Here no task
+    sorts more than a block; one summary row per block carries values from block
+    to block. The blocks stay in place, so a second pass needs no new shuffle.
     """
-    block = F.call_function("div", F.col(order), F.lit(span).cast("bigint"))
-    rows = log.withColumn("_block", block)
     latest = [F.max_by(c, F.when(F.col(c).isNotNull(), F.col(order))).alias(f"_last_{c}") for c in columns]
-    earlier_blocks = Window.partitionBy(key).orderBy("_block").rowsBetween(Window.unboundedPreceding, -1)
-    blocks = (
-        rows.groupBy(key, "_block")
-        .agg(*latest)
-        .select(
-            key, "_block", *[F.last(f"_last_{c}", ignorenulls=True).over(earlier_blocks).alias(f"_in_{c}") for c in columns]
-        )
-    )
-    earlier_rows = Window.partitionBy(key, "_block").orderBy(order).rowsBetween(Window.unboundedPreceding, -1)
+    earlier_blocks = Window.partitionBy(key).orderBy(BLOCK).rowsBetween(Window.unboundedPreceding, -1)
+    carried_in = [F.last(f"_last_{c}", ignorenulls=True).over(earlier_blocks).alias(f"_in_{c}") for c in columns]
+    blocks = rows.groupBy(key, BLOCK).agg(*latest).select(key, BLOCK, *carried_in)
+
+    earlier_rows = Window.partitionBy(key, BLOCK).orderBy(order).rowsBetween(Window.unboundedPreceding, -1)
     carried = [
         F.coalesce(F.last(c, ignorenulls=True).over(earlier_rows), F.col(f"_in_{c}")).alias(f"{prefix}{c}")
         for c in columns
     ]
-    return rows.join(blocks, [key, "_block"], "left").select(*log.columns, *carried)
+    return rows.join(blocks, [key, BLOCK], "left").select(*rows.columns, *carried)

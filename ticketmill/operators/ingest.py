@@ -16,11 +16,10 @@ from ticketmill.sources.schemas import TICKET_KEY, TICKETS
 def known_keys(keys: DataFrame, existing: DataFrame, key: str) -> DataFrame:
     """Those keys that the existing table already holds.
 
-    A semi join on the batch's distinct keys: a batch whose keys are small is
-    broadcast after its size is known, and the large table is then only scanned
-    for its key column, not shuffled.
+    A semi join on the batch's distinct ``keys``: when Spark finds them small enough
+    to broadcast, the large table is only scanned for its key column, not shuffled.
     """
-    return existing.select(key).join(keys.select(key).distinct(), key, "left_semi")
+    return existing.select(key).join(keys.select(key), key, "left_semi")
 
 
 def insert_if_absent(
@@ -28,12 +27,15 @@ def insert_if_absent(
 ) -> DataFrame:
     """Rows to append: the first row per key by ``order_cols``, if the key is not there yet.
 
+    The key column is required, so rows without one are never inserted.
+
     ``rank = 1`` plans as a group limit before the shuffle, so a key that fills
     much of the batch leaves one row per task.
     """
     by_key = Window.partitionBy(key).orderBy(*order_cols)
-    first = new.withColumn("_rank", F.row_number().over(by_key)).where("_rank = 1").drop("_rank")
-    return first.join(known_keys(new, existing, key), key, "left_anti")
+    keyed = new.where(F.col(key).isNotNull())
+    first = keyed.withColumn("_rank", F.row_number().over(by_key)).where("_rank = 1").drop("_rank")
+    return first.join(known_keys(first, existing, key), key, "left_anti")
 
 
 def tag_rows(

@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 from ticketmill.functions.access import ROLES, STATUSES, email_in_domain, normalize_email
 from ticketmill.functions.text import strip
 from ticketmill.functions.timecalc import ntz_literal
-from ticketmill.operators.carry import DEFAULT_SPAN, carry_forward
+from ticketmill.operators.carry import DEFAULT_SPAN, carry_forward, in_blocks
 
 INVITATION_LIFE = timedelta(days=7)  # fixed value
 
@@ -87,7 +87,7 @@ def judge_commands(
 ) -> DataFrame:
     """Every command with ``reason`` (NULL when accepted) and ``effective`` (it changed the user)."""
     cmd, seq = F.col("cmd"), F.col("seq")
-    rows = _with_start(commands, start).withColumn("fault", _fault_of_command(domain))
+    rows = in_blocks(_with_start(commands, start), "seq", span).withColumn("fault", _fault_of_command(domain))
     sound = F.col("fault").isNull()
     makes_user = sound & cmd.isin("invite", "seed")
     sets_token = makes_user | (sound & (cmd == "set_status") & (F.col("status") == "revoked"))
@@ -103,7 +103,7 @@ def judge_commands(
             "user_state": F.when(makes_user, F.lit(True)),
         }
     )
-    rows = carry_forward(rows, "email", "seq", ["token_state", "role_state", "user_state"], span)
+    rows = carry_forward(rows, "email", "seq", ["token_state", "role_state", "user_state"])
 
     known = F.coalesce("prior_user_state", F.lit(False))
     issued = F.col("prior_token_state")
@@ -113,7 +113,7 @@ def judge_commands(
         "used_state", F.when(F.col("matches") & ~F.col("expired"), issued["seq"])
     )
     # The token is gone when an earlier accept succeeded against the same invitation.
-    rows = carry_forward(rows, "email", "seq", ["used_state"], span)
+    rows = carry_forward(rows, "email", "seq", ["used_state"])
     used = F.coalesce(F.col("prior_used_state") == F.col("prior_token_state.seq"), F.lit(False))
 
     reason = F.coalesce(
