@@ -82,7 +82,8 @@ WIDE_TICKETS = Fixture(
     "lineitem",
     {
         "hubspot_ticket_id": "concat_ws('-', CAST(l_orderkey AS $TEXT), CAST(l_linenumber AS $TEXT), "
-        "CAST(l_partkey AS $TEXT), CAST(l_suppkey AS $TEXT))",
+        "CAST(l_partkey AS $TEXT), CAST(l_suppkey AS $TEXT), CAST(CAST(l_quantity AS BIGINT) AS $TEXT), "
+        "substring(CAST(l_shipdate AS $TEXT), 1, 10))",
         "subject": "CAST(l_orderkey AS $TEXT)",
         "created_at": "l_shipdate + ($X) * INTERVAL 1 SECOND",
         "closed_at": "l_shipdate + ($Y) * INTERVAL 1 SECOND",
