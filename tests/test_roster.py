@@ -115,7 +115,7 @@ def test_carry_forward_finds_the_last_value(spark, span):
     rng = random.Random(span)
     rows = [(rng.choice("ab"), seq, rng.choice([None, None, seq])) for seq in rng.sample(range(-60, 60), 80)]
     frame = spark.createDataFrame(rows, "k STRING, seq BIGINT, v BIGINT")
-    got = {(r.k, r.seq): r.prior_v for r in carry_forward(in_blocks(frame, "seq", span), "k", "seq", ["v"]).collect()}
+    got = {(r.k, r.seq): r.prior_v for r in carry_forward(in_blocks(frame, "seq", span), "k", "seq", ["v"], span).collect()}
     for k, seq, _ in rows:
         earlier = [v for key, s, v in rows if key == k and s < seq and v is not None]
         assert got[(k, seq)] == (max(earlier) if earlier else None)

@@ -68,6 +68,12 @@ def wall_clock(instant: Column, tz: str = "UTC") -> Column:
     return utc if tz == "UTC" else F.convert_timezone(F.lit("UTC"), F.lit(tz), utc)
 
 
+def as_instant(ts: Column) -> Column:
+    """The TIMESTAMP that reads as ``ts`` in UTC, whatever the session zone."""
+    since_epoch = (ts - ntz_literal(date(1970, 1, 1))).cast("interval second")
+    return F.timestamp_seconds(since_epoch.cast("decimal(18,6)"))
+
+
 def _whole(span: Column) -> Column:
     """Whole seconds of an interval, cut toward zero."""
     return span.cast("interval second").cast("bigint")

@@ -8,10 +8,11 @@ from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ticketmill.functions.text import strip, strip_end, strip_start
+from ticketmill.operators.lookup import salted_lookup
 
 # Keys under which a trace may hold each field, best first.
 GROUP_KEYS = ("actionGroup", "action_group", "toolName", "name")
@@ -43,16 +44,14 @@ def session_text(
         F.sum(F.length("payload")).alias("chars"),
         F.max(F.coalesce(strip(F.col("payload")) != "", F.lit(False))).alias("has_text"),
     )
-    session = Window.partitionBy("session_id")
     text_piece = F.when(F.col("has_text"), F.col("piece"))
-    placed = shape.select(
-        "session_id",
-        "piece",
-        (F.coalesce(F.sum("chars").over(session), F.lit(0)) <= max_whole_chars).alias("whole"),
-        F.min(text_piece).over(session).alias("first_piece"),
-        F.max(text_piece).over(session).alias("last_piece"),
-        F.min("piece").over(session).alias("lowest_piece"),
-    ).where(
+    sessions = shape.groupBy("session_id").agg(
+        (F.coalesce(F.sum("chars"), F.lit(0)) <= max_whole_chars).alias("whole"),
+        F.min(text_piece).alias("first_piece"),
+        F.max(text_piece).alias("last_piece"),
+        F.min("piece").alias("lowest_piece"),
+    )
+    placed = salted_lookup(shape.select("session_id", "piece"), sessions, "session_id", "piece").where(
         F.when(F.col("first_piece").isNull(), F.col("piece") == F.col("lowest_piece")).otherwise(
             F.col("piece").between(F.col("first_piece"), F.col("last_piece"))
         )

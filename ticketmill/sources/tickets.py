@@ -21,7 +21,7 @@ def write_tickets(tickets: DataFrame, path: str, mode: str = "append") -> None:
     The rebalance hint lets AQE split a month that holds much of the data and
     merge small ones, so file sizes follow the data and not the month.
     """
-    month = F.date_format("closed_at", "yyyy-MM")
+    month = F.substring(F.col("closed_at").cast("string"), 1, 7)
     (
         tickets.withColumn("closed_month", month)
         .hint("rebalance", "closed_month")

@@ -6,16 +6,19 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
+from ticketmill.functions.timecalc import as_instant, wall_clock
+
 
 def daily_closed(tickets: DataFrame, delay: str) -> DataFrame:
     """Counts per closing day on a stream of tickets; rows later than ``delay`` are dropped.
 
-    Watermarks need TIMESTAMP, so the session zone must be the zone of the
-    wall-clock times (UTC in ``build_session``).
+    Watermarks need TIMESTAMP, and day windows are cut in UTC, so wall-clock
+    times are taken as UTC instants on the way through.
     """
-    closed = tickets.where(F.col("closed_at").isNotNull()).select(F.col("closed_at").cast("timestamp").alias("closed_at"))
+    closed = tickets.where(F.col("closed_at").isNotNull()).select(as_instant(F.col("closed_at")).alias("closed_at"))
     per_day = closed.withWatermark("closed_at", delay).groupBy(F.window("closed_at", "1 day"))
-    return per_day.agg(F.count("*").alias("count")).select(F.to_date("window.start").alias("day"), "count")
+    day = F.to_date(wall_clock(F.col("window.start")))
+    return per_day.agg(F.count("*").alias("count")).select(day.alias("day"), "count")
 
 
 def stream_closed_daily(tickets: DataFrame, path: str, checkpoint: str, delay: str = "2 days") -> StreamingQuery:
