@@ -82,10 +82,14 @@ def _fault_of_command(domain: str | None) -> Column:
     )
 
 
-def judge_commands(
-    commands: DataFrame, start: DataFrame | None = None, domain: str | None = None, span: int = DEFAULT_SPAN
-) -> DataFrame:
-    """Every command with ``reason`` (NULL when accepted) and ``effective`` (it changed the user)."""
+def _with_state(commands: DataFrame, start: DataFrame | None, domain: str | None, span: int) -> DataFrame:
+    """Every command with what earlier ones left behind.
+
+    Adds ``known`` (the user exists), ``issued`` (the last event that set or
+    cleared the token), ``matches`` and ``expired`` (an accept fits that token,
+    or comes too late), ``same_role``, and ``refused``: why the command is
+    rejected, apart from an accept's token.
+    """
     cmd, seq = F.col("cmd"), F.col("seq")
     rows = in_blocks(_with_start(commands, start), "seq", span).withColumn("fault", _fault_of_command(domain))
     sound = F.col("fault").isNull()
@@ -107,77 +111,107 @@ def judge_commands(
 
     known = F.coalesce("prior_user_state", F.lit(False))
     issued = F.col("prior_token_state")
-    matches = sound & (cmd == "accept") & F.coalesce(F.col("token") == issued["token"], F.lit(False))
-    expired = F.coalesce(issued["expires_at"] < F.col("cmd_at"), F.lit(False))
-    rows = rows.withColumns({"known": known, "matches": matches, "expired": expired}).withColumn(
-        "used_state", F.when(F.col("matches") & ~F.col("expired"), issued["seq"])
+    needs_user = cmd.isin("set_status", "set_role")
+    return rows.withColumns(
+        {
+            "known": known,
+            "issued": issued,
+            # A token is only ever issued to a known user; naming both keeps the columns
+            # of the two passes alike, so that Spark can reuse the first one's shuffle.
+            "matches": sound & known & (cmd == "accept") & F.coalesce(F.col("token") == issued["token"], F.lit(False)),
+            "expired": F.coalesce(issued["expires_at"] < F.col("cmd_at"), F.lit(False)),
+            "same_role": (cmd == "set_role") & F.coalesce(F.col("role") == F.col("prior_role_state"), F.lit(False)),
+            "refused": F.coalesce(F.col("fault"), F.when(needs_user & ~known, F.lit(UNKNOWN_USER))),
+        }
     )
+
+
+def judge_commands(
+    commands: DataFrame, start: DataFrame | None = None, domain: str | None = None, span: int = DEFAULT_SPAN
+) -> DataFrame:
+    """Every command (and seed row) with ``reason``, NULL when it is accepted."""
+    rows = _with_state(commands, start, domain, span)
+    accept = F.col("cmd") == "accept"
+    rows = rows.withColumn("used_state", F.when(F.col("matches") & ~F.col("expired"), F.col("issued.seq")))
     # The token is gone when an earlier accept succeeded against the same invitation.
     rows = carry_forward(rows, "email", "seq", ["used_state"], span)
-    used = F.coalesce(F.col("prior_used_state") == F.col("prior_token_state.seq"), F.lit(False))
-
+    used = F.coalesce(F.col("prior_used_state") == F.col("issued.seq"), F.lit(False))
     reason = F.coalesce(
-        F.col("fault"),
-        F.when(cmd.isin("set_status", "set_role") & ~F.col("known"), F.lit(UNKNOWN_USER)),
-        F.when((cmd == "accept") & (~F.col("matches") | used), F.lit(INVALID_TOKEN)),
-        F.when((cmd == "accept") & F.col("expired"), F.lit(TOKEN_EXPIRED)),
-    )
-    same_role = (cmd == "set_role") & F.coalesce(F.col("role") == F.col("prior_role_state"), F.lit(False))
-    return rows.withColumn("reason", reason).select(
-        "email",
-        "seq",
-        "cmd",
-        "role",
-        "status",
-        "token",
-        "cmd_at",
-        "actor",
-        "expires_at",
-        "created_at",
-        "reason",
-        (F.col("reason").isNull() & ~same_role).alias("effective"),
+        F.col("refused"),
+        F.when(accept & (~F.col("matches") | used), F.lit(INVALID_TOKEN)),
+        F.when(accept & F.col("expired"), F.lit(TOKEN_EXPIRED)),
     )
+    return rows.select("email", "seq", "cmd", "role", "status", "token", "cmd_at", "actor", reason.alias("reason"))
 
 
 def replay_roster(
     commands: DataFrame, start: DataFrame | None = None, domain: str | None = None, span: int = DEFAULT_SPAN
 ) -> DataFrame:
-    """The roster after all commands, one row per user."""
-    accepted = judge_commands(commands, start, domain, span).where(F.col("reason").isNull())
+    """The roster after all commands, one row per user.
+
+    Commands are first aggregated per user and issued token: of the accepts that
+    fit a token, the first one in time succeeds. Then the tokens of a user are
+    merged. The latest of several events is the largest struct that starts with
+    its ``seq``, so both steps are plain maxima with a partial step.
+    """
     cmd, seq = F.col("cmd"), F.col("seq")
-    makes_user = cmd.isin("invite", "seed")
-    sets_status = cmd.isin("seed", "set_status", "accept")
-    sets_token = makes_user | (cmd == "accept") | ((cmd == "set_status") & (F.col("status") == "revoked"))
-    status_set = F.when(cmd == "accept", F.lit("active")).otherwise(F.col("status"))
-    token_set = F.struct(
-        F.when(makes_user, F.col("token")).alias("token"),
-        F.when(makes_user, F.col("expires_at")).alias("expires_at"),
+    rows = _with_state(commands, start, domain, span)
+    done = F.col("refused").isNull() & (cmd != "accept")
+    makes_user = done & cmd.isin("invite", "seed")
+    sets_status = done & cmd.isin("seed", "set_status")
+    sets_token = makes_user | (done & (cmd == "set_status") & (F.col("status") == "revoked"))
+    succeeds = F.col("matches") & ~F.col("expired")
+
+    def event(at: Column, **values: Column) -> Column:
+        return F.struct(at.alias("seq"), *[value.alias(name) for name, value in values.items()])
+
+    def latest(where: Column, **values: Column) -> Column:
+        return F.max(F.when(where, event(seq, **values)))
+
+    per_token = rows.groupBy("email", F.col("issued.seq").alias("issued_seq")).agg(
+        latest(makes_user | (done & (cmd == "set_role")), role=F.col("role")).alias("role_set"),
+        latest(sets_status, status=F.col("status")).alias("status_set"),
+        latest(
+            sets_token,
+            token=F.when(makes_user, F.col("token")),
+            expires_at=F.when(makes_user, F.col("expires_at")),
+        ).alias("token_set"),
+        latest(makes_user, actor=F.col("actor")).alias("invited"),
+        F.max(F.when(done & (cmd == "invite"), seq)).alias("invited_seq"),
+        F.min(F.when(makes_user, event(seq, created_at=F.col("created_at")))).alias("created"),
+        latest(done & ~F.col("same_role"), cmd_at=F.col("cmd_at")).alias("updated"),
+        F.min(F.when(succeeds, event(seq, cmd_at=F.col("cmd_at")))).alias("accepted"),
     )
-
-    def last(value: Column, where: Column) -> Column:
-        return F.max_by(value, F.when(where, seq))
-
-    latest = accepted.groupBy("email").agg(
-        last(F.col("role"), makes_user | (cmd == "set_role")).alias("role"),
-        last(F.struct(status_set.alias("status"), "seq"), sets_status).alias("status_set"),
-        F.max(F.when(cmd == "invite", seq)).alias("invited_seq"),
-        last(F.col("actor"), makes_user).alias("invited_by"),
-        last(token_set, sets_token).alias("token_set"),
-        F.min_by("created_at", F.when(makes_user, seq)).alias("created_at"),
-        last(F.col("cmd_at"), F.col("effective")).alias("updated_at"),
+    accepted = F.col("accepted")
+
+    def or_accepted(name: str, **values: Column) -> Column:
+        return F.greatest(F.col(name), F.when(accepted.isNotNull(), event(accepted["seq"], **values)))
+
+    per_user = per_token.groupBy("email").agg(
+        F.max("role_set").alias("role_set"),
+        F.max(or_accepted("status_set", status=F.lit("active"))).alias("status_set"),
+        F.max(
+            or_accepted(
+                "token_set", token=F.lit(None).cast("string"), expires_at=F.lit(None).cast("timestamp_ntz")
+            )
+        ).alias("token_set"),
+        F.max("invited").alias("invited"),
+        F.max("invited_seq").alias("invited_seq"),
+        F.min("created").alias("created"),
+        F.max(or_accepted("updated", cmd_at=accepted["cmd_at"])).alias("updated"),
     )
     set_to = F.col("status_set.status")
     invited_since = F.coalesce(F.col("invited_seq") > F.col("status_set.seq"), F.col("invited_seq").isNotNull())
     renewed = invited_since & F.coalesce(set_to == "revoked", F.lit(True))
-    return latest.select(
+    return per_user.where(F.col("created").isNotNull()).select(
         "email",
-        "role",
+        F.col("role_set.role").alias("role"),
         F.when(renewed, F.lit("pending")).otherwise(set_to).alias("status"),
-        "invited_by",
+        F.col("invited.actor").alias("invited_by"),
         F.col("token_set.token").alias("token"),
         F.col("token_set.expires_at").alias("token_expires_at"),
-        "created_at",
-        "updated_at",
+        F.col("created.created_at").alias("created_at"),
+        F.col("updated.cmd_at").alias("updated_at"),
     )
 
 
