@@ -121,9 +121,7 @@ TICKET_LINES = Fixture(
 )
 
 # Tickets stored before the batches arrive.
-STORED_KEYS = Fixture(
-    "events", {"hubspot_ticket_id": "CAST(event_id AS $TEXT)"}, where="event_id % 7 = 0 AND event_id < 7000"
-)
+STORED_KEYS = Fixture("customer", {"hubspot_ticket_id": "CAST(c_custkey * 7 AS $TEXT)"})
 
 CHAT_CHUNKS = Fixture(
     "conversations",
@@ -191,20 +189,19 @@ USERS = Fixture(
         "ELSE CAST('2023-12-01 08:00:00' AS $NTZ) + ($X) * INTERVAL 1 SECOND END",
         "updated_at": "CAST('2023-12-15 09:30:00' AS $NTZ) + ($X) * INTERVAL 1 SECOND",
     },
-    where="c_custkey % 11 <> 0",
     values=(("$X", "(c_custkey * 7919) % 1728000"),),
 )
 
-# What the identity provider holds; ``grps`` is a list as comma-separated text.
+# What the identity provider holds: some users are unknown to it, and some are known to
+# it only. ``grps`` is a list as comma-separated text.
 PROVIDER = Fixture(
     "customer",
     {
-        "email": "concat('USER', CAST(c_custkey AS $TEXT), '@corp.example')",
+        "email": "concat('USER', CAST(c_custkey + 40 AS $TEXT), '@corp.example')",
         "username": "concat('u-', CAST(c_custkey AS $TEXT))",
         "grps": "CASE WHEN c_custkey % 5 = 0 THEN 'Agent' WHEN c_custkey % 5 = 1 THEN 'Supervisor' "
         "WHEN c_custkey % 5 = 2 THEN 'Agent,Supervisor' WHEN c_custkey % 5 = 3 THEN 'Beta,Agent' ELSE NULL END",
     },
-    where="c_custkey % 7 <> 0",
 )
 
 # Requests of users, in mixed case and padded, some with no e-mail in them.
@@ -213,7 +210,7 @@ REQUESTS = Fixture(
     {
         "request_id": "o_orderkey",
         "email": "CASE WHEN o_orderkey % 53 = 0 THEN 'nobody' WHEN o_orderkey % 59 = 0 THEN NULL "
-        "ELSE concat('  User', CAST(o_custkey AS $TEXT), '@CORP.example ') END",
+        "ELSE concat('  User', CAST(o_custkey + 30 AS $TEXT), '@CORP.example ') END",
         "required_role": "CASE WHEN o_orderstatus = 'F' THEN 'Agent' WHEN o_orderstatus = 'O' THEN 'Supervisor' ELSE NULL END",
     },
 )
@@ -221,7 +218,7 @@ REQUESTS = Fixture(
 ROLE_REQUESTS = Fixture(
     "orders",
     {
-        "email": "concat('User', CAST(o_custkey AS $TEXT), '@corp.example')",
+        "email": "concat('User', CAST(o_custkey + 20 AS $TEXT), '@corp.example')",
         "seq": "o_orderkey",
         "target_role": "CASE WHEN o_orderkey % 3 = 0 THEN 'Supervisor' WHEN o_orderkey % 3 = 1 THEN 'Agent' ELSE NULL END",
     },

@@ -11,10 +11,14 @@ DEFAULT_SALTS = 32
 def salted_lookup(facts: DataFrame, table: DataFrame, key: str, row_id: str, salts: int = DEFAULT_SALTS) -> DataFrame:
     """Left join of ``facts`` onto ``table`` with frequent keys spread over ``salts`` tasks.
 
-    ``row_id`` is unique in ``facts`` and decides the salt, so a retried task
-    sends its rows to the same place. Each table row is copied once per salt; the
-    table is the small side. Spark still broadcasts it where its size allows.
+    ``row_id`` tells rows of one key apart and decides the salt, so a retried
+    task sends its rows to the same place. Each table row is copied once per
+    salt. Spark's size estimate does not see the copies, so the join is told to
+    shuffle; AQE may still split a large partition. With ``salts=1`` it is a
+    plain join, which broadcasts a table that Spark finds small.
     """
+    if salts == 1:
+        return facts.join(table, key, "left")
     salted_facts = facts.withColumn("_salt", F.pmod(F.xxhash64(row_id), F.lit(salts)).cast("int"))
     copies = table.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
-    return salted_facts.join(copies, [key, "_salt"], "left").drop("_salt")
+    return salted_facts.join(copies.hint("merge"), [key, "_salt"], "left").drop("_salt")
