@@ -37,6 +37,12 @@ def test_defaults_fill_absent_keys_only(spark):
     assert json.loads(row.raw_hubspot) == {"b": [1, {"ñ": None}], "a": "x"}
 
 
+@pytest.mark.parametrize("value", ["text", '{"a": 1}', 'say "hi"\n', "", 5, 1.25, True, [1, "x"], {"a": {"raw_hubspot": "s"}}])
+def test_raw_payload_is_json_text(spark, value):
+    row = one(spark, {"hubspot_ticket_id": "1", "raw_hubspot": value})
+    assert json.loads(row.raw_hubspot) == value
+
+
 @pytest.mark.parametrize("missing", [{}, {"hubspot_ticket_id": None}, *[{"hubspot_ticket_id": v} for v in ("", 0, 0.0, False, [], {})]])
 def test_id_is_required(spark, missing):
     assert one(spark, missing).error == "Ticket 0: hubspot_ticket_id es requerido"

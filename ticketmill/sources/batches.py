@@ -27,10 +27,22 @@ def _is_present(key: str) -> Column:
     return F.array_contains("keys", key)
 
 
+def _value(key: str) -> Column:
+    """The value as a variant, from a second parse of the line; for the few rows that need its type."""
+    return F.try_variant_get(F.try_parse_json("line"), f"$.{key}", "variant")
+
+
+def _json_field(name: str) -> Column:
+    """JSON text of a value; only where it seems to be a string does it need its quotes back."""
+    seems_string = F.col("line").rlike(rf'"{name}"\s*:\s*"')
+    quoted = F.when(seems_string, F.to_json(_value(name)))
+    return F.when(_is_present(name), F.coalesce(quoted, _text(name), F.lit("null"))).otherwise(F.lit("{}"))
+
+
 def _field(name: str) -> Column:
     """A text column; a default fills in for an absent key only, not for null."""
     if name == "raw_hubspot":
-        return F.when(_is_present(name), F.coalesce(_text(name), F.lit("null"))).otherwise(F.lit("{}"))
+        return _json_field(name)
     if name in TEXT_DEFAULTS:
         return F.when(_is_present(name), _text(name)).otherwise(F.lit(TEXT_DEFAULTS[name]))
     return _text(name)
@@ -52,9 +64,10 @@ def _is_empty_value(text: Column) -> Column:
     tell the number 0 from the text "0"; hardly any row needs that.
     """
     looks_empty = text.isin("false", "[]", "{}") | (text.try_cast("double") == 0)
-    kind = F.schema_of_variant(F.try_variant_get(F.try_parse_json("line"), f"$.{TICKET_KEY}", "variant"))
-    return F.coalesce(text, F.lit("")).isin("") | F.when(F.coalesce(looks_empty, F.lit(False)), kind != "STRING").otherwise(
-        F.lit(False)
+    return (
+        F.when(text.isNull() | (text == ""), F.lit(True))
+        .when(looks_empty, F.schema_of_variant(_value(TICKET_KEY)) != "STRING")
+        .otherwise(F.lit(False))
     )
 
 
