@@ -9,14 +9,20 @@ from pyspark.sql import DataFrame, SparkSession
 from ticketmill.llm import oracles
 from ticketmill.llm.common import read_table
 from ticketmill.llm.substring import substring_dedup
+from ticketmill.llm.suffix import suffix_dedup
 
 
 def op1_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substring_dedup(read_table(spark, sf_dir, "documents"))
 
 
+def op6_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix_dedup(read_table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_substring_dedup": op1_substring_dedup,
+    "op6_suffix_dedup": op6_suffix_dedup,
 }
 
 ORACLES: dict[str, str] = {
