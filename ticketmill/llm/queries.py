@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from ticketmill.llm import oracles
 from ticketmill.llm.common import read_table
+from ticketmill.llm.simhash import simhash_dedup
 from ticketmill.llm.substring import substring_dedup
 from ticketmill.llm.suffix import suffix_dedup
 
@@ -20,9 +21,14 @@ def op6_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return suffix_dedup(read_table(spark, sf_dir, "documents"))
 
 
+def op8_simhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return simhash_dedup(read_table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_substring_dedup": op1_substring_dedup,
     "op6_suffix_dedup": op6_suffix_dedup,
+    "op8_simhash_dedup": op8_simhash_dedup,
 }
 
 ORACLES: dict[str, str] = {
