@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from ticketmill.llm import oracles
 from ticketmill.llm.common import read_table
+from ticketmill.llm.contamination import decontaminate
 from ticketmill.llm.mixing import mix_documents
 from ticketmill.llm.simhash import simhash_dedup
 from ticketmill.llm.substring import substring_dedup
@@ -22,6 +23,10 @@ def op2_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix_documents(read_table(spark, sf_dir, "documents"))
 
 
+def op4_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontaminate(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "benchmark"))
+
+
 def op6_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return suffix_dedup(read_table(spark, sf_dir, "documents"))
 
@@ -33,6 +38,7 @@ def op8_simhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_substring_dedup": op1_substring_dedup,
     "op2_mix_sources": op2_mix_sources,
+    "op4_decontaminate": op4_decontaminate,
     "op6_suffix_dedup": op6_suffix_dedup,
     "op8_simhash_dedup": op8_simhash_dedup,
 }
