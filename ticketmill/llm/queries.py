@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from ticketmill.llm import oracles
+from ticketmill.llm.classlm import class_scores
 from ticketmill.llm.common import read_table
 from ticketmill.llm.contamination import decontaminate
 from ticketmill.llm.mixing import mix_documents
@@ -35,12 +36,17 @@ def op8_simhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash_dedup(read_table(spark, sf_dir, "documents"))
 
 
+def op10_class_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return class_scores(read_table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_substring_dedup": op1_substring_dedup,
     "op2_mix_sources": op2_mix_sources,
     "op4_decontaminate": op4_decontaminate,
     "op6_suffix_dedup": op6_suffix_dedup,
     "op8_simhash_dedup": op8_simhash_dedup,
+    "op10_class_lm": op10_class_lm,
 }
 
 ORACLES: dict[str, str] = {
