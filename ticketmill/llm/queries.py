@@ -11,6 +11,7 @@ from ticketmill.llm.classlm import class_scores
 from ticketmill.llm.common import read_table
 from ticketmill.llm.contamination import decontaminate
 from ticketmill.llm.mixing import mix_documents
+from ticketmill.llm.quality import quality_verdicts
 from ticketmill.llm.simhash import simhash_dedup
 from ticketmill.llm.substring import substring_dedup
 from ticketmill.llm.suffix import suffix_dedup
@@ -36,6 +37,10 @@ def op8_simhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash_dedup(read_table(spark, sf_dir, "documents"))
 
 
+def op9_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality_verdicts(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "labels"))
+
+
 def op10_class_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
     return class_scores(read_table(spark, sf_dir, "documents"))
 
@@ -46,6 +51,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op4_decontaminate": op4_decontaminate,
     "op6_suffix_dedup": op6_suffix_dedup,
     "op8_simhash_dedup": op8_simhash_dedup,
+    "op9_quality_rules": op9_quality_rules,
     "op10_class_lm": op10_class_lm,
 }
 
