@@ -10,6 +10,7 @@ from ticketmill.llm import oracles
 from ticketmill.llm.classlm import class_scores
 from ticketmill.llm.common import read_table
 from ticketmill.llm.contamination import decontaminate
+from ticketmill.llm.linededup import line_dedup
 from ticketmill.llm.mixing import mix_documents
 from ticketmill.llm.quality import quality_verdicts
 from ticketmill.llm.simhash import simhash_dedup
@@ -38,6 +39,10 @@ def op6_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return suffix_dedup(read_table(spark, sf_dir, "documents"))
 
 
+def op7_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return line_dedup(read_table(spark, sf_dir, "documents"))
+
+
 def op8_simhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash_dedup(read_table(spark, sf_dir, "documents"))
 
@@ -56,6 +61,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_toxicity": op3_toxicity,
     "op4_decontaminate": op4_decontaminate,
     "op6_suffix_dedup": op6_suffix_dedup,
+    "op7_line_dedup": op7_line_dedup,
     "op8_simhash_dedup": op8_simhash_dedup,
     "op9_quality_rules": op9_quality_rules,
     "op10_class_lm": op10_class_lm,
