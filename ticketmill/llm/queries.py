@@ -10,6 +10,7 @@ from ticketmill.llm import oracles
 from ticketmill.llm.classlm import class_scores
 from ticketmill.llm.common import read_table
 from ticketmill.llm.contamination import decontaminate
+from ticketmill.llm.licenses import license_scan
 from ticketmill.llm.linededup import line_dedup
 from ticketmill.llm.mixing import mix_documents
 from ticketmill.llm.quality import quality_verdicts
@@ -35,6 +36,10 @@ def op4_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "benchmark"))
 
 
+def op5_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return license_scan(read_table(spark, sf_dir, "documents"))
+
+
 def op6_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return suffix_dedup(read_table(spark, sf_dir, "documents"))
 
@@ -60,6 +65,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_mix_sources": op2_mix_sources,
     "op3_toxicity": op3_toxicity,
     "op4_decontaminate": op4_decontaminate,
+    "op5_license_scan": op5_license_scan,
     "op6_suffix_dedup": op6_suffix_dedup,
     "op7_line_dedup": op7_line_dedup,
     "op8_simhash_dedup": op8_simhash_dedup,
