@@ -16,7 +16,7 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 BLOCK_BYTES = 16 << 20
@@ -52,6 +52,23 @@ def texts_of(docs: DataFrame) -> DataFrame:
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
 
 
+def row_id() -> Column:
+    """doc_id, or for null a number from the text that lies above ids in use, so that each text has one."""
+    beyond = F.lit(np.iinfo(np.int64).max) - F.pmod(F.xxhash64("text"), F.lit(1 << 44))
+    return F.coalesce(F.col("doc_id").cast("long"), beyond)
+
+
+def filtered(docs: DataFrame, keep: Callable[[pa.Array], np.ndarray]) -> DataFrame:
+    """The rows whose text `keep` is true for, with all their columns and without a shuffle."""
+    at = docs.columns.index("text")
+
+    def f(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            yield batch.filter(pa.array(keep(batch.column(at)), pa.bool_()))
+
+    return docs.mapInArrow(f, docs.schema)
+
+
 def block_count(docs: DataFrame) -> int:
     """Blocks for these texts: one for each BLOCK_BYTES, and no fewer than the shuffle has partitions."""
     total = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0

@@ -119,18 +119,25 @@ class Items:
         return found
 
 
+    def matches(self, texts: pa.Array, containment: float) -> Iterator[tuple[int, int, float]]:
+        """(text, item_id, containment) of the candidates that an exact count confirms."""
+        data, offsets = c.text_bytes(texts)
+        for first, _, part, at in c.slices(data, offsets):
+            hashes, bounds = shingles(part, at, self.size)
+            for text, item in sorted(self.candidates(hashes, bounds)):
+                own = self.sets[item]
+                share = float(np.isin(own, hashes[bounds[text] : bounds[text + 1]]).mean())
+                if share >= containment:
+                    yield first + text, self.ids[item], share
+
+
 def _matches(items: Items, containment: float):
     def f(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            data, offsets = c.text_bytes(batch.column(1))
-            rows = []
-            for first, _, part, at in c.slices(data, offsets):
-                hashes, bounds = shingles(part, at, items.size)
-                for text, item in sorted(items.candidates(hashes, bounds)):
-                    own = items.sets[item]
-                    share = float(np.isin(own, hashes[bounds[text] : bounds[text + 1]]).mean())
-                    if share >= containment:
-                        rows.append({"doc_id": batch.column(0)[first + text].as_py(), "item_id": items.ids[item], "containment": share})
+            rows = [
+                {"doc_id": batch.column(0)[text].as_py(), "item_id": item, "containment": share}
+                for text, item, share in items.matches(batch.column(1), containment)
+            ]
             yield pa.RecordBatch.from_pylist(rows, schema=_RESULT)
 
     return f
@@ -173,3 +180,19 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, containment: float = CO
         F.coalesce("items", F.array().cast("array<long>")).alias("items"),
         F.coalesce("containment", F.lit(0.0)).alias("containment"),
     )
+
+
+def without_contaminated(docs: DataFrame, benchmark: DataFrame, containment: float = CONTAINMENT, size: int = SIZE) -> DataFrame:
+    """The documents that hold no item, with all their columns."""
+    for ids, items in _item_slices(benchmark):
+        docs = c.filtered(docs, _clean(Items(ids, items, size), containment))
+    return docs
+
+
+def _clean(items: Items, containment: float):
+    def keep(texts: pa.Array) -> np.ndarray:
+        out = np.ones(len(texts), bool)
+        out[[text for text, _, _ in items.matches(texts, containment)]] = False
+        return out
+
+    return keep

@@ -21,7 +21,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ticketmill.llm.common import stored
+from ticketmill.llm.common import row_id, stored
 
 SHARES = (5, 2, 1)
 TOTAL = 1.5
@@ -100,3 +100,12 @@ def mix_documents(docs: DataFrame, **options) -> DataFrame:
     """The mix of a table of documents by their words; options as for mix()."""
     size, weight = word_count(F.col("text")), quality_weight(F.col("text"))
     return mix(docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("source").cast("string").alias("source"), size.alias("size"), weight.alias("weight")), **options)
+
+
+def mixed_documents(docs: DataFrame, **options) -> DataFrame:
+    """The documents that the mix takes words from, with all their columns and size, source_size, target and taken."""
+    names = ["size", "source_size", "target", "taken"]
+    plan = mix_documents(docs.select(row_id().alias("doc_id"), "text", "source"), **options)
+    plan = plan.filter("taken > 0").select(F.col("doc_id").alias("taken_id_"), *names).dropDuplicates(["taken_id_"])
+    rows = docs.drop(*names).withColumn("row_id_", row_id())
+    return rows.join(plan, F.col("row_id_") == F.col("taken_id_")).drop("row_id_", "taken_id_")

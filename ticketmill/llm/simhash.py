@@ -206,3 +206,11 @@ def simhash_dedup(docs: DataFrame, size: int = WORDS, radius: int = RADIUS) -> D
     return prints.join(names, "bits").select(
         "doc_id", F.lpad(F.lower(F.hex("bits")), BITS // 4, "0").alias("fingerprint"), "component_id"
     )
+
+
+def keep_one(docs: DataFrame, size: int = WORDS, radius: int = RADIUS) -> DataFrame:
+    """The documents of the smallest doc_id of each component, one row for each, with all their columns."""
+    found = simhash_dedup(docs.select(c.row_id().alias("doc_id"), "text"), size, radius)
+    stay = found.filter(F.col("doc_id") == F.col("component_id")).select(F.col("doc_id").alias("stays")).distinct()
+    rows = docs.withColumn("row_id_", c.row_id())
+    return rows.join(stay, F.col("row_id_") == F.col("stays"), "left_semi").dropDuplicates(["row_id_"]).drop("row_id_")

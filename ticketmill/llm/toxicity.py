@@ -269,16 +269,23 @@ def learn(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Model:
     return Model(words, stems, fit_logistic(x, y))
 
 
+def score(text: str | None, matcher: Matcher, weights: np.ndarray | None) -> tuple[float, tuple]:
+    """The score of a text and its hits."""
+    if weights is None:
+        return 0.0, (0, 0, 0, 0, 0.0, 0.0)
+    found = hits(text or "", matcher)
+    return float(1 / (1 + np.exp(-np.clip(np.dot(features(found), weights), -30, 30)))), found
+
+
 def _score_rows(model: Model):
     def f(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         matcher = Matcher(model.words, model.stems)
         for batch in batches:
             scores, found = [], []
             for text in batch.column(1):
-                got = hits(text.as_py() or "", matcher) if model.weights is not None else (0, 0, 0, 0, 0.0, 0.0)
+                value, got = score(text.as_py(), matcher, model.weights)
                 found.append(got[1:4])
-                score = 0.0 if model.weights is None else 1 / (1 + np.exp(-np.clip(np.dot(features(got), model.weights), -30, 30)))
-                scores.append(float(score))
+                scores.append(value)
             columns = list(zip(*found, strict=True)) or [(), (), ()]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(scores, pa.float64()), *(pa.array(x, pa.int64()) for x in columns)], schema=_RESULT)
 
@@ -290,3 +297,15 @@ def toxicity_scores(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) ->
     model = learn(docs, labels, sample)
     rows = c.texts_of(docs).mapInArrow(_score_rows(model), RESULT)
     return rows.select("doc_id", held_out().alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"), "n_hits", "n_misspelled", "n_quoted")
+
+
+def without_toxic(docs: DataFrame, labels: DataFrame, cutoff: float = 0.5, sample: int = SAMPLE) -> DataFrame:
+    """The documents whose score is under the cutoff, with all their columns."""
+    model, matchers = learn(docs, labels, sample), []
+
+    def keep(texts: pa.Array) -> np.ndarray:
+        if not matchers:
+            matchers.append(Matcher(model.words, model.stems))
+        return np.array([score(t.as_py(), matchers[0], model.weights)[0] < cutoff for t in texts], bool)
+
+    return c.filtered(docs, keep)
