@@ -33,8 +33,8 @@ def checkpoint_dir(spark: SparkSession) -> str:
     if not folder:
         if not spark.sparkContext.master.startswith("local"):
             raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
-        folder = tempfile.mkdtemp(prefix="checkpoint-")
-        spark.conf.set("spark.checkpoint.dir", folder)
+        spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="checkpoint-"))
+        folder = spark.sparkContext.getCheckpointDir()
     return folder
 
 
@@ -210,6 +210,12 @@ def runs(sorted_values: np.ndarray) -> np.ndarray:
     return np.flatnonzero(np.concatenate(([True], sorted_values[1:] != sorted_values[:-1])))
 
 
+def run_bounds(sorted_values: np.ndarray) -> Iterator[tuple[int, int]]:
+    """(start, end) of each run of equal values."""
+    starts = runs(sorted_values)
+    yield from zip(starts, np.append(starts, len(sorted_values))[1:], strict=True)
+
+
 def is_member(values: np.ndarray, sorted_set: np.ndarray) -> np.ndarray:
     if not len(sorted_set):
         return np.zeros(len(values), bool)
@@ -227,8 +233,7 @@ def packed(names: tuple[str, ...], owner: np.ndarray, *columns: np.ndarray) -> I
     order = np.argsort(owner, kind="stable")
     owner = owner[order]
     columns = [c[order] for c in columns]
-    starts = runs(owner)
-    for s, e in zip(starts, [*starts[1:], len(owner)], strict=True):
+    for s, e in run_bounds(owner):
         yield {"owner": int(owner[s])} | {name: c[s:e].tobytes() for name, c in zip(names, columns, strict=True)}
 
 

@@ -166,7 +166,8 @@ def _tile_links(radius: int):
             for k in key:
                 new[1:] |= k[1:] != k[:-1]
             cut = int(np.flatnonzero(new)[-1])
-            yield from links(np.cumsum(new)[:cut], bits[:cut].view(np.uint64), node[:cut])
+            if cut:
+                yield from links(np.cumsum(new)[:cut], bits[:cut].view(np.uint64), node[:cut])
             kept = [x[cut:] for x in columns]
         if kept is not None:
             yield from links(np.zeros(len(kept[0]), np.int64), kept[-2].view(np.uint64), kept[-1])

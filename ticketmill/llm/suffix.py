@@ -149,8 +149,7 @@ def _context_entries(length: int, n_buckets: int):
         owner = c.bucket_of(keys, n_buckets)
         order = np.lexsort((keys, owner))
         owners, raw, rows = owner[order], data.tobytes(), []
-        runs = c.runs(owners)
-        for s, e in zip(runs, [*runs[1:], len(order)], strict=True):
+        for s, e in c.run_bounds(owners):
             of = order[s:e]
             rows.append(
                 {
