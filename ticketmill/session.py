@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 from pyspark.sql import SparkSession
@@ -29,15 +28,8 @@ def build_session(app_name: str = "ticketmill", master: str | None = None, **con
 
 
 def scratch_path(spark: SparkSession, name: str) -> str:
-    """A new folder below the cluster's shared checkpoint folder.
-
-    Only on one machine, as in tests, may ``spark.checkpoint.dir`` be unset; then
-    a temporary folder is taken and remembered for the session.
-    """
-    base = spark.conf.get("spark.checkpoint.dir", None) or spark.conf.get("spark.ticketmill.scratch", None)
+    """A new folder below ``spark.checkpoint.dir``, the folder that the cluster shares."""
+    base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not base:
-        if not spark.conf.get("spark.master", "").startswith("local"):
-            raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
-        base = tempfile.mkdtemp(prefix="ticketmill-")
-        spark.conf.set("spark.ticketmill.scratch", base)
+        raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
     return f"{base.rstrip('/')}/ticketmill/{name}-{uuid.uuid4().hex}"
