@@ -23,22 +23,32 @@ def test_whole_answers_are_ordered_and_stripped(spark):
     assert got == {("a", 0, "hello world"), ("b", 0, "")}
 
 
-@pytest.mark.parametrize("per_piece,whole", [(1, 0), (3, 0), (4, 25), (100, 10**6), (1, 10**6), (2, 40)])
-def test_parts_join_to_the_whole_answer(spark, per_piece, whole):
-    rng = random.Random(per_piece * 1000 + whole)
+@pytest.mark.parametrize("per_part,span", [(1, 3), (3, 1), (4, 1000), (100, 7)])
+def test_parts_join_to_the_whole_answer(spark, per_part, span):
+    rng = random.Random(per_part * 1000 + span)
     chunks = ["", " ", "\n", "x", " y ", "zz", " "]
     answers, rows = {}, []
     for s in range(25):
         seqs = sorted(rng.sample(range(-10, 60), rng.randrange(1, 20)))
         texts = [rng.choice(chunks if s % 5 else ["", " "]) for _ in seqs]
-        answers[str(s)] = ("".join(texts), len("".join(texts)) <= whole)
+        answers[str(s)] = texts
         rows += [(str(s), i, "chunk", t) for i, t in zip(seqs, texts, strict=True)]
     rng.shuffle(rows)
     got = {}
-    for r in chat.session_text(events(spark, rows), per_piece, whole).orderBy("session_id", "part").collect():
-        got.setdefault(r.session_id, []).append(r.text)
-    assert {s: "".join(parts) for s, parts in got.items()} == {s: text.strip() for s, (text, _) in answers.items()}
-    assert all(len(got[s]) == 1 for s, (_, is_whole) in answers.items() if is_whole)
+    for r in chat.session_text(events(spark, rows), per_part, span).orderBy("session_id", "part").collect():
+        got.setdefault(r.session_id, {})[r.part] = r.text
+    assert {s: "".join(parts.values()) for s, parts in got.items()} == {s: "".join(t).strip() for s, t in answers.items()}
+    for s, texts in answers.items():
+        cut = ["".join(texts[i : i + per_part]) for i in range(0, len(texts), per_part)]
+        filled = [i for i, t in enumerate(cut) if t.strip()]
+        assert list(got[s]) == (list(range(filled[0], filled[-1] + 1)) if filled else [0])
+
+
+def test_gaps_in_seq_do_not_change_the_parts(spark):
+    texts = [f"t{i} " for i in range(40)]
+    dense = events(spark, [("s", i, "chunk", t) for i, t in enumerate(texts)])
+    gapped = events(spark, [("s", i * i * 1000 - 7, "chunk", t) for i, t in enumerate(texts)])
+    assert sorted(chat.session_text(dense, 6).collect()) == sorted(chat.session_text(gapped, 6, 50).collect())
 
 
 def test_tool_fields_take_the_first_filled_alias(spark):

@@ -98,9 +98,13 @@ def test_grain_follows_the_range(frame):
     assert volume.volume_grain("2024-01-01", "2024-01-01") == "total"
     assert volume.volume_grain("2024-01-01", "2024-02-09") == "daily"
     assert volume.volume_grain("2024-01-01", "2024-02-10") == "monthly"
-    assert volume.closed_volume(frame, "2024-01-01", "2024-01-01").columns == ["total_closed"]
-    assert volume.closed_volume(frame, *DAYS).columns == ["date", "count"]
+    for days in (("2024-01-01", "2024-01-01"), DAYS, ("2024-01-01", "2024-12-31")):
+        assert volume.closed_volume(frame, *days).columns == ["grain", "period", "date", "count"]
     assert len(rows(volume.closed_volume(frame, "2024-01-01", "2024-12-31"))) == 12
+    assert len(rows(volume.closed_volume(frame, "2024-01-01", "2024-12-31", grain="daily"))) == 366
+    assert rows(volume.closed_volume(frame, *DAYS, grain="total"))[0][0] == "total"
+    with pytest.raises(ValueError):
+        volume.closed_volume(frame, *DAYS, grain="weekly")
 
 
 def test_ranges_are_checked(frame):

@@ -110,6 +110,21 @@ def test_replay_equals_the_state_machine(spark, span, order):
         assert {tuple(r) for r in roster.roster_rejects(commands, before, DOMAIN, span).collect()} == rejects
 
 
+@pytest.mark.parametrize("domain", [None, DOMAIN])
+def test_commands_without_an_email_are_rejected(spark, domain):
+    """Accepted and rejected commands are all commands; nobody without an e-mail is on the roster."""
+    rng = random.Random(4)
+    log = list(random_log(rng, 200, [*EMAILS, None, "", "  ", "noat"], 400))
+    commands = spark.createDataFrame([tuple(c[n] for n in ROSTER_COMMANDS.fieldNames()) for c in log], ROSTER_COMMANDS)
+    rejects = roster.roster_rejects(commands, None, domain).collect()
+    assert len({r.seq for r in rejects}) == len(rejects)
+    nameless = {c["seq"] for c in log if "@" not in (c["email"] or "")}
+    assert {r.seq for r in rejects if r.reason == "invalid_email"} == nameless and len(nameless) > 20
+    accepted = roster.judge_commands(commands, None, domain).where("reason IS NULL").count()
+    assert accepted + len(rejects) == len(log)
+    assert all("@" in r.email for r in roster.replay_roster(commands, None, domain).collect())
+
+
 @pytest.mark.parametrize("span", [1, 4, 1000])
 def test_carry_forward_finds_the_last_value(spark, span):
     rng = random.Random(span)

@@ -52,3 +52,26 @@ def carry_forward(
         for c in columns
     ]
     return rows.join(blocks, [key, block], "left").select(*rows.columns, *known)
+
+
+def running_total(
+    rows: DataFrame,
+    key: str,
+    order: str,
+    value: str,
+    name: str,
+    span: int = DEFAULT_SPAN,
+    block: str = BLOCK,
+    levels: int = 2,
+) -> DataFrame:
+    """Add ``name``: the sum of ``value`` over earlier rows of the same key, block by block as in ``carry_forward``."""
+    totals = rows.groupBy(key, block).agg(F.sum(value).alias("_total"))
+    if levels > 1:
+        upper = f"{block}_up"
+        totals = running_total(in_blocks(totals, block, span, upper), key, block, "_total", "_before", span, upper, levels - 1)
+    else:
+        earlier = Window.partitionBy(key).orderBy(block).rowsBetween(Window.unboundedPreceding, -1)
+        totals = totals.withColumn("_before", F.coalesce(F.sum("_total").over(earlier), F.lit(0)))
+    earlier_rows = Window.partitionBy(key, block).orderBy(order).rowsBetween(Window.unboundedPreceding, -1)
+    before = F.col("_before") + F.coalesce(F.sum(value).over(earlier_rows), F.lit(0))
+    return rows.join(totals.select(key, block, "_before"), [key, block]).select(*rows.columns, before.alias(name))

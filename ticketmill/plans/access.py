@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ticketmill.functions.access import AGENT, SUPERVISOR, is_email, normalize_email, other_role
+from ticketmill.functions.access import AGENT, ROLES, STATUSES, SUPERVISOR, email_in_domain, is_email, normalize_email, other_role
 from ticketmill.functions.text import json_text
-from ticketmill.operators.lookup import DEFAULT_SALTS, salted_lookup
 
 BAD_EMAIL = "invalid_email"
 
@@ -19,6 +20,15 @@ STATUS_NOOP = "noop"
 STATUS_NOT_IN_ROSTER = "user_not_in_DB"
 STATUS_NO_PROVIDER_USER = "cognito_user_not_found"
 STATUS_ROSTER_ONLY = "cognito_user_not_found; DB updated"
+STATUS_INVALID_ROLE = "invalid_role"
+STATUS_INVALID_STATUS = "invalid_status"
+
+# Outcomes of a request.
+OK = "ok"
+DOMAIN_NOT_ALLOWED = "domain_not_allowed"
+GROUP_MISSING = "group_missing"
+NOT_AUTHORIZED = "not_authorized"
+ROLE_MISMATCH = "role_mismatch"
 
 
 def check_allowlist(emails: DataFrame, users: DataFrame) -> DataFrame:
@@ -41,26 +51,64 @@ def check_allowlist(emails: DataFrame, users: DataFrame) -> DataFrame:
     )
 
 
-def authorize(requests: DataFrame, users: DataFrame, salts: int = DEFAULT_SALTS) -> DataFrame:
+def _with_roster(requests: DataFrame, users: DataFrame) -> DataFrame:
+    """Requests with the role and status of their e-mail.
+
+    A plain left join: Spark broadcasts a roster that it finds small, and else
+    may split the requests of a frequent e-mail at run time.
+    """
+    roster = users.select("email", F.col("role").alias("roster_role"), F.col("status").alias("roster_status"))
+    return requests.withColumn("email", normalize_email(F.col("email"))).join(roster, "email", "left")
+
+
+def _is_active() -> Column:
+    return F.coalesce(F.col("roster_status") == "active", F.lit(False))
+
+
+def _role_passes() -> Column:
+    required, role = F.col("required_role"), F.col("roster_role")
+    supervised = (required == AGENT) & role.eqNullSafe(F.lit(SUPERVISOR))
+    return required.isNull() | (required == "") | role.eqNullSafe(required) | supervised
+
+
+def authorize(requests: DataFrame, users: DataFrame) -> DataFrame:
     """Outcome of each request (``request_id, email, required_role``) by roster status and role.
 
     ``required_role`` may be NULL. A supervisor also passes where an agent is
     required. One row per request.
     """
-    asked = requests.withColumn("email", normalize_email(F.col("email")))
-    roster = users.select("email", F.col("role").alias("roster_role"), F.col("status").alias("roster_status"))
-    required, role = F.col("required_role"), F.col("roster_role")
-    active = F.coalesce(F.col("roster_status") == "active", F.lit(False))
-    passes = required.isNull() | (required == "") | role.eqNullSafe(required) | ((required == AGENT) & role.eqNullSafe(F.lit(SUPERVISOR)))
+    active = _is_active()
+    outcome = F.when(~active, F.lit(NOT_AUTHORIZED)).when(_role_passes(), F.lit(OK)).otherwise(F.lit(ROLE_MISMATCH))
+    role = F.when(active, F.col("roster_role"))
+    return _with_roster(requests, users).select(*requests.columns, role.alias("role"), outcome.alias("outcome"))
+
+
+def access_gate(requests: DataFrame, users: DataFrame, domain: str, allowed: Sequence[str] = ROLES) -> DataFrame:
+    """The first gate that stops each request: e-mail domain, provider group, roster status, role.
+
+    ``requests``: ``request_id, email, groups`` (of the provider) and
+    ``required_role``. Where a supervisor is required, the group must say so too.
+    """
+    groups = F.coalesce("groups", _no_groups())
+    has_group = F.arrays_overlap(groups, F.array(*map(F.lit, allowed)))
+    supervisor = (F.col("required_role") != SUPERVISOR) | F.array_contains(groups, SUPERVISOR)
     outcome = (
-        F.when(~active, F.lit("not_authorized")).when(passes, F.lit("ok")).otherwise(F.lit("role_mismatch"))
+        F.when(~email_in_domain(F.col("email"), domain), F.lit(DOMAIN_NOT_ALLOWED))
+        .when(~F.coalesce(has_group, F.lit(False)), F.lit(GROUP_MISSING))
+        .when(~_is_active(), F.lit(NOT_AUTHORIZED))
+        .when(~_role_passes() | ~F.coalesce(supervisor, F.lit(True)), F.lit(ROLE_MISMATCH))
+        .otherwise(F.lit(OK))
     )
-    looked_up = salted_lookup(asked, roster, "email", "request_id", salts)
-    return looked_up.select(*requests.columns, F.when(active, role).alias("role"), outcome.alias("outcome"))
+    return _with_roster(requests, users).select("request_id", "email", "required_role", outcome.alias("outcome"))
 
 
 def _provider(groups: DataFrame) -> DataFrame:
-    return groups.select(normalize_email(F.col("email")).alias("email"), "username", "groups")
+    """One account for each e-mail, that of the least username, and how many there are."""
+    account = F.struct("username", "groups")
+    one = groups.groupBy(normalize_email(F.col("email")).alias("email")).agg(
+        F.min_by(account, "username").alias("account"), F.count("*").alias("accounts")
+    )
+    return one.select("email", "account.username", "account.groups", "accounts")
 
 
 def _no_groups() -> Column:
@@ -80,7 +128,13 @@ def role_drift(users: DataFrame, groups: DataFrame) -> DataFrame:
         F.coalesce(F.array_contains(provider_groups, F.col("db_role")), F.lit(False)) | F.col("username").isNull()
     )
     return joined.select(
-        "email", "db_role", "db_status", "username", provider_groups.alias("groups"), in_sync.alias("in_sync")
+        "email",
+        "db_role",
+        "db_status",
+        "username",
+        provider_groups.alias("groups"),
+        F.coalesce("accounts", F.lit(0)).alias("accounts"),
+        in_sync.alias("in_sync"),
     )
 
 
@@ -93,7 +147,8 @@ def plan_role_sync(
     ``requests`` (``email, seq, target_role``) only those e-mails are planned; a
     NULL target repairs, any other sets that role in both places. The last
     request of an e-mail decides; it is found by aggregation, so an e-mail with
-    very many requests does not gather in one task.
+    very many requests does not gather in one task. A target that is no role is
+    refused: nothing changes.
     """
     roster = users.select("email", F.col("role").alias("db_from"), F.lit(True).alias("_in_roster"))
     if requests is None:
@@ -105,21 +160,20 @@ def plan_role_sync(
     joined = wanted.join(_provider(groups), "email", "left")
 
     verb = F.when(F.col("target").isNull(), F.lit("repair")).otherwise(F.lit("change"))
+    refused = F.col("target").isNotNull() & ~F.col("target").isin(*ROLES)
     in_roster = F.col("_in_roster").isNotNull()
     has_provider = in_roster & F.col("username").isNotNull()
     # A requested role is on record even when the user is not on the roster.
-    db_to = F.coalesce("target", "db_from")
+    db_to = F.when(refused, F.col("db_from")).otherwise(F.coalesce("target", "db_from"))
     before = F.when(has_provider, F.coalesce("groups", _no_groups())).otherwise(_no_groups())
     other = other_role(db_to)
-    after = F.when(
-        has_provider, F.array_union(F.array_remove(before, other), F.array(db_to))
-    ).otherwise(_no_groups())
-    db_changed = in_roster & F.coalesce(F.col("target") != F.col("db_from"), F.col("target").isNotNull())
-    groups_changed = has_provider & (
-        ~F.array_contains(before, db_to) | F.array_contains(before, other)
-    )
+    synced = F.array_union(F.array_remove(before, other), F.array(db_to))
+    after = F.when(has_provider & ~refused, synced).otherwise(before)
+    db_changed = ~refused & in_roster & F.coalesce(F.col("target") != F.col("db_from"), F.col("target").isNotNull())
+    groups_changed = ~refused & has_provider & (~F.array_contains(before, db_to) | F.array_contains(before, other))
     status = (
-        F.when(~in_roster, F.lit(STATUS_NOT_IN_ROSTER))
+        F.when(refused, F.lit(STATUS_INVALID_ROLE))
+        .when(~in_roster, F.lit(STATUS_NOT_IN_ROSTER))
         .when(~has_provider & (verb == "repair"), F.lit(STATUS_NO_PROVIDER_USER))
         .when(~has_provider & db_changed, F.lit(STATUS_ROSTER_ONLY))
         .when(has_provider & (db_changed | groups_changed), F.lit(STATUS_OK))
@@ -141,6 +195,38 @@ def plan_role_sync(
     )
 
 
+def plan_status_change(users: DataFrame, groups: DataFrame, requests: DataFrame) -> DataFrame:
+    """What a change of roster status (``email, seq, target_status``) does on both sides; the last request decides.
+
+    ``revoked`` clears the invitation token, disables the provider account and
+    revokes its tokens; the other statuses enable it. Nothing is called here.
+    """
+    last = F.max_by(F.struct("target_status"), "seq")["target_status"].alias("status_to")
+    asked = requests.groupBy(normalize_email(F.col("email")).alias("email")).agg(last)
+    roster = users.select("email", F.col("status").alias("status_from"), F.lit(True).alias("_in_roster"))
+    joined = asked.join(roster, "email", "left").join(_provider(groups), "email", "left")
+    valid = F.coalesce(F.col("status_to").isin(*STATUSES), F.lit(False))
+    applies = valid & F.col("_in_roster").isNotNull()
+    revoked, has_account = F.col("status_to") == "revoked", F.col("username").isNotNull()
+    status = (
+        F.when(~valid, F.lit(STATUS_INVALID_STATUS))
+        .when(~applies, F.lit(STATUS_NOT_IN_ROSTER))
+        .when(~has_account, F.lit(STATUS_ROSTER_ONLY))
+        .otherwise(F.lit(STATUS_OK))
+    )
+    on_account = applies & has_account
+    return joined.select(
+        "email",
+        "status_from",
+        "status_to",
+        F.when(on_account, F.col("username")).alias("username"),
+        F.when(on_account, F.when(revoked, F.lit("disable")).otherwise(F.lit("enable"))).alias("account_action"),
+        F.coalesce(applies & revoked, F.lit(False)).alias("token_cleared"),
+        F.coalesce(on_account & revoked, F.lit(False)).alias("tokens_revoked"),
+        status.alias("status"),
+    )
+
+
 def audit_rows(plan: DataFrame, admin: str) -> DataFrame:
     """Login-event rows that record a sync plan; the reason is JSON text with explicit nulls."""
     reason = F.struct(

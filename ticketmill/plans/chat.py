@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ticketmill.functions.text import strip, strip_end, strip_start
-from ticketmill.operators.lookup import salted_lookup
+from ticketmill.operators.carry import DEFAULT_SPAN, in_blocks, running_total
 
 # Keys under which a trace may hold each field, best first.
 GROUP_KEYS = ("actionGroup", "action_group", "toolName", "name")
@@ -21,56 +21,36 @@ METHOD_KEYS = ("httpMethod", "method")
 STATUS_KEYS = ("httpStatusCode", "statusCode", "status")
 ROUTING_KEY_PARTS = ("route", "orchestrat")
 
-CHUNKS_PER_PIECE = 1 << 12
-MAX_WHOLE_CHARS = 1 << 24
+CHUNKS_PER_PART = 1 << 12
 
 TOOL_FIELDS = {"action_group": GROUP_KEYS, "api_path": PATH_KEYS, "http_method": METHOD_KEYS, "status": STATUS_KEYS}
 
 
-def session_text(
-    events: DataFrame, chunks_per_piece: int = CHUNKS_PER_PIECE, max_whole_chars: int = MAX_WHOLE_CHARS
-) -> DataFrame:
-    """The answer of each session, rebuilt from its chunks in order and stripped.
+def session_text(events: DataFrame, chunks_per_part: int = CHUNKS_PER_PART, span: int = DEFAULT_SPAN) -> DataFrame:
+    """The answer of each session, rebuilt from its chunks in order and stripped, in parts.
 
-    A session of up to ``max_whole_chars`` characters gives one row with
-    ``part`` 0. A longer one gives several rows whose texts, joined by ``part``,
-    are the whole answer; so no task ever has to hold one endless session.
+    A part is ``chunks_per_part`` chunks, counted from the first chunk of the
+    session, so gaps in ``seq`` do not matter and no task holds an endless
+    session. The texts joined by ``part`` are the whole answer; parts before its
+    first and after its last character are left out, and an answer without any
+    has one empty part.
     """
-    piece = F.call_function("div", F.col("seq"), F.lit(chunks_per_piece).cast("bigint"))
-    chunks = events.where(F.col("kind") == "chunk").select("session_id", piece.alias("piece"), "seq", "payload")
-
-    # Sizes and ends are found on counts per piece, without the texts.
-    shape = chunks.groupBy("session_id", "piece").agg(
-        F.sum(F.length("payload")).alias("chars"),
-        F.max(F.coalesce(strip(F.col("payload")) != "", F.lit(False))).alias("has_text"),
-    )
-    text_piece = F.when(F.col("has_text"), F.col("piece"))
-    sessions = shape.groupBy("session_id").agg(
-        (F.coalesce(F.sum("chars"), F.lit(0)) <= max_whole_chars).alias("whole"),
-        F.min(text_piece).alias("first_piece"),
-        F.max(text_piece).alias("last_piece"),
-        F.min("piece").alias("lowest_piece"),
-    )
-    placed = salted_lookup(shape.select("session_id", "piece"), sessions, "session_id", "piece").where(
-        F.when(F.col("first_piece").isNull(), F.col("piece") == F.col("lowest_piece")).otherwise(
-            F.col("piece").between(F.col("first_piece"), F.col("last_piece"))
-        )
-    )
-
-    pieces = chunks.groupBy("session_id", "piece").agg(
-        F.expr("listagg(payload, '') WITHIN GROUP (ORDER BY seq)").alias("text")
-    )
-    text = F.coalesce("text", F.lit(""))
-    at_start = F.col("first_piece").isNull() | (F.col("piece") == F.col("first_piece"))
-    at_end = F.col("first_piece").isNull() | (F.col("piece") == F.col("last_piece"))
-    trimmed = F.when(at_start, strip_start(text)).otherwise(text)
+    chunks = events.where(F.col("kind") == "chunk").select("session_id", "seq", "payload", F.lit(1).alias("one"))
+    numbered = running_total(in_blocks(chunks, "seq", span), "session_id", "seq", "one", "number", span)
+    part = F.call_function("div", F.col("number"), F.lit(chunks_per_part).cast("bigint"))
+    listed = F.coalesce(F.expr("listagg(payload, '') WITHIN GROUP (ORDER BY seq)"), F.lit(""))
+    parts = numbered.groupBy("session_id", part.alias("part")).agg(listed.alias("text"))
+
+    text_part = F.when(strip(F.col("text")) != "", F.col("part"))
+    ends = parts.groupBy("session_id").agg(F.min(text_part).alias("first"), F.max(text_part).alias("last"))
+    text, empty = F.col("text"), F.col("first").isNull()
+    trimmed = F.when(empty | (F.col("part") == F.col("first")), strip_start(text)).otherwise(text)
     return (
-        pieces.join(placed, ["session_id", "piece"])
+        parts.join(ends, "session_id")
+        .where(F.when(empty, F.col("part") == 0).otherwise(F.col("part").between(F.col("first"), F.col("last"))))
         .withColumn("text", trimmed)
-        .withColumn("text", F.when(at_end, strip_end(F.col("text"))).otherwise(F.col("text")))
-        .withColumn("part", F.when(F.col("whole"), F.lit(0).cast("bigint")).otherwise(F.col("piece")))
-        .groupBy("session_id", "part")
-        .agg(F.expr("listagg(text, '') WITHIN GROUP (ORDER BY piece)").alias("text"))
+        .withColumn("text", F.when(empty | (F.col("part") == F.col("last")), strip_end(text)).otherwise(text))
+        .select("session_id", "part", "text")
     )
 
 

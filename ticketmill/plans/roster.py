@@ -15,7 +15,7 @@ from datetime import timedelta
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ticketmill.functions.access import ROLES, STATUSES, email_in_domain, normalize_email
+from ticketmill.functions.access import ROLES, STATUSES, email_in_domain, is_email, normalize_email
 from ticketmill.functions.text import strip
 from ticketmill.functions.timecalc import ntz_literal
 from ticketmill.operators.carry import DEFAULT_SPAN, carry_forward, in_blocks
@@ -25,6 +25,7 @@ INVITATION_LIFE = timedelta(days=7)  # fixed value
 SEED_SEQ = -(2**63)  # before every command
 
 # Reasons a command is rejected.
+INVALID_EMAIL = "invalid_email"
 UNKNOWN_COMMAND = "unknown_command"
 INVALID_ROLE = "invalid_role"
 INVALID_STATUS = "invalid_status"
@@ -35,9 +36,17 @@ TOKEN_EXPIRED = "token_expired"
 UNKNOWN_USER = "unknown_user"
 
 
+def _names_a_user() -> Column:
+    return is_email(normalize_email(F.col("email")))
+
+
 def _with_start(commands: DataFrame, start: DataFrame | None) -> DataFrame:
-    """The log with normalised text and a starting roster as ``seed`` rows before it."""
-    log = commands.where(F.col("email").isNotNull()).select(
+    """The log of commands that name a user, with normalised text and a starting roster as ``seed`` rows before it.
+
+    Commands without an e-mail are rejected on their own (``roster_rejects``);
+    they belong to nobody's history and do not gather under one empty key.
+    """
+    log = commands.where(_names_a_user()).select(
         normalize_email(F.col("email")).alias("email"),
         "seq",
         "cmd",
@@ -218,9 +227,12 @@ def replay_roster(
 def roster_rejects(
     commands: DataFrame, start: DataFrame | None = None, domain: str | None = None, span: int = DEFAULT_SPAN
 ) -> DataFrame:
-    """Rejected commands with their reason."""
+    """Rejected commands with their reason. Every command is either here or applied to the roster."""
     judged = judge_commands(commands, start, domain, span)
-    return judged.where(F.col("reason").isNotNull()).select("email", "seq", "cmd", "reason")
+    nobody = commands.where(~_names_a_user()).select(
+        normalize_email(F.col("email")).alias("email"), "seq", "cmd", F.lit(INVALID_EMAIL).alias("reason")
+    )
+    return judged.where(F.col("reason").isNotNull()).select("email", "seq", "cmd", "reason").unionByName(nobody)
 
 
 def list_roster(users: DataFrame) -> DataFrame:

@@ -45,7 +45,21 @@ def volume_grain(d_from, d_to) -> str:
     return "daily" if (last - first).days + 1 <= MAX_DAILY_DAYS else "monthly"
 
 
-def closed_volume(tickets: DataFrame, d_from, d_to) -> DataFrame:
-    """Closed tickets at the grain that fits the range; the choice needs only the arguments."""
-    report = {"total": closed_total, "daily": closed_daily, "monthly": closed_monthly}
-    return report[volume_grain(d_from, d_to)](tickets, d_from, d_to)
+def closed_volume(tickets: DataFrame, d_from, d_to, grain: str = "auto") -> DataFrame:
+    """``grain``, ``period`` (its first day, ISO), ``date`` (as shown) and ``count`` at one of three grains.
+
+    ``grain`` is ``total``, ``daily`` or ``monthly``; ``auto`` takes the one that
+    fits the range, by the arguments alone. The columns are the same for all.
+    """
+    grain = volume_grain(d_from, d_to) if grain == "auto" else grain
+    first, _ = check_range(d_from, d_to)
+    if grain == "total":
+        start = F.lit(first.isoformat())
+        rows = closed_total(tickets, d_from, d_to).select(start.alias("period"), start.alias("date"), F.col("total_closed").alias("count"))
+    elif grain == "daily":
+        rows = closed_daily(tickets, d_from, d_to).select(F.col("date").alias("period"), "date", "count")
+    elif grain == "monthly":
+        rows = closed_monthly(tickets, d_from, d_to).select(F.col("month").cast("string").alias("period"), "date", "count")
+    else:
+        raise ValueError(f"unknown grain {grain!r}")
+    return rows.select(F.lit(grain).alias("grain"), "period", "date", "count")
