@@ -123,15 +123,15 @@ TICKET_LINES = Fixture(
 # Tickets stored before the batches arrive.
 STORED_KEYS = Fixture("customer", {"hubspot_ticket_id": "CAST(c_custkey * 7 AS $TEXT)"})
 
+# Turns with gaps between their numbers; those of users are traces.
 CHAT_CHUNKS = Fixture(
     "conversations",
     {
         "session_id": "CAST(conv_id AS $TEXT)",
-        "seq": "turn",
-        "kind": "'chunk'",
+        "seq": "turn * 3",
+        "kind": "CASE WHEN role = 'assistant' THEN 'chunk' ELSE 'trace' END",
         "payload": "concat(' ', $TAB, text, $NEWLINE, '  ')",
     },
-    where="role = 'assistant'",
 )
 
 CHAT_TRACES = Fixture(
@@ -159,8 +159,10 @@ CHAT_GROUP_AGENTS = {"Analytics": "MetricsAgent"}
 ROSTER_LOG = Fixture(
     "events",
     {
-        "email": "concat(' User', CAST(user_id AS $TEXT), CASE WHEN user_id % 13 = 0 THEN '@Other.example' "
-        "ELSE '@Corp.example' END)",
+        "email": "CASE WHEN event_id % 61 = 0 THEN NULL WHEN event_id % 67 = 0 THEN '  ' "
+        "WHEN event_id % 71 = 0 THEN concat('User', CAST(user_id AS $TEXT)) "
+        "ELSE concat(' User', CAST(user_id AS $TEXT), CASE WHEN user_id % 13 = 0 THEN '@Other.example' "
+        "ELSE '@Corp.example' END) END",
         "seq": "event_id",
         "cmd": "CASE WHEN event_id % 43 = 0 THEN 'rename' WHEN event_type = 'signup' THEN 'invite' "
         "WHEN event_type = 'click' THEN 'accept' WHEN event_type = 'view' THEN 'set_role' ELSE 'set_status' END",
@@ -193,11 +195,11 @@ USERS = Fixture(
 )
 
 # What the identity provider holds: some users are unknown to it, and some are known to
-# it only. ``grps`` is a list as comma-separated text.
+# it only; every seventh has a second account. ``grps`` is a list as comma-separated text.
 PROVIDER = Fixture(
     "customer",
     {
-        "email": "concat('USER', CAST(c_custkey + 40 AS $TEXT), '@corp.example')",
+        "email": "concat('USER', CAST(c_custkey + CASE WHEN c_custkey % 7 = 0 THEN 39 ELSE 40 END AS $TEXT), '@corp.example')",
         "username": "concat('u-', CAST(c_custkey AS $TEXT))",
         "grps": "CASE WHEN c_custkey % 5 = 0 THEN 'Agent' WHEN c_custkey % 5 = 1 THEN 'Supervisor' "
         "WHEN c_custkey % 5 = 2 THEN 'Agent,Supervisor' WHEN c_custkey % 5 = 3 THEN 'Beta,Agent' ELSE NULL END",
@@ -220,6 +222,31 @@ ROLE_REQUESTS = Fixture(
     {
         "email": "concat('User', CAST(o_custkey + 20 AS $TEXT), '@corp.example')",
         "seq": "o_orderkey",
-        "target_role": "CASE WHEN o_orderkey % 3 = 0 THEN 'Supervisor' WHEN o_orderkey % 3 = 1 THEN 'Agent' ELSE NULL END",
+        "target_role": "CASE WHEN o_orderkey % 11 = 0 THEN 'Manager' WHEN o_orderkey % 3 = 0 THEN 'Supervisor' "
+        "WHEN o_orderkey % 3 = 1 THEN 'Agent' ELSE NULL END",
+    },
+)
+
+STATUS_REQUESTS = Fixture(
+    "orders",
+    {
+        "email": "concat('User', CAST(o_custkey + 20 AS $TEXT), '@corp.example')",
+        "seq": "o_orderkey",
+        "target_status": "CASE WHEN o_orderkey % 13 = 0 THEN 'paused' WHEN o_orderkey % 3 = 0 THEN 'revoked' "
+        "WHEN o_orderkey % 3 = 1 THEN 'active' ELSE 'pending' END",
+    },
+)
+
+# Requests that pass the whole gate; ``grps`` is a list as comma-separated text.
+GATE_REQUESTS = Fixture(
+    "orders",
+    {
+        "request_id": "o_orderkey",
+        "email": "CASE WHEN o_orderkey % 53 = 0 THEN 'nobody' WHEN o_orderkey % 59 = 0 THEN NULL WHEN o_orderkey % 47 = 0 "
+        "THEN concat('User', CAST(o_custkey AS $TEXT), '@other.example') "
+        "ELSE concat('User', CAST(o_custkey + 30 AS $TEXT), '@CORP.example') END",
+        "grps": "CASE WHEN o_orderkey % 5 = 0 THEN 'Supervisor' WHEN o_orderkey % 5 = 1 THEN 'Beta' WHEN o_orderkey % 5 = 2 THEN NULL "
+        "ELSE 'Beta,Agent' END",
+        "required_role": "CASE WHEN o_orderstatus = 'F' THEN 'Agent' WHEN o_orderstatus = 'O' THEN 'Supervisor' ELSE NULL END",
     },
 )

@@ -153,8 +153,9 @@ def _documents(since: str, limit: str) -> str:
         "'owner_id', owner_id, 'owner_name', owner_name) AS VARCHAR)"
     )
     return _tickets(
-        f"SELECT hubspot_ticket_id AS id, {text} AS text, {metadata} AS metadata FROM t "
-        f"WHERE closed_at >= TIMESTAMP '{since}' ORDER BY closed_at DESC, hubspot_ticket_id {limit}"
+        f"SELECT hubspot_ticket_id AS id, {text} AS text, {metadata} AS metadata, "
+        "row_number() OVER (ORDER BY closed_at DESC, hubspot_ticket_id) AS position FROM t "
+        f"WHERE closed_at >= TIMESTAMP '{since}' ORDER BY position {limit}"
     )
 
 
@@ -225,6 +226,17 @@ def _parsed(query: str) -> str:
     )
 
 
+def _ingested(report: str) -> str:
+    """A report on the tickets of all lines, ingested as one batch; ``t`` stands for them."""
+    head, tickets, tail = report.partition(fx.TICKETS.sql())
+    assert head == "WITH t AS (" and tickets
+    first = (
+        "SELECT * FROM p WHERE error IS NULL "
+        "QUALIFY row_number() OVER (PARTITION BY hubspot_ticket_id ORDER BY pos) = 1"
+    )
+    return _parsed("SELECT * FROM t").removesuffix(" SELECT * FROM t") + f", t AS ({first}" + tail
+
+
 def _trace_fields(query: str) -> str:
     """CTE ``f``: traces with the four tool fields."""
 
@@ -260,21 +272,20 @@ _SUMMARY = (
 )
 
 
-def _session_parts() -> str:
-    """Pieces of two turns; sessions of up to 1000 characters stay whole."""
-    sized = (
-        "SELECT session_id, sum(length(payload)) AS chars, string_agg(payload, '' ORDER BY seq) AS answer, "
-        "min(seq // 2) FILTER (trim(payload, " + SPACE + ") <> '') AS a, max(seq // 2) FILTER (trim(payload, " + SPACE + ") <> '') AS z "
-        "FROM x GROUP BY 1"
+def _session_parts(size: int) -> str:
+    """Parts of ``size`` chunks, counted from the first of a session, without those before and after its text."""
+    numbered = f"SELECT *, (row_number() OVER (PARTITION BY session_id ORDER BY seq) - 1) // {size} AS part FROM x WHERE kind = 'chunk'"
+    parts = "SELECT session_id, part, string_agg(payload, '' ORDER BY seq) AS piece FROM n GROUP BY 1, 2"
+    ends = (
+        f"SELECT *, min(part) FILTER (trim(piece, {SPACE}) <> '') OVER s AS a, max(part) FILTER (trim(piece, {SPACE}) <> '') OVER s AS z "
+        "FROM k WINDOW s AS (PARTITION BY session_id)"
     )
-    pieces = "SELECT session_id, seq // 2 AS part, string_agg(payload, '' ORDER BY seq) AS piece FROM x GROUP BY 1, 2"
     query = (
-        f"SELECT session_id, CAST(0 AS BIGINT) AS part, trim(answer, {SPACE}) AS text FROM s WHERE chars <= 1000 UNION ALL "
-        f"SELECT session_id, part, CASE WHEN a = z THEN trim(piece, {SPACE}) WHEN part = a THEN ltrim(piece, {SPACE}) "
-        f"WHEN part = z THEN rtrim(piece, {SPACE}) ELSE piece END AS text "
-        "FROM s JOIN k USING (session_id) WHERE chars > 1000 AND part BETWEEN a AND z"
+        f"SELECT session_id, part, CASE WHEN a IS NULL OR a = z THEN trim(piece, {SPACE}) WHEN part = a THEN ltrim(piece, {SPACE}) "
+        f"WHEN part = z THEN rtrim(piece, {SPACE}) ELSE piece END AS text FROM e "
+        "WHERE CASE WHEN a IS NULL THEN part = 0 ELSE part BETWEEN a AND z END"
     )
-    return _with(query, x=fx.CHAT_CHUNKS.sql(), s=sized, k=pieces)
+    return _with(query, x=fx.CHAT_CHUNKS.sql(), n=numbered, k=parts, e=ends)
 
 
 def _roster(query: str, with_start: bool) -> str:
@@ -282,7 +293,7 @@ def _roster(query: str, with_start: bool) -> str:
     log = (
         "SELECT lower(trim(email)) AS email, seq, cmd, role, status, "
         "CASE WHEN cmd = 'accept' THEN trim(token) ELSE token END AS token, cmd_at, actor, "
-        "row_number() OVER (PARTITION BY lower(trim(email)) ORDER BY seq) AS rn FROM r"
+        "row_number() OVER (PARTITION BY lower(trim(email)) ORDER BY seq) AS rn FROM r WHERE contains(email, '@')"
     )
     everyone = "SELECT DISTINCT email FROM log" + (" UNION SELECT email FROM u" if with_start else "")
     start = "SELECT * FROM u" if with_start else "SELECT * FROM u WHERE FALSE"
@@ -323,12 +334,17 @@ _LAST_STATE = (
     "SELECT email, role, status, invited_by, token, token_expires_at, created_at, updated_at FROM st "
     "WHERE status IS NOT NULL QUALIFY row_number() OVER (PARTITION BY email ORDER BY rn DESC) = 1"
 )
-_REJECTS = "SELECT email, seq, cmd, reason FROM st WHERE reason IS NOT NULL"
+_REJECTS = (
+    "SELECT email, seq, cmd, reason FROM st WHERE reason IS NOT NULL UNION ALL "
+    "SELECT lower(trim(email)), seq, cmd, 'invalid_email' FROM r WHERE NOT coalesce(contains(email, '@'), FALSE)"
+)
 
 
 def _access(query: str) -> str:
     provider = (
-        "SELECT lower(email) AS email, username, coalesce(string_split(grps, ','), CAST([] AS VARCHAR[])) AS groups FROM raw_provider"
+        "SELECT lower(email) AS email, username, coalesce(string_split(grps, ','), CAST([] AS VARCHAR[])) AS groups, "
+        "count(*) OVER (PARTITION BY lower(email)) AS accounts FROM raw_provider "
+        "QUALIFY row_number() OVER (PARTITION BY lower(email) ORDER BY username) = 1"
     )
     return _with(
         query,
@@ -341,7 +357,7 @@ def _access(query: str) -> str:
 
 _DRIFT = (
     "SELECT coalesce(u.email, g.email) AS email, u.role AS db_role, u.status AS db_status, g.username, "
-    "coalesce(array_to_string(g.groups, ','), '') AS groups, "
+    "coalesce(array_to_string(g.groups, ','), '') AS groups, coalesce(accounts, 0) AS accounts, "
     "u.email IS NOT NULL AND (coalesce(list_contains(g.groups, u.role), FALSE) OR g.username IS NULL) AS in_sync "
     "FROM u FULL OUTER JOIN g ON u.email = g.email"
 )
@@ -358,15 +374,16 @@ def _plan(query: str, change: bool) -> str:
     else:
         wanted = "SELECT email, CAST(NULL AS VARCHAR) AS target, role AS db_from, TRUE AS known FROM u"
     joined = (
-        "SELECT w.*, coalesce(target, db_from) AS db_to, CASE WHEN target IS NULL THEN 'repair' ELSE 'change' END AS verb, "
-        "known AND g.username IS NOT NULL AS linked, g.username, g.groups, "
-        "CASE WHEN coalesce(target, db_from) = 'Agent' THEN 'Supervisor' ELSE 'Agent' END AS other "
-        "FROM wanted w LEFT JOIN g ON w.email = g.email"
+        "SELECT *, CASE WHEN db_to = 'Agent' THEN 'Supervisor' ELSE 'Agent' END AS other FROM ("
+        "SELECT w.*, coalesce(target NOT IN ('Agent', 'Supervisor'), FALSE) AS refused, "
+        "CASE WHEN refused THEN db_from ELSE coalesce(target, db_from) END AS db_to, "
+        "CASE WHEN target IS NULL THEN 'repair' ELSE 'change' END AS verb, "
+        "known AND g.username IS NOT NULL AS linked, g.username, g.groups FROM wanted w LEFT JOIN g ON w.email = g.email)"
     )
     marked = (
-        "SELECT *, known AND target IS NOT NULL AND target IS DISTINCT FROM db_from AS db_changed, "
-        "linked AND (NOT list_contains(groups, db_to) OR list_contains(groups, other)) AS groups_changed, "
-        "CASE WHEN linked THEN list_concat(list_filter(groups, lambda x: x <> other), "
+        "SELECT *, NOT refused AND known AND target IS NOT NULL AND target IS DISTINCT FROM db_from AS db_changed, "
+        "NOT refused AND linked AND (NOT list_contains(groups, db_to) OR list_contains(groups, other)) AS groups_changed, "
+        "CASE WHEN linked AND refused THEN groups WHEN linked THEN list_concat(list_filter(groups, lambda x: x <> other), "
         "CASE WHEN list_contains(groups, db_to) THEN CAST([] AS VARCHAR[]) ELSE [db_to] END) "
         "ELSE CAST([] AS VARCHAR[]) END AS after FROM joined"
     )
@@ -375,7 +392,7 @@ def _plan(query: str, change: bool) -> str:
         "db_from, db_to, CASE WHEN linked THEN username END AS username, "
         "CASE WHEN linked THEN array_to_string(groups, ',') ELSE '' END AS groups_before, "
         "array_to_string(after, ',') AS groups_after, db_changed, groups_changed, groups_changed AS tokens_revoked, "
-        "CASE WHEN NOT known THEN 'user_not_in_DB' WHEN NOT linked AND verb = 'repair' THEN 'cognito_user_not_found' "
+        "CASE WHEN refused THEN 'invalid_role' WHEN NOT known THEN 'user_not_in_DB' WHEN NOT linked AND verb = 'repair' THEN 'cognito_user_not_found' "
         "WHEN NOT linked AND db_changed THEN 'cognito_user_not_found; DB updated' "
         "WHEN linked AND (db_changed OR groups_changed) THEN 'ok' ELSE 'noop' END AS status, after FROM marked"
     )
@@ -406,7 +423,7 @@ ORACLES: dict[str, str] = {
     ),
     "export_documents": _documents("2024-01-20 00:00:00", "LIMIT 500"),
     "export_all_documents": _documents("2024-01-20 00:00:00", ""),
-    "export_recent_documents": _documents("2024-01-21 06:00:00", "LIMIT 5000"),
+    "export_recent_documents": _documents("2024-01-21 06:00:00", ""),
     "run_sql": _tickets(
         "SELECT category, count(*) AS tickets, max(closed_at) AS last_closed FROM t "
         "WHERE closed_at >= TIMESTAMP '2024-01-10' AND source = 'Email' GROUP BY category"
@@ -430,7 +447,8 @@ ORACLES: dict[str, str] = {
     "iso_text": _tickets(f"SELECT hubspot_ticket_id, {_iso('closed_at')} AS closed_at FROM t"),
     "effective_role": _access(
         "SELECT username, CASE WHEN list_contains(groups, 'Supervisor') THEN 'Supervisor' ELSE 'Agent' END AS role, "
-        "array_to_string(list_sort(list_distinct(groups)), ',') AS groups_text FROM g"
+        "array_to_string(list_sort(list_distinct(groups)), ',') AS groups_text FROM "
+        "(SELECT username, coalesce(string_split(grps, ','), CAST([] AS VARCHAR[])) AS groups FROM raw_provider)"
     ),
     "day_expansion": _timed(
         "SELECT hubspot_ticket_id, CAST(CAST(d AS DATE) AS VARCHAR) AS open_day, CAST(dow AS INTEGER) AS dow, "
@@ -464,9 +482,10 @@ ORACLES: dict[str, str] = {
     "closed_total": _total(STANDARD),
     "closed_daily": _daily(DAYS),
     "closed_monthly": _monthly(MONTHS),
-    "closed_volume_one_day": _total(ONE_DAY),
-    "closed_volume_daily": _daily(DAYS),
-    "closed_volume_monthly": _monthly(MONTHS, month=False),
+    "closed_volume_one_day": f"SELECT 'total' AS grain, '{ONE_DAY[0]}' AS period, '{ONE_DAY[0]}' AS date, total_closed AS count FROM ({_total(ONE_DAY)})",
+    "closed_volume_daily": f"SELECT 'daily' AS grain, date AS period, date, count FROM ({_daily(DAYS)})",
+    "closed_volume_monthly": f"SELECT 'monthly' AS grain, month AS period, date, count FROM ({_monthly(MONTHS)})",
+    "closed_volume_by_day": f"SELECT 'daily' AS grain, date AS period, date, count FROM ({_daily(MONTHS)})",
     "resolution_by_agent": _mean_by(AGENT_NAME, "agent", "total_closed", STANDARD),
     "resolution_by_agent_top": _mean_by(
         AGENT_NAME, "agent", "total_closed", STANDARD, limit="ORDER BY avg_hours_business, total_closed DESC, agent LIMIT 5"
@@ -491,11 +510,8 @@ ORACLES: dict[str, str] = {
     ),
     "wide_closed_daily": _daily(WIDE, fx.WIDE_TICKETS),
     "wide_closed_monthly": _monthly(WIDE, fx.WIDE_TICKETS),
-    "session_text": _with(
-        f"SELECT session_id, CAST(0 AS BIGINT) AS part, trim(string_agg(payload, '' ORDER BY seq), {SPACE}) AS text FROM x GROUP BY 1",
-        x=fx.CHAT_CHUNKS.sql(),
-    ),
-    "session_text_parts": _session_parts(),
+    "session_text": _session_parts(4096),
+    "session_text_parts": _session_parts(2),
     "tool_invocations": _trace_fields(
         f"SELECT session_id, seq, action_group, api_path, http_method, status FROM f WHERE {_USED}"
     ),
@@ -529,8 +545,60 @@ ORACLES: dict[str, str] = {
         "FROM u WHERE token IS NOT NULL"
     ),
     "stream_ingest": _parsed(f"SELECT {TICKET_COLUMNS}, pos, batch_id FROM ranked WHERE r = 1"),
+    "stream_ingest_counts": _parsed(
+        "SELECT batch_id, count(*) FILTER (p.error IS NULL AND r = 1) AS inserted, count(*) FILTER (p.error IS NOT NULL) AS skipped, "
+        "count(*) FILTER (p.error IS NULL AND r > 1) AS duplicate, count(*) AS total_processed "
+        "FROM p LEFT JOIN (SELECT pos, r FROM ranked) USING (pos) GROUP BY batch_id"
+    ),
     "stream_closed_daily": _tickets(
-        "SELECT CAST(d AS VARCHAR) AS day, count FROM c WHERE d + INTERVAL 1 DAY <= (SELECT max(closed_at) FROM t) - INTERVAL 2 DAY",
-        c="SELECT CAST(closed_at AS DATE) AS d, count(*) AS count FROM t WHERE closed_at IS NOT NULL GROUP BY 1",
+        "SELECT CAST(CAST(closed_at AS DATE) AS VARCHAR) AS day, count(*) AS count FROM t WHERE closed_at IS NOT NULL GROUP BY 1"
+    ),
+    "plan_status_change": _access(
+        "SELECT w.email, u.status AS status_from, w.status_to, CASE WHEN applies AND g.username IS NOT NULL THEN g.username END AS username, "
+        "CASE WHEN applies AND g.username IS NOT NULL THEN CASE WHEN status_to = 'revoked' THEN 'disable' ELSE 'enable' END END AS account_action, "
+        "applies AND status_to = 'revoked' AS token_cleared, applies AND g.username IS NOT NULL AND status_to = 'revoked' AS tokens_revoked, "
+        "CASE WHEN NOT valid THEN 'invalid_status' WHEN NOT applies THEN 'user_not_in_DB' "
+        "WHEN g.username IS NULL THEN 'cognito_user_not_found; DB updated' ELSE 'ok' END AS status FROM ("
+        "SELECT w.*, status_to IN ('pending', 'active', 'revoked') AS valid, "
+        "valid AND w.email IN (SELECT email FROM u) AS applies FROM ("
+        "SELECT lower(email) AS email, target_status AS status_to FROM (" + fx.STATUS_REQUESTS.sql() + ") "
+        "QUALIFY row_number() OVER (PARTITION BY lower(email) ORDER BY seq DESC) = 1) w) w "
+        "LEFT JOIN u ON w.email = u.email LEFT JOIN g ON w.email = g.email"
+    ),
+    "access_gate": _access(
+        "SELECT request_id, lower(trim(x.email)) AS email, required_role, "
+        "CASE WHEN NOT coalesce(ends_with(lower(trim(x.email)), '@corp.example'), FALSE) THEN 'domain_not_allowed' "
+        "WHEN NOT (list_contains(grp, 'Agent') OR list_contains(grp, 'Supervisor')) THEN 'group_missing' "
+        "WHEN u.status IS DISTINCT FROM 'active' THEN 'not_authorized' "
+        "WHEN required_role IS NULL THEN 'ok' "
+        "WHEN required_role = 'Agent' THEN 'ok' "
+        "WHEN u.role = 'Supervisor' AND list_contains(grp, 'Supervisor') THEN 'ok' ELSE 'role_mismatch' END AS outcome "
+        "FROM (SELECT *, coalesce(string_split(grps, ','), CAST([] AS VARCHAR[])) AS grp FROM (" + fx.GATE_REQUESTS.sql() + ")) x "
+        "LEFT JOIN u ON lower(trim(x.email)) = u.email"
     ),
+    "ingested_resolution_by_source": _ingested(_mean_by(SOURCE, "source", "tickets", ALL)),
+    "ingested_closed_daily": _ingested(_daily(STANDARD)),
+    "stored_resolution_by_agent": _mean_by(AGENT_NAME, "agent", "total_closed", STANDARD),
+    "stored_top_categories": _counts(STANDARD, limit="LIMIT 10", category=CATEGORY),
+}
+
+_BY_COUNT = "count DESC, "
+# The order of each report as SQL; a query that returned its rows in another one would not match.
+ORDERS = {
+    "list_roster": "created_at DESC NULLS FIRST, email",
+    "category_counts": _BY_COUNT + "category",
+    "category_counts_top": _BY_COUNT + "category",
+    "top_categories": _BY_COUNT + "category",
+    "tickets_by_source": _BY_COUNT + "source",
+    "top_agents": _BY_COUNT + "agent",
+    "top_subcategories": _BY_COUNT + "category, subcategory",
+    "top_subcategories_top": _BY_COUNT + "category, subcategory",
+    "closed_daily": "date",
+    "closed_monthly": "month",
+    "resolution_by_agent": "avg_hours_business, total_closed DESC, agent",
+    "resolution_by_agent_top": "avg_hours_business, total_closed DESC, agent",
+    "resolution_by_source": "avg_hours_business, tickets DESC, source",
+    "resolution_by_source_desc": "avg_hours_business DESC, tickets DESC, source",
+    "slow_cases": "hours_business_resolution DESC, closed_at DESC, hubspot_ticket_id",
 }
+ORACLES |= {name: f"SELECT *, row_number() OVER (ORDER BY {order}) AS position FROM ({ORACLES[name]})" for name, order in ORDERS.items()}

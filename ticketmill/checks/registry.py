@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable
 from datetime import datetime
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ticketmill.checks import fixtures as fx
@@ -40,10 +40,29 @@ def _on(fixture: fx.Fixture, report: Callable, *args, **kwargs) -> Query:
     return lambda spark, sf_dir: report(fixture.frame(spark, sf_dir), *args, **kwargs)
 
 
+def _in_order(query: Query) -> Query:
+    """Adds each row's ``position`` in the order in which the query returns its rows."""
+
+    def ranked(spark: SparkSession, sf_dir: str) -> DataFrame:
+        rows = query(spark, sf_dir).withColumn("_at", F.monotonically_increasing_id())
+        return rows.withColumn("position", F.row_number().over(Window.orderBy("_at")).cast("bigint")).drop("_at")
+
+    return ranked
+
+
+def _on_stored(report: Callable, *args, **kwargs) -> Query:
+    """A query that stores the tickets, reads the range back and runs a report on it."""
+
+    def query(spark: SparkSession, sf_dir: str) -> DataFrame:
+        path = scratch_path(spark, "tickets")
+        tickets.write_tickets(fx.TICKETS.frame(spark, sf_dir), path)
+        return report(tickets.read_tickets(spark, path, d_from=args[0], d_to=args[1]), *args, **kwargs)
+
+    return query
+
+
 def _stored_tickets(spark: SparkSession, sf_dir: str) -> DataFrame:
-    path = scratch_path(spark, "tickets")
-    tickets.write_tickets(fx.TICKETS.frame(spark, sf_dir), path)
-    return tickets.read_tickets(spark, path, d_from=STANDARD[0], d_to=STANDARD[1]).select(*TICKETS.fieldNames())
+    return _on_stored(lambda stored, *_: stored.select(*TICKETS.fieldNames()), *STANDARD)(spark, sf_dir)
 
 
 def _valid(spark, sf_dir):
@@ -61,7 +80,7 @@ def _inserted(spark, sf_dir):
 
 
 def _tagged(spark, sf_dir):
-    rows = batches.parse_ticket_rows(fx.TICKET_LINES.frame(spark, sf_dir))
+    rows = ingest.staged(batches.parse_ticket_rows(fx.TICKET_LINES.frame(spark, sf_dir)), scratch_path(spark, "staging"))
     return ingest.tag_rows(rows, fx.STORED_KEYS.frame(spark, sf_dir))
 
 
@@ -74,7 +93,7 @@ def _documents(limit):
 
 
 def _recent_documents(spark, sf_dir):
-    docs = documents.export_documents(fx.TICKETS.frame(spark, sf_dir), now=datetime(2024, 2, 20, 6, 0))
+    docs = documents.export_documents(fx.TICKETS.frame(spark, sf_dir), days=30, now=datetime(2024, 2, 20, 6, 0))
     return docs.select("id", "text", ft.json_text(F.col("metadata")).alias("metadata"))
 
 
@@ -183,28 +202,56 @@ def _replay(report: Callable, with_start: bool) -> Query:
     return query
 
 
-def _stream_ingest(spark, sf_dir):
+def _streamed_in(spark, sf_dir) -> str:
     """The batches as files, one streaming run per batch, in batch order."""
     base = scratch_path(spark, "stream-ingest")
     lines = fx.TICKET_LINES.frame(spark, sf_dir)
     for batch in range(4):
         lines.where(F.col("batch_id") == batch).select("pos", "line").write.mode("append").json(f"{base}/landing")
         arriving = stream_ingest.read_line_stream(spark, f"{base}/landing")
-        folders = [f"{base}/{name}" for name in ("tickets", "rejects", "staging", "checkpoint")]
-        run = stream_ingest.stream_ingest(arriving, *folders)
-        run.awaitTermination()
-    stored = spark.read.schema(ingest.STORED).parquet(f"{base}/tickets")
+        stream_ingest.stream_ingest(arriving, f"{base}/store", f"{base}/checkpoint").awaitTermination()
+    return f"{base}/store"
+
+
+def _stream_ingest(spark, sf_dir):
+    stored = spark.read.schema(ingest.STORED).parquet(f"{_streamed_in(spark, sf_dir)}/tickets")
     return stored.select(*TICKETS.fieldNames(), "pos", F.col("ingest_id").alias("batch_id"))
 
 
+def _stream_ingest_counts(spark, sf_dir):
+    counts = ingest.ingest_counts(spark, _streamed_in(spark, sf_dir))
+    return counts.withColumnRenamed("ingest_id", "batch_id")
+
+
+def _ingested(report: Callable, *args) -> Query:
+    """A query that ingests all lines as one batch and runs a report on the table."""
+
+    def query(spark, sf_dir):
+        base = scratch_path(spark, "ingest")
+        ingest.ingest_lines(fx.TICKET_LINES.frame(spark, sf_dir).select("pos", "line"), base, 0)
+        return report(tickets.read_tickets(spark, f"{base}/tickets", d_from=args[0], d_to=args[1]), *args)
+
+    return query
+
+
+def _status_plan(spark, sf_dir):
+    return access.plan_status_change(
+        fx.USERS.frame(spark, sf_dir), _groups(spark, sf_dir), fx.STATUS_REQUESTS.frame(spark, sf_dir)
+    )
+
+
+def _access_gate(spark, sf_dir):
+    requests = fx.GATE_REQUESTS.frame(spark, sf_dir).withColumn("groups", F.split("grps", ",")).drop("grps")
+    return access.access_gate(requests, fx.USERS.frame(spark, sf_dir), DOMAIN)
+
+
 def _stream_closed_daily(spark, sf_dir):
     """The narrow tickets, written once, read back as a stream of files."""
     base = scratch_path(spark, "stream-volume")
     fx.TICKETS.frame(spark, sf_dir).select("hubspot_ticket_id", "closed_at").write.parquet(f"{base}/tickets")
     arriving = spark.readStream.schema("hubspot_ticket_id STRING, closed_at TIMESTAMP_NTZ").parquet(f"{base}/tickets")
-    run = stream_volume.stream_closed_daily(arriving, f"{base}/daily", f"{base}/checkpoint")
-    run.awaitTermination()
-    days = spark.read.schema("day DATE, count BIGINT").parquet(f"{base}/daily")
+    stream_volume.stream_closed_daily(arriving, f"{base}/daily", f"{base}/checkpoint").awaitTermination()
+    days = stream_volume.read_closed_daily(spark, f"{base}/daily")
     return days.select(F.col("day").cast("string").alias("day"), "count")
 
 
@@ -259,9 +306,8 @@ QUERIES: dict[str, Query] = {
     "closed_monthly": _closed_monthly(fx.TICKETS, MONTHS),
     "closed_volume_one_day": _on(fx.TICKETS, volume.closed_volume, *ONE_DAY),
     "closed_volume_daily": _on(fx.TICKETS, volume.closed_volume, *DAYS),
-    "closed_volume_monthly": lambda spark, sf_dir: volume.closed_volume(fx.TICKETS.frame(spark, sf_dir), *MONTHS).select(
-        "date", "count"
-    ),
+    "closed_volume_monthly": _on(fx.TICKETS, volume.closed_volume, *MONTHS),
+    "closed_volume_by_day": _on(fx.TICKETS, volume.closed_volume, *MONTHS, grain="daily"),
     # Time to resolve
     "resolution_by_agent": _on(fx.TICKETS, resolution.resolution_by_agent, *STANDARD),
     "resolution_by_agent_top": _on(fx.TICKETS, resolution.resolution_by_agent, *STANDARD, top=5),
@@ -283,7 +329,7 @@ QUERIES: dict[str, Query] = {
     "wide_closed_monthly": _closed_monthly(fx.WIDE_TICKETS, WIDE),
     # Chat
     "session_text": _on(fx.CHAT_CHUNKS, chat.session_text),
-    "session_text_parts": _on(fx.CHAT_CHUNKS, chat.session_text, chunks_per_piece=2, max_whole_chars=1000),
+    "session_text_parts": _on(fx.CHAT_CHUNKS, chat.session_text, chunks_per_part=2),
     "tool_invocations": _on(fx.CHAT_TRACES, chat.tool_invocations),
     "session_summary": _on(fx.CHAT_TRACES, chat.session_summary, fx.CHAT_AGENTS, fx.CHAT_GROUP_AGENTS),
     "tool_usage": _on(fx.CHAT_TRACES, chat.tool_usage),
@@ -298,8 +344,39 @@ QUERIES: dict[str, Query] = {
     "plan_role_sync": _role_sync(change=False),
     "plan_role_change": _role_sync(change=True),
     "audit_rows": _audit_rows,
+    "plan_status_change": _status_plan,
+    "access_gate": _access_gate,
     "invite_status": _on(fx.USERS, roster.invite_status, NOW),
     # Streaming
     "stream_ingest": _stream_ingest,
+    "stream_ingest_counts": _stream_ingest_counts,
     "stream_closed_daily": _stream_closed_daily,
+    # Reports on the table that an ingest has written, and on stored tickets
+    "ingested_resolution_by_source": _ingested(resolution.resolution_by_source, *ALL),
+    "ingested_closed_daily": _ingested(volume.closed_daily, *STANDARD),
+    "stored_resolution_by_agent": _on_stored(resolution.resolution_by_agent, *STANDARD),
+    "stored_top_categories": _on_stored(counts.top_categories, *STANDARD),
 }
+
+# Reports whose order is part of the result.
+ORDERED = (
+    "list_roster",
+    "export_documents",
+    "export_all_documents",
+    "export_recent_documents",
+    "category_counts",
+    "category_counts_top",
+    "top_categories",
+    "tickets_by_source",
+    "top_agents",
+    "top_subcategories",
+    "top_subcategories_top",
+    "closed_daily",
+    "closed_monthly",
+    "resolution_by_agent",
+    "resolution_by_agent_top",
+    "resolution_by_source",
+    "resolution_by_source_desc",
+    "slow_cases",
+)
+QUERIES |= {name: _in_order(QUERIES[name]) for name in ORDERED}
