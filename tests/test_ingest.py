@@ -6,10 +6,11 @@ import pytest
 from pyspark.sql import functions as F
 
 from ticketmill.operators import ingest
+from ticketmill.plans import resolution
 from ticketmill.sources import batches, documents, sql, tickets
 from ticketmill.sources.schemas import TICKET_LINES, TICKETS
 from ticketmill.streaming.ingest import read_line_stream, stream_ingest
-from ticketmill.streaming.volume import stream_closed_daily
+from ticketmill.streaming.volume import read_closed_daily, stream_closed_daily
 
 
 def lines(spark, items):
@@ -97,62 +98,110 @@ def random_batch(rng, n):
     return [{"hubspot_ticket_id": rng.choice(["", "hot", "hot", str(rng.randrange(40))]), "subject": str(i)} for i in range(n)]
 
 
+def table_of(spark, base):
+    return spark.read.schema(ingest.STORED).parquet(f"{base}/tickets")
+
+
 def test_ingest_laws(spark, tmp_path):
     """First wins; repeating a batch inserts nothing; counts add up; a replay changes nothing."""
     rng = random.Random(3)
-    folders = [str(tmp_path / name) for name in ("tickets", "rejects", "staging")]
+    base = str(tmp_path)
     stored, subject = set(), {}
     given = [random_batch(rng, 60) for _ in range(3)]
     given.append(given[0])
     for number, batch in enumerate(given):
-        rows = batches.parse_ticket_rows(lines(spark, batch))
-        report = ingest.ingest_report(ingest.tag_rows(rows, ingest.stored_before(spark, folders[0], number), order_cols=["pos"])).first()
         fresh = {x["hubspot_ticket_id"] for x in batch} - stored - {""}
         for x in reversed(batch):
             if x["hubspot_ticket_id"] in fresh:
                 subject[x["hubspot_ticket_id"]] = x["subject"]
         stored |= fresh
-        assert report.inserted == len(fresh)
-        assert report.skipped == sum(not x["hubspot_ticket_id"] for x in batch)
-        assert report.inserted + report.skipped + report.duplicate == report.total_processed == len(batch)
         for _ in range(2):  # the second run replaces the first
-            ingest.ingest_lines(lines(spark, batch), *folders, number)
-    assert report.inserted == 0
-    table = spark.read.schema(ingest.STORED).parquet(folders[0])
+            ingest.ingest_lines(lines(spark, batch), base, number)
+        report = ingest.ingest_counts(spark, base).where(f"ingest_id = {number}").collect()
+        assert len(report) == 1
+        assert report[0].inserted == len(fresh)
+        assert report[0].skipped == sum(not x["hubspot_ticket_id"] for x in batch)
+        assert report[0].inserted + report[0].skipped + report[0].duplicate == report[0].total_processed == len(batch)
+    assert report[0].inserted == 0
+    table = table_of(spark, base)
     assert {r.hubspot_ticket_id: r.subject for r in table.collect()} == subject
     assert table.count() == len(subject)
-    assert spark.read.parquet(folders[1]).count() == sum(not x["hubspot_ticket_id"] for b in given for x in b)
+    assert spark.read.parquet(f"{base}/rejects").count() == sum(not x["hubspot_ticket_id"] for b in given for x in b)
+    assert spark.read.parquet(f"{base}/staging").count() == len(given[-1])
+
+
+def test_tags_agree_with_the_counts(spark, tmp_path):
+    batch = random_batch(random.Random(9), 80)
+    rows = ingest.staged(batches.parse_ticket_rows(lines(spark, batch)), str(tmp_path / "staged"))
+    existing = spark.createDataFrame([("hot",)], "hubspot_ticket_id STRING")
+    report = ingest.ingest_report(ingest.tag_rows(rows, existing, order_cols=["pos"])).first()
+    assert report.inserted == len({x["hubspot_ticket_id"] for x in batch} - {"", "hot"})
+    assert report.total_processed == len(batch)
+
+
+def test_reports_read_what_ingests_insert(spark, tmp_path):
+    base = str(tmp_path)
+    closed = [{"hubspot_ticket_id": str(i), "created_at": "2024-01-03T09:00:00", "closed_at": f"2024-01-0{4 + i % 2}T12:00:00"} for i in range(6)]
+    ingest.ingest_lines(lines(spark, [*closed, {"hubspot_ticket_id": "open"}]), base, 0)
+    ingest.ingest_lines(lines(spark, closed), base, 1)
+    whole = tickets.read_tickets(spark, f"{base}/tickets")
+    assert whole.count() == 7 and whole.where("closed_at IS NULL").count() == 1
+    part = tickets.read_tickets(spark, f"{base}/tickets", d_from="2024-01-04", d_to="2024-01-04")
+    assert part.count() == 3
+    assert "PartitionFilters: [isnotnull(closed_month" in part._jdf.queryExecution().executedPlan().toString()
+    assert resolution.resolution_overall(whole, "2024-01-01", "2024-01-31").first().total_closed == 6
+    assert [r.id for r in documents.export_documents(whole, "2024-01-05").collect()] == ["1", "3", "5"]
+
+
+def test_other_layouts_are_refused(spark, tmp_path):
+    stored(spark).withColumn("ingest_id", F.lit(0)).write.partitionBy("ingest_id").parquet(str(tmp_path / "t"))
+    with pytest.raises(ValueError, match="closed_month"):
+        tickets.read_tickets(spark, str(tmp_path / "t"))
+
+
+def test_keys_are_read_by_bucket(spark, tmp_path):
+    base = str(tmp_path)
+    ingest.ingest_lines(lines(spark, [{"hubspot_ticket_id": str(i)} for i in range(200)]), base, 0)
+    one = spark.createDataFrame([("7",)], "hubspot_ticket_id STRING")
+    found = ingest.keys_before(one, f"{base}/keys", 1)
+    filters = found._jdf.queryExecution().executedPlan().toString().split("PartitionFilters: ")[1].split("PushedFilters")[0]
+    assert "key_bucket" in filters and "ingest_id" in filters
+    kept = {r.hubspot_ticket_id for r in found.collect()}
+    assert "7" in kept and len(kept) < 30
+    assert ingest.keys_before(one, f"{base}/keys", 0).count() == 0
 
 
 def test_streaming_ingest_equals_batches(spark, tmp_path):
     rng = random.Random(5)
     given = [random_batch(rng, 30) for _ in range(3)]
-    landing, folders = str(tmp_path / "landing"), [str(tmp_path / n) for n in ("tickets", "rejects", "staging")]
+    landing, base = str(tmp_path / "landing"), str(tmp_path / "store")
     expected = {}
     for batch in given:
         lines(spark, batch).write.mode("append").json(landing)
-        stream_ingest(read_line_stream(spark, landing), *folders, str(tmp_path / "checkpoint")).awaitTermination()
+        stream_ingest(read_line_stream(spark, landing), base, str(tmp_path / "checkpoint")).awaitTermination()
         seen = {}
         for x in batch:
             if x["hubspot_ticket_id"]:
                 seen.setdefault(x["hubspot_ticket_id"], x["subject"])
         expected = {**seen, **expected}
-    table = spark.read.schema(ingest.STORED).parquet(folders[0])
+    table = table_of(spark, base)
     assert {r.hubspot_ticket_id: r.subject for r in table.collect()} == expected
     assert table.count() == len(expected)
+    assert {r.ingest_id: r.total_processed for r in ingest.ingest_counts(spark, base).collect()} == {0: 30, 1: 30, 2: 30}
 
 
 def test_streaming_days_equal_batch_days(spark, tmp_path):
+    """Every day comes out, late rows included, over several runs."""
     rng = random.Random(1)
     times = [datetime(2024, 1, 1 + rng.randrange(20), rng.randrange(24)) for _ in range(200)] + [None]
-    frame = spark.createDataFrame([(t,) for t in times], "closed_at TIMESTAMP_NTZ")
-    frame.write.parquet(str(tmp_path / "in"))
-    arriving = spark.readStream.schema("closed_at TIMESTAMP_NTZ").parquet(str(tmp_path / "in"))
-    stream_closed_daily(arriving, str(tmp_path / "out"), str(tmp_path / "cp"), "2 days").awaitTermination()
-    got = {r.day: r["count"] for r in spark.read.schema("day DATE, count BIGINT").parquet(str(tmp_path / "out")).collect()}
-    known = [t for t in times if t]
-    passed = {t.date() for t in known if (max(known) - datetime.combine(t.date(), datetime.min.time())).days >= 3}
-    assert got == {d: sum(t.date() == d for t in known) for d in passed}
+    path, out, checkpoint = (str(tmp_path / n) for n in ("in", "out", "cp"))
+    for part in (times[:120], times[120:]):
+        spark.createDataFrame([(t,) for t in part], "closed_at TIMESTAMP_NTZ").write.mode("append").parquet(path)
+        arriving = spark.readStream.schema("closed_at TIMESTAMP_NTZ").parquet(path)
+        stream_closed_daily(arriving, out, checkpoint).awaitTermination()
+    got = {r.day: r["count"] for r in read_closed_daily(spark, out).collect()}
+    known = [t.date() for t in times if t]
+    assert got == {d: known.count(d) for d in set(known)}
 
 
 def stored(spark):
@@ -191,7 +240,7 @@ def test_stored_instants_become_wall_clock(spark, tmp_path):
 def test_export(spark, tmp_path):
     docs = documents.export_documents(stored(spark), "2024-02-10T00:00:00Z", 2)
     assert [r.id for r in docs.collect()] == ["d", "b"]
-    assert [r.id for r in documents.export_documents(stored(spark), now=datetime(2024, 3, 11)).collect()] == ["d", "b", "c"]
+    assert [r.id for r in documents.export_documents(stored(spark), days=30, now=datetime(2024, 3, 11)).collect()] == ["d", "b", "c"]
     documents.write_documents(documents.export_documents(stored(spark), "2024-01-01", None), str(tmp_path / "docs"))
     written = [json.loads(line) for line in "".join(p.read_text() for p in (tmp_path / "docs").glob("*.json")).splitlines()]
     assert {d["id"] for d in written} == {"a", "b", "c", "d"}
@@ -206,6 +255,11 @@ def test_export_arguments(spark):
         documents.export_documents(stored(spark), "yesterday")
     with pytest.raises(ValueError):
         documents.export_documents(stored(spark), "2024-01-01", -1)
+    with pytest.raises(ValueError):
+        documents.export_documents(stored(spark))
+    with pytest.raises(ValueError):
+        documents.export_documents(stored(spark), "2024-01-01", days=3)
+    assert documents.export_documents(stored(spark), "2024-01-01").count() == 4
     assert documents.parse_since("2024-01-05T10:00:00+02:00") == datetime(2024, 1, 5, 8)
 
 

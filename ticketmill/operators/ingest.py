@@ -5,12 +5,13 @@ from __future__ import annotations
 from collections.abc import Sequence
 
 from pyspark.errors import AnalysisException
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ticketmill.sources.batches import parse_ticket_rows, split_ticket_rows
 from ticketmill.sources.schemas import TICKET_KEY, TICKETS
+from ticketmill.sources.tickets import write_tickets
 
 
 def known_keys(keys: DataFrame, existing: DataFrame, key: str) -> DataFrame:
@@ -43,8 +44,9 @@ def tag_rows(
 ) -> DataFrame:
     """Parsed rows with ``status``: ``inserted``, ``duplicate`` or ``skipped``.
 
-    The join back uses the order columns, which are unique, so a frequent key
-    spreads over all tasks.
+    ``rows`` are read twice, so stage them first (``staged``). The join back
+    uses the order columns, which are unique, so a frequent key spreads over
+    all tasks.
     """
     valid = rows.where(F.col("error").isNull()).select(key, *order_cols)
     won = insert_if_absent(valid, existing, key, order_cols).select(*order_cols, F.lit(True).alias("_won"))
@@ -68,32 +70,80 @@ def ingest_report(tagged: DataFrame) -> DataFrame:
 
 
 STORED = T.StructType([*TICKETS.fields, T.StructField("pos", T.LongType()), T.StructField("ingest_id", T.LongType())])
+KEYS = T.StructType([TICKETS[TICKET_KEY], T.StructField("key_bucket", T.IntegerType()), T.StructField("ingest_id", T.LongType())])
+COUNTS = "inserted BIGINT, skipped BIGINT, duplicate BIGINT, total_processed BIGINT, ingest_id BIGINT"
 
+KEY_BUCKETS = 64
 
-def stored_before(spark: SparkSession, path: str, ingest_id: int) -> DataFrame:
-    """Tickets stored by earlier ingests; empty before the first one."""
+
+def staged(rows: DataFrame, path: str) -> DataFrame:
+    """The rows written once and read back by column, so that each line is parsed once."""
+    schema = rows.schema
+    rows.write.mode("overwrite").parquet(path)
+    return rows.sparkSession.read.schema(schema).parquet(path)
+
+
+def _key_bucket() -> Column:
+    return F.pmod(F.xxhash64(TICKET_KEY), F.lit(KEY_BUCKETS)).cast("int").alias("key_bucket")
+
+
+def _read_or_empty(spark: SparkSession, path: str, schema) -> DataFrame:
+    """A stored table; empty before the first ingest."""
     try:
-        stored = spark.read.schema(STORED).parquet(path)
+        return spark.read.schema(schema).parquet(path)
     except AnalysisException as error:
         if error.getCondition() != "PATH_NOT_FOUND":
             raise
-        return spark.createDataFrame([], STORED)
-    return stored.where(F.col("ingest_id") < ingest_id)
+        return spark.createDataFrame([], schema)
 
 
-def ingest_lines(raw: DataFrame, table: str, rejects: str, staging: str, ingest_id: int, tz: str = "UTC") -> None:
-    """Parse one batch (``pos``, ``line``) and store its new tickets and its bad rows.
+def keys_before(rows: DataFrame, path: str, ingest_id: int) -> DataFrame:
+    """Keys of earlier ingests in the buckets that these rows fall into.
 
-    The parsed rows are written once and read back by column, since choosing the
-    new ones needs the keys twice. Each ingest owns one folder in each table and
-    compares with earlier ones only. Running it again replaces those folders
-    with the same rows, also after a partial write.
+    The key table holds nothing but keys, by hash bucket, so an ingest reads the
+    buckets of its own keys (at most KEY_BUCKETS numbers go to the driver) and
+    the Bloom filters of their files, not the tickets.
+    """
+    spark = rows.sparkSession
+    buckets = [r.key_bucket for r in rows.where(F.col(TICKET_KEY).isNotNull()).select(_key_bucket()).distinct().collect()]
+    stored = _read_or_empty(spark, path, KEYS)
+    return stored.where(F.col("key_bucket").isin(buckets) & (F.col("ingest_id") < ingest_id)).select(TICKET_KEY)
+
+
+def ingest_lines(raw: DataFrame, base: str, ingest_id: int, tz: str = "UTC") -> None:
+    """Parse one batch (``pos``, ``line``) and store its new tickets, its bad rows and its counts.
+
+    Below ``base``: ``tickets`` (the table that reports read), ``keys``,
+    ``rejects``, ``counts``, and ``staging`` with the parsed rows of the running
+    ingest alone, which the next one replaces. Each ingest owns its folders
+    ``ingest_id=N`` and compares with earlier ones only. Running it again
+    replaces those folders with the same rows, also after a partial write. The
+    keys are written after the tickets and the counts last, so a row in
+    ``counts`` says that an ingest is complete.
     """
     spark = raw.sparkSession
-    parsed = parse_ticket_rows(raw.select("pos", "line"), tz)
-    folder = f"ingest_id={ingest_id}"
-    parsed.write.mode("overwrite").parquet(f"{staging}/{folder}")
-    valid, rejected = split_ticket_rows(spark.read.schema(parsed.schema).parquet(f"{staging}/{folder}"))
-    fresh = insert_if_absent(valid, stored_before(spark, table, ingest_id), TICKET_KEY, ["pos"])
-    fresh.select(*TICKETS.fieldNames(), "pos").write.mode("overwrite").parquet(f"{table}/{folder}")
-    rejected.write.mode("overwrite").parquet(f"{rejects}/{folder}")
+    rows = staged(parse_ticket_rows(raw.select("pos", "line"), tz), f"{base}/staging")
+    valid, rejected = split_ticket_rows(rows)
+    fresh = insert_if_absent(valid, keys_before(valid, f"{base}/keys", ingest_id), TICKET_KEY, ["pos"])
+    write_tickets(fresh.select(*TICKETS.fieldNames(), "pos"), f"{base}/tickets", "replace", ingest_id)
+    stored = _read_or_empty(spark, f"{base}/tickets", STORED).where(F.col("ingest_id") == ingest_id)
+    (
+        stored.select(TICKET_KEY, _key_bucket(), "ingest_id")
+        .repartition("key_bucket")
+        .write.partitionBy("key_bucket", "ingest_id")
+        .option("partitionOverwriteMode", "dynamic")
+        .option(f"parquet.bloom.filter.enabled#{TICKET_KEY}", "true")
+        .mode("overwrite")
+        .parquet(f"{base}/keys")
+    )
+    rejected.write.mode("overwrite").parquet(f"{base}/rejects/ingest_id={ingest_id}")
+    seen = rows.agg(F.count("*").alias("total_processed"), F.count_if(F.col("error").isNotNull()).alias("skipped"))
+    inserted = F.lit(stored.count())
+    duplicate = F.col("total_processed") - F.col("skipped") - inserted
+    counts = seen.select(inserted.alias("inserted"), "skipped", duplicate.alias("duplicate"), "total_processed")
+    counts.write.mode("overwrite").parquet(f"{base}/counts/ingest_id={ingest_id}")
+
+
+def ingest_counts(spark: SparkSession, base: str) -> DataFrame:
+    """One row for each complete ingest."""
+    return _read_or_empty(spark, f"{base}/counts", COUNTS)

@@ -12,14 +12,13 @@ from ticketmill.functions.timecalc import utc_now, wall_clock_value
 from ticketmill.operators.filters import check_limit, closed_since
 from ticketmill.sources.schemas import TICKET_KEY
 
-DEFAULT_LIMIT = 5000
-DEFAULT_DAYS = 30
 
-
-def parse_since(since: str | datetime | None, now: datetime | None = None, tz: str = "UTC") -> datetime:
-    """Lower bound of an export as wall-clock time; 30 days before ``now`` when not given."""
+def parse_since(since: str | datetime | None, days: int | None = None, now: datetime | None = None, tz: str = "UTC") -> datetime:
+    """Lower bound of an export as wall-clock time: ``since``, or ``days`` before ``now``. One must be given."""
+    if (not since) == (days is None):
+        raise ValueError("give either since or days")
     if not since:
-        return wall_clock_value(now or utc_now(), tz) - timedelta(days=DEFAULT_DAYS)
+        return wall_clock_value(now or utc_now(), tz) - timedelta(days=days)
     if isinstance(since, str):
         since = datetime.fromisoformat(since.replace("Z", ""))
     return wall_clock_value(since, tz)
@@ -29,6 +28,7 @@ def _document_columns(offset: str):
     # Section headings of the document text.
     sections = (("[Asunto]", "subject"), ("[Descripción]", "content"), ("[Resolución]", "resolution"))
     blocks = [F.concat(F.lit(head + "\n"), F.coalesce(F.col(c), F.lit(""))) for head, c in sections]
+    # The metadata keys and their order.
     metadata = F.struct(
         iso_text(F.col("created_at"), offset).alias("created_at"),
         iso_text(F.col("closed_at"), offset).alias("closed_at"),
@@ -46,18 +46,19 @@ def _document_columns(offset: str):
 def export_documents(
     tickets: DataFrame,
     since: str | datetime | None = None,
-    limit: int | None = DEFAULT_LIMIT,
+    limit: int | None = None,
+    days: int | None = None,
     now: datetime | None = None,
     tz: str = "UTC",
     offset: str = "+00:00",
 ) -> DataFrame:
-    """Documents closed since an instant, newest first.
+    """Documents closed since an instant or in the last ``days``, newest first.
 
     With a limit this is a top-k: each task keeps ``limit`` rows. Without one
-    (``limit=None``) rows are range-partitioned by closing time and id, so that
+    rows are range-partitioned by closing time and id, so that
     files come out in order and a busy instant can still be split.
     """
-    recent = closed_since(tickets, parse_since(since, now, tz))
+    recent = closed_since(tickets, parse_since(since, days, now, tz))
     newest = [F.col("closed_at").desc(), F.col(TICKET_KEY).asc()]
     if limit is None:
         ordered = recent.repartitionByRange(*newest).sortWithinPartitions(*newest)

@@ -17,18 +17,16 @@ def read_line_stream(spark: SparkSession, path: str, max_files: int | None = Non
     return reader.json(path)
 
 
-def stream_ingest(
-    lines: DataFrame, table: str, rejects: str, staging: str, checkpoint: str, tz: str = "UTC"
-) -> StreamingQuery:
+def stream_ingest(lines: DataFrame, base: str, checkpoint: str, tz: str = "UTC") -> StreamingQuery:
     """Ingest all available lines; the first line of a key wins, then and in later runs.
 
-    The micro-batch id names the output folder, so a replayed micro-batch
-    replaces its own rows and compares with earlier ones only. All folders must
-    lie in shared storage.
+    The micro-batch id names the output folders below ``base``, so a replayed
+    micro-batch replaces its own rows and compares with earlier ones only. All
+    folders must lie in shared storage.
     """
 
     def store(batch: DataFrame, batch_id: int) -> None:
-        ingest_lines(batch, table, rejects, staging, batch_id, tz)
+        ingest_lines(batch, base, batch_id, tz)
 
     return (
         lines.writeStream.foreachBatch(store)

@@ -1,34 +1,41 @@
-"""Closed tickets per day as a running aggregate."""
+"""Closed tickets per day, counted as tickets arrive."""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
-from ticketmill.functions.timecalc import as_instant, wall_clock
+from ticketmill.functions.timecalc import day_of
 
+DAY_COUNTS = "day DATE, count BIGINT, batch_id BIGINT"
 
-def daily_closed(tickets: DataFrame, delay: str) -> DataFrame:
-    """Counts per closing day on a stream of tickets; rows later than ``delay`` are dropped.
 
-    Watermarks need TIMESTAMP, and day windows are cut in UTC, so wall-clock
-    times are taken as UTC instants on the way through.
+def daily_counts(tickets: DataFrame) -> DataFrame:
+    """Tickets per closing day."""
+    closed = tickets.where(F.col("closed_at").isNotNull())
+    return closed.groupBy(day_of(F.col("closed_at")).alias("day")).agg(F.count("*").alias("count"))
+
+
+def stream_closed_daily(tickets: DataFrame, path: str, checkpoint: str) -> StreamingQuery:
+    """Store the counts of each micro-batch in a folder of its own.
+
+    No row is too late and nothing is kept between batches: a replayed batch
+    replaces its folder, and ``read_closed_daily`` adds up what is there.
     """
-    closed = tickets.where(F.col("closed_at").isNotNull()).select(as_instant(F.col("closed_at")).alias("closed_at"))
-    per_day = closed.withWatermark("closed_at", delay).groupBy(F.window("closed_at", "1 day"))
-    day = F.to_date(wall_clock(F.col("window.start")))
-    return per_day.agg(F.count("*").alias("count")).select(day.alias("day"), "count")
 
+    def store(batch: DataFrame, batch_id: int) -> None:
+        daily_counts(batch).write.mode("overwrite").parquet(f"{path}/batch_id={batch_id}")
 
-def stream_closed_daily(tickets: DataFrame, path: str, checkpoint: str, delay: str = "2 days") -> StreamingQuery:
-    """Append each day's count once the watermark has passed that day."""
     return (
-        daily_closed(tickets, delay)
-        .writeStream.outputMode("append")
-        .format("parquet")
-        .option("path", path)
+        tickets.writeStream.foreachBatch(store)
         .option("checkpointLocation", checkpoint)
         .trigger(availableNow=True)
         .start()
     )
+
+
+def read_closed_daily(spark: SparkSession, path: str) -> DataFrame:
+    """``day`` and ``count`` over all batches so far."""
+    counts = spark.read.schema(DAY_COUNTS).parquet(path)
+    return counts.groupBy("day").agg(F.sum("count").alias("count"))
