@@ -8,9 +8,10 @@ rises. A token's probability is that of its class after the class before, times
 in the class, times that of the word in its unit; the last is discounted, and what the discount
 frees is the probability of a word not seen. It is mixed with a unigram share (MIX).
 
-Counts cover all training texts: words are counted per block of documents and added up by word;
-each block gets back the counts of its own words, so the vocabulary is never in one place. Words
-are compared by 64-bit hashes.
+Counts cover all training texts: words are counted per batch of documents and added up by word in
+buckets, which are stored, one row each. To score, each block of documents asks the buckets for the
+counts of its own words, so the vocabulary is never in one place. Words are compared by 64-bit
+hashes.
 
 Results for odd input: null and empty texts are one end token; a null doc_id is held out; without
 training texts all tokens are unknown and score equals base_score; repeated rows are separate
@@ -40,11 +41,13 @@ DISCOUNT = 0.7
 MIX = 0.95
 END = np.uint64(0x5BD1E995A4C93B2F)
 
-COUNTS = "owner int, block int, words binary, endings binary, counts binary"
-_COUNTS = pa.schema([("owner", pa.int32()), ("block", pa.int32())] + [(x, pa.binary()) for x in ("words", "endings", "counts")])
+COUNTS = "owner int, words binary, endings binary, counts binary"
+_COUNTS = pa.schema([("owner", pa.int32())] + [(x, pa.binary()) for x in ("words", "endings", "counts")])
+_ASKED = pa.schema([("owner", pa.int32()), ("block", pa.int32()), ("words", pa.binary())])
 _PAIRS = pa.schema([("owner", pa.int32()), ("codes", pa.binary()), ("counts", pa.binary())])
 _REPLIES = pa.schema([("block", pa.int32()), ("words", pa.binary()), ("counts", pa.binary())])
 _TOP = pa.schema([("word", pa.int64()), ("count", pa.int64())])
+_LEVELS = pa.schema([("level", pa.int64()), ("words", pa.int64())])
 _STATS = pa.schema([("ending", pa.int32()), ("total", pa.int64()), ("types", pa.int64())])
 RESULT = (
     "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double, perplexity double"
@@ -80,27 +83,26 @@ def _summed(words: np.ndarray, endings: np.ndarray, counts: np.ndarray) -> tuple
     return words[order][at], endings[order][at], np.add.reduceat(counts[order], at) if len(at) else counts
 
 
-def _block_counts(n_buckets: int):
-    """Distinct words of a block, with their counts in its training texts (0: held out only)."""
+def _word_counts(n_buckets: int):
+    """Words of training texts with their counts, once for a batch, by bucket."""
 
-    def f(docs: pa.Table) -> pa.Table:
-        data, offsets = c.text_bytes(docs.column("text"))
-        train = ~held_out(docs.column("doc_id"))
-        found = []
-        for first, _, part, at in c.slices(data, offsets):
-            words, endings, text = tokens(part, at)
-            found.append(_summed(words, endings, train[first + text].astype(np.int64)))
-        words, endings, counts = _summed(*(np.concatenate(x) for x in zip(*found, strict=True)))
-        block = docs.column("block")[0].as_py()
-        names = ("words", "endings", "counts")
-        values = (words, endings.astype(np.uint16), counts)
-        rows = [x | {"block": block} for x in c.packed(names, c.bucket_of(words, n_buckets), *values)]
-        return pa.Table.from_pylist(rows, schema=_COUNTS)
+    def f(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            data, offsets = c.text_bytes(batch.column(1))
+            train, found = ~held_out(batch.column(0)), []
+            for first, _, part, at in c.slices(data, offsets):
+                words, endings, text = tokens(part, at)
+                own = train[first + text]
+                found.append(_summed(words[own], endings[own], np.ones(int(own.sum()), np.int64)))
+            if found:
+                words, endings, counts = _summed(*(np.concatenate(x) for x in zip(*found, strict=True)))
+                rows = c.packed(("words", "endings", "counts"), c.bucket_of(words, n_buckets), words, endings.astype(np.uint16), counts)
+                yield c.to_batch(list(rows), _COUNTS)
 
     return f
 
 
-def _entries(table: pa.Table) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def _entries(table: pa.Table | pa.RecordBatch) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return (
         c.unpacked(table.column("words"), np.uint64),
         c.unpacked(table.column("endings"), np.uint16).astype(np.int64),
@@ -108,41 +110,91 @@ def _entries(table: pa.Table) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     )
 
 
-def _top_words(most: int):
-    """A bucket's most frequent words; END is a unit of its own."""
+def _bucket(table: pa.Table) -> pa.Table:
+    """A bucket's words and their counts in one row."""
+    words, endings, counts = _summed(*_entries(table))
+    row = {"owner": table.column("owner")[0].as_py(), "words": words.tobytes(), "endings": endings.astype(np.uint16).tobytes(), "counts": counts.tobytes()}
+    return pa.Table.from_pylist([row], schema=_COUNTS)
+
+
+def vocabulary(texts: DataFrame, n_buckets: int) -> DataFrame:
+    """The words of all training texts and their counts, one row a bucket."""
+    return texts.mapInArrow(_word_counts(n_buckets), COUNTS).groupBy("owner").applyInArrow(_bucket, COUNTS)
+
+
+def _level(counts: np.ndarray) -> np.ndarray:
+    """Quarters of powers of two up to a count."""
+    return np.floor(np.log2(counts) * 4).astype(np.int64)
 
-    def f(table: pa.Table) -> pa.Table:
-        words, _, counts = _summed(*_entries(table))
-        keep = (counts > 0) & (words != END)
-        words, counts = words[keep], counts[keep]
-        order = np.lexsort((words, -counts))[:most]
-        return pa.table([words[order].view(np.int64), counts[order]], schema=_TOP)
+
+def _count_levels(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """How many of the buckets' words have counts of each level."""
+    for batch in batches:
+        level, words = np.unique(_level(_entries(batch)[2]), return_counts=True)
+        yield pa.RecordBatch.from_arrays([pa.array(level), pa.array(words)], schema=_LEVELS)
+
+
+def _top_words(least: int):
+    """The buckets' words of at least a level of counts; END is a unit of its own."""
+
+    def f(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            words, _, counts = _entries(batch)
+            keep = (words != END) & (_level(counts) >= least)
+            yield pa.RecordBatch.from_arrays([pa.array(words[keep].view(np.int64)), pa.array(counts[keep])], schema=_TOP)
 
     return f
 
 
+def frequent_words(vocab: DataFrame, most: int = FREQUENT) -> np.ndarray:
+    """The hashes of the most frequent words, in order of hash. Counts of counts tell from which on they are."""
+    levels = vocab.mapInArrow(_count_levels, "level long, words long").groupBy("level").agg(F.sum("words").alias("words"))
+    least, have = 0, 0
+    for r in levels.orderBy(F.desc("level")).collect():
+        least, have = r.level, have + r.words
+        if have > most:  # END may be one of them
+            break
+    top = vocab.mapInArrow(_top_words(least), "word long, count long").orderBy(F.desc("count"), "word").limit(most)
+    return np.sort(np.array([r.word for r in top.collect()], np.int64).view(np.uint64))
+
+
 def _ending_stats(frequent: np.ndarray):
-    """Training tokens and distinct words of each ending in a bucket; the frequent ones under ENDINGS + 1."""
+    """Tokens and distinct words of each ending in the buckets; the frequent words under ENDINGS + 1."""
 
-    def f(table: pa.Table) -> pa.Table:
-        words, endings, counts = _summed(*_entries(table))
-        endings = np.where(c.is_member(words, frequent), ENDINGS + 1, endings)
-        known = counts > 0
-        total = np.bincount(endings, weights=counts, minlength=ENDINGS + 2).astype(np.int64)
-        types = np.bincount(endings[known], minlength=ENDINGS + 2)
-        return pa.table([np.arange(ENDINGS + 2, dtype=np.int32), total, types], schema=_STATS)
+    def f(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            words, endings, counts = _entries(batch)
+            endings = np.where(c.is_member(words, frequent), ENDINGS + 1, endings)
+            types = np.bincount(endings, minlength=ENDINGS + 2)
+            at = np.flatnonzero(types)
+            total = np.bincount(endings, weights=counts, minlength=ENDINGS + 2).astype(np.int64)
+            yield pa.RecordBatch.from_arrays([pa.array(at.astype(np.int32)), pa.array(total[at]), pa.array(types[at])], schema=_STATS)
 
     return f
 
 
-def _replies(table: pa.Table) -> pa.Table:
-    """To each block the whole corpus' training counts of its words."""
-    words, _, counts = _entries(table)
-    blocks = np.repeat(table.column("block").to_numpy(), [len(x) // 8 for x in table.column("words").to_pylist()])
-    order = np.argsort(words, kind="stable")
-    at = c.runs(words[order])
-    sums = np.repeat(np.add.reduceat(counts[order], at), np.diff(np.append(at, len(order))))
-    rows = [{"block": x.pop("owner")} | x for x in c.packed(("words", "counts"), blocks[order], words[order], sums)]
+def _asked(n_buckets: int):
+    """The distinct words of a block, by bucket."""
+
+    def f(docs: pa.Table) -> pa.Table:
+        data, offsets = c.text_bytes(docs.column("text"))
+        words = np.unique(np.concatenate([np.unique(tokens(part, at)[0]) for _, _, part, at in c.slices(data, offsets)]))
+        block = docs.column("block")[0].as_py()
+        rows = [x | {"block": block} for x in c.packed(("words",), c.bucket_of(words, n_buckets), words)]
+        return pa.Table.from_pylist(rows, schema=_ASKED)
+
+    return f
+
+
+def _replies(asked: pa.Table, bucket: pa.Table) -> pa.Table:
+    """To each block the counts of its words that training texts hold."""
+    words, _, counts = _entries(bucket)
+    wanted = c.unpacked(asked.column("words"), np.uint64)
+    blocks = np.repeat(asked.column("block").to_numpy(), [len(x) // 8 for x in asked.column("words").to_pylist()])
+    known = c.is_member(wanted, words)
+    wanted, blocks = wanted[known], blocks[known]
+    found = counts[np.searchsorted(words, wanted)] if len(wanted) else counts[:0]
+    rows = [{"block": x.pop("owner")} | x for x in c.packed(("words", "counts"), blocks, wanted, found)]
     return pa.Table.from_pylist(rows, schema=_REPLIES)
 
 
@@ -271,19 +323,17 @@ def _clusters(n_units: int, classes: int, sweeps: int):
     return f
 
 
-def fit(docs: DataFrame, counts: DataFrame, classes: int = CLASSES, sweeps: int = SWEEPS) -> Model:
-    """counts: the stored block counts. The driver gets the model alone."""
-    n = counts.sparkSession.conf.get("spark.sql.shuffle.partitions")
-    buckets = counts.groupBy("owner")
-    top = buckets.applyInArrow(_top_words(FREQUENT), "word long, count long").orderBy(F.desc("count"), "word").limit(FREQUENT)
-    frequent = np.sort(np.array([r.word for r in top.collect()], np.int64).view(np.uint64))
-    stats = buckets.applyInArrow(_ending_stats(frequent), "ending int, total long, types long")
+def fit(texts: DataFrame, vocab: DataFrame, classes: int = CLASSES, sweeps: int = SWEEPS) -> Model:
+    """vocab: the stored vocabulary. The driver gets the model alone."""
+    n = vocab.sparkSession.conf.get("spark.sql.shuffle.partitions")
+    frequent = frequent_words(vocab)
+    stats = vocab.mapInArrow(_ending_stats(frequent), "ending int, total long, types long")
     stats = stats.groupBy("ending").agg(F.sum("total").alias("total"), F.sum("types").alias("types")).collect()
     totals, types = np.zeros(ENDINGS + 2, np.int64), np.zeros(ENDINGS + 2, np.int64)
     for r in stats:
         totals[r.ending], types[r.ending] = r.total, r.types
     n_units = ENDINGS + 1 + len(frequent)
-    pairs = c.texts_of(docs).mapInArrow(_pairs(frequent, n_units, int(n)), "owner int, codes binary, counts binary")
+    pairs = texts.mapInArrow(_pairs(frequent, n_units, int(n)), "owner int, codes binary, counts binary")
     pairs = pairs.groupBy("owner").applyInArrow(_sum_pairs, "owner int, codes binary, counts binary")
     got = pairs.groupBy("owner").applyInArrow(_clusters(n_units, classes, sweeps), "classes binary, bigrams binary, counts binary").first()
     if got is None:
@@ -305,11 +355,14 @@ def _scores(model: Model):
         known_words = c.unpacked(replies.column("words"), np.uint64)
         order = np.argsort(known_words)
         known_words, known_counts = known_words[order], c.unpacked(replies.column("counts"), np.int64)[order]
+        # one place more, for words that are not known
+        known_words, known_counts = np.append(known_words, np.uint64(0)), np.append(known_counts, 0)
         out = {x: [] for x in ("n_tokens", "n_known", "base_score", "score")}
         whole = model.train_tokens + ADDED * (model.types + 1)
         for first, end, part, at in c.slices(data, offsets):
             words, endings, text = tokens(part, at)
-            count = known_counts[np.searchsorted(known_words, words)]
+            place = np.searchsorted(known_words[:-1], words)
+            count = np.where(known_words[place] == words, known_counts[place], 0)
             base = (count + ADDED) / whole
             if model.train_tokens:
                 unit = units_of(words, endings, model.frequent)
@@ -348,8 +401,10 @@ def _scores(model: Model):
 def class_scores(docs: DataFrame, classes: int = CLASSES, sweeps: int = SWEEPS) -> DataFrame:
     """Per document: the counts, base_score, score (log10 probability under the class model) and perplexity."""
     n = c.block_count(docs)
+    texts = c.texts_of(docs)
+    vocab = c.stored(vocabulary(texts, n))
+    model = fit(texts, vocab, classes, sweeps)
     base = c.in_blocks(docs, n)
-    counts = c.stored(c.by_block(base, _block_counts(n), COUNTS))
-    model = fit(docs, counts, classes, sweeps)
-    replies = counts.groupBy("owner").applyInArrow(_replies, "block int, words binary, counts binary")
+    asked = c.by_block(base, _asked(n), "owner int, block int, words binary")
+    replies = asked.groupBy("owner").cogroup(vocab.groupBy("owner")).applyInArrow(_replies, "block int, words binary, counts binary")
     return c.by_block_with(base, replies, _scores(model), RESULT)
