@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ticketmill.operators import ingest
 from ticketmill.plans import resolution
+from ticketmill.session import staged
 from ticketmill.sources import batches, documents, sql, tickets
 from ticketmill.sources.schemas import TICKET_LINES, TICKETS
 from ticketmill.streaming.ingest import read_line_stream, stream_ingest
@@ -132,7 +133,7 @@ def test_ingest_laws(spark, tmp_path):
 
 def test_tags_agree_with_the_counts(spark, tmp_path):
     batch = random_batch(random.Random(9), 80)
-    rows = ingest.staged(batches.parse_ticket_rows(lines(spark, batch)), str(tmp_path / "staged"))
+    rows = staged(batches.parse_ticket_rows(lines(spark, batch)), str(tmp_path / "staged"))
     existing = spark.createDataFrame([("hot",)], "hubspot_ticket_id STRING")
     report = ingest.ingest_report(ingest.tag_rows(rows, existing, order_cols=["pos"])).first()
     assert report.inserted == len({x["hubspot_ticket_id"] for x in batch} - {"", "hot"})

@@ -13,7 +13,7 @@ from ticketmill.functions import access as fa
 from ticketmill.functions import text as ft
 from ticketmill.operators import expansion, filters, ingest
 from ticketmill.plans import access, chat, counts, resolution, roster, volume
-from ticketmill.session import scratch_path
+from ticketmill.session import scratch_path, staged
 from ticketmill.sources import batches, documents, sql, tickets
 from ticketmill.sources.schemas import TICKETS
 from ticketmill.streaming import ingest as stream_ingest
@@ -80,7 +80,7 @@ def _inserted(spark, sf_dir):
 
 
 def _tagged(spark, sf_dir):
-    rows = ingest.staged(batches.parse_ticket_rows(fx.TICKET_LINES.frame(spark, sf_dir)), scratch_path(spark, "staging"))
+    rows = staged(batches.parse_ticket_rows(fx.TICKET_LINES.frame(spark, sf_dir)), scratch_path(spark, "staging"))
     return ingest.tag_rows(rows, fx.STORED_KEYS.frame(spark, sf_dir))
 
 

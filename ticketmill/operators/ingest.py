@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ticketmill.session import staged
 from ticketmill.sources.batches import parse_ticket_rows, split_ticket_rows
 from ticketmill.sources.schemas import TICKET_KEY, TICKETS
 from ticketmill.sources.tickets import write_tickets
@@ -76,13 +77,6 @@ COUNTS = "inserted BIGINT, skipped BIGINT, duplicate BIGINT, total_processed BIG
 KEY_BUCKETS = 64
 
 
-def staged(rows: DataFrame, path: str) -> DataFrame:
-    """The rows written once and read back by column, so that each line is parsed once."""
-    schema = rows.schema
-    rows.write.mode("overwrite").parquet(path)
-    return rows.sparkSession.read.schema(schema).parquet(path)
-
-
 def _key_bucket() -> Column:
     return F.pmod(F.xxhash64(TICKET_KEY), F.lit(KEY_BUCKETS)).cast("int").alias("key_bucket")
 

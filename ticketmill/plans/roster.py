@@ -19,6 +19,7 @@ from ticketmill.functions.access import ROLES, STATUSES, email_in_domain, is_ema
 from ticketmill.functions.text import strip
 from ticketmill.functions.timecalc import ntz_literal
 from ticketmill.operators.carry import DEFAULT_SPAN, carry_forward, in_blocks
+from ticketmill.session import scratch_path, staged
 
 INVITATION_LIFE = timedelta(days=7)  # fixed value
 
@@ -37,16 +38,13 @@ UNKNOWN_USER = "unknown_user"
 
 
 def _names_a_user() -> Column:
-    return is_email(normalize_email(F.col("email")))
+    """Commands without an e-mail belong to nobody's history and must not gather under one empty key."""
+    return is_email(F.col("email")) | (F.col("cmd") == "seed")
 
 
 def _with_start(commands: DataFrame, start: DataFrame | None) -> DataFrame:
-    """The log of commands that name a user, with normalised text and a starting roster as ``seed`` rows before it.
-
-    Commands without an e-mail are rejected on their own (``roster_rejects``);
-    they belong to nobody's history and do not gather under one empty key.
-    """
-    log = commands.where(_names_a_user()).select(
+    """The log with normalised text and a starting roster as ``seed`` rows before it."""
+    log = commands.select(
         normalize_email(F.col("email")).alias("email"),
         "seq",
         "cmd",
@@ -91,8 +89,13 @@ def _fault_of_command(domain: str | None) -> Column:
     )
 
 
-def _with_state(commands: DataFrame, start: DataFrame | None, domain: str | None, span: int) -> DataFrame:
-    """Every command with what earlier ones left behind.
+def _staged_log(commands: DataFrame, start: DataFrame | None) -> DataFrame:
+    """The log as later passes read it, more than once; so the commands themselves are read once."""
+    return staged(_with_start(commands, start), scratch_path(commands.sparkSession, "roster-log"))
+
+
+def _with_state(log: DataFrame, domain: str | None, span: int) -> DataFrame:
+    """Every command that names a user, with what earlier ones left behind.
 
     Adds ``known`` (the user exists), ``issued`` (the last event that set or
     cleared the token), ``matches`` and ``expired`` (an accept fits that token,
@@ -100,7 +103,7 @@ def _with_state(commands: DataFrame, start: DataFrame | None, domain: str | None
     rejected, apart from an accept's token.
     """
     cmd, seq = F.col("cmd"), F.col("seq")
-    rows = in_blocks(_with_start(commands, start), "seq", span).withColumn("fault", _fault_of_command(domain))
+    rows = in_blocks(log.where(_names_a_user()), "seq", span).withColumn("fault", _fault_of_command(domain))
     sound = F.col("fault").isNull()
     makes_user = sound & cmd.isin("invite", "seed")
     sets_token = makes_user | (sound & (cmd == "set_status") & (F.col("status") == "revoked"))
@@ -125,8 +128,6 @@ def _with_state(commands: DataFrame, start: DataFrame | None, domain: str | None
         {
             "known": known,
             "issued": issued,
-            # A token is only ever issued to a known user; naming both keeps the columns
-            # of the two passes alike, so that Spark can reuse the first one's shuffle.
             "matches": sound & known & (cmd == "accept") & F.coalesce(F.col("token") == issued["token"], F.lit(False)),
             "expired": F.coalesce(issued["expires_at"] < F.col("cmd_at"), F.lit(False)),
             "same_role": (cmd == "set_role") & F.coalesce(F.col("role") == F.col("prior_role_state"), F.lit(False)),
@@ -139,9 +140,11 @@ def judge_commands(
     commands: DataFrame, start: DataFrame | None = None, domain: str | None = None, span: int = DEFAULT_SPAN
 ) -> DataFrame:
     """Every command (and seed row) with ``reason``, NULL when it is accepted."""
-    rows = _with_state(commands, start, domain, span)
+    log = _staged_log(commands, start)
+    rows = _with_state(log, domain, span)
     accept = F.col("cmd") == "accept"
     rows = rows.withColumn("used_state", F.when(F.col("matches") & ~F.col("expired"), F.col("issued.seq")))
+    rows = staged(rows.drop("token_state", "role_state", "user_state"), scratch_path(rows.sparkSession, "roster-judged"))
     # The token is gone when an earlier accept succeeded against the same invitation.
     rows = carry_forward(rows, "email", "seq", ["used_state"], span)
     used = F.coalesce(F.col("prior_used_state") == F.col("issued.seq"), F.lit(False))
@@ -150,7 +153,9 @@ def judge_commands(
         F.when(accept & (~F.col("matches") | used), F.lit(INVALID_TOKEN)),
         F.when(accept & F.col("expired"), F.lit(TOKEN_EXPIRED)),
     )
-    return rows.select("email", "seq", "cmd", "role", "status", "token", "cmd_at", "actor", reason.alias("reason"))
+    columns = ["email", "seq", "cmd", "role", "status", "token", "cmd_at", "actor"]
+    nobody = log.where(~_names_a_user()).select(*columns, F.lit(INVALID_EMAIL).alias("reason"))
+    return rows.select(*columns, reason.alias("reason")).unionByName(nobody)
 
 
 def replay_roster(
@@ -164,7 +169,7 @@ def replay_roster(
     its ``seq``, so both steps are plain maxima with a partial step.
     """
     cmd, seq = F.col("cmd"), F.col("seq")
-    rows = _with_state(commands, start, domain, span)
+    rows = _with_state(_staged_log(commands, start), domain, span)
     done = F.col("refused").isNull() & (cmd != "accept")
     makes_user = done & cmd.isin("invite", "seed")
     sets_status = done & cmd.isin("seed", "set_status")
@@ -229,10 +234,7 @@ def roster_rejects(
 ) -> DataFrame:
     """Rejected commands with their reason. Every command is either here or applied to the roster."""
     judged = judge_commands(commands, start, domain, span)
-    nobody = commands.where(~_names_a_user()).select(
-        normalize_email(F.col("email")).alias("email"), "seq", "cmd", F.lit(INVALID_EMAIL).alias("reason")
-    )
-    return judged.where(F.col("reason").isNotNull()).select("email", "seq", "cmd", "reason").unionByName(nobody)
+    return judged.where(F.col("reason").isNotNull()).select("email", "seq", "cmd", "reason")
 
 
 def list_roster(users: DataFrame) -> DataFrame:

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import uuid
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 
 def build_session(app_name: str = "ticketmill", master: str | None = None, **conf: str) -> SparkSession:
@@ -33,3 +33,10 @@ def scratch_path(spark: SparkSession, name: str) -> str:
     if not base:
         raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
     return f"{base.rstrip('/')}/ticketmill/{name}-{uuid.uuid4().hex}"
+
+
+def staged(rows: DataFrame, path: str) -> DataFrame:
+    """The rows written once and read back by column, for plans that read them more than once."""
+    schema = rows.schema
+    rows.write.mode("overwrite").parquet(path)
+    return rows.sparkSession.read.schema(schema).parquet(path)
