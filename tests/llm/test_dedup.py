@@ -35,14 +35,18 @@ def test_levels_double():
     assert substring.levels(5) == [5]
 
 
-def test_suffix_equals_brute_force(odd):
+@pytest.mark.parametrize("frequent", [suffix.FREQUENT, 1, 2])
+def test_suffix_equals_brute_force(odd, frequent, monkeypatch):
+    monkeypatch.setattr(suffix, "FREQUENT", frequent)
     got = suffix.suffix_dedup(odd).select("doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256").collect()
     expected = brute.suffix(rows_of(odd))
     assert by_order(got) == by_order(expected)
     assert sum(r[2] for r in expected) > 500
 
 
-def test_maximal_repeats_are_equal_and_cover_what_goes(odd):
+@pytest.mark.parametrize("frequent", [suffix.FREQUENT, 2])
+def test_maximal_repeats_are_equal_and_cover_what_goes(odd, frequent, monkeypatch):
+    monkeypatch.setattr(suffix, "FREQUENT", frequent)
     docs = odd.filter("doc_id <> 9 AND doc_id IS NOT NULL")
     text = {i: (t or "").encode() for i, t in rows_of(docs)}
     found = suffix.maximal_repeats(docs).toPandas()
@@ -63,6 +67,7 @@ def test_intervals_of_a_common_prefix_array():
 @pytest.mark.parametrize("tile", [2048, 2])
 def test_lines_equal_brute_force(odd, tile, monkeypatch):
     monkeypatch.setattr(linededup, "TILE", tile)
+    monkeypatch.setattr(linededup, "FREQUENT", 3 if tile == 2 else linededup.FREQUENT)
     docs = odd.filter("doc_id <> 9 OR doc_id IS NULL") if tile == 2 else odd.dropDuplicates(["doc_id", "text"])
     expected = brute.lines(rows_of(docs))
     got = linededup.dedup_lines(docs).select("doc_id", "text", "n_lines", "n_removed", "n_links").collect()

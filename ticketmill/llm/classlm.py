@@ -404,6 +404,7 @@ def class_scores(docs: DataFrame, classes: int = CLASSES, sweeps: int = SWEEPS)
     texts = c.texts_of(docs)
     vocab = c.stored(vocabulary(texts, n))
     model = fit(texts, vocab, classes, sweeps)
+    c.release(docs.sparkSession)
     base = c.in_blocks(docs, n)
     asked = c.by_block(base, _asked(n), "owner int, block int, words binary")
     replies = asked.groupBy("owner").cogroup(vocab.groupBy("owner")).applyInArrow(_replies, "block int, words binary, counts binary")

@@ -16,6 +16,10 @@ diversity, or the context's edge) while the interval's end makes the bytes after
 repeat with all its occurrences, not only neighbours. Longer repeats hold several anchors and come
 out as overlapping pieces, one for each; the removed bytes are their union.
 
+Grams that occur more than FREQUENT times do not gather: their windows are compared one by one, as
+suffixes cut at `length` bytes, and equal ones of a block travel as one. A window so frequent that
+a third of all documents hold it reaches its bucket once a block.
+
 Results for odd input: null and empty texts have 0 bytes and the hash of the empty string; texts
 under `length` bytes lose nothing; repeated rows of one doc_id are separate texts, so both lose
 what they share; a null doc_id is carried through; extra columns are ignored. Removal works on
@@ -29,27 +33,30 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 
 from ticketmill.llm import common as c
 
 LENGTH = 200
 GRAM = 24
+FREQUENT = 50_000
 PLACE = (1 << 28) - 1  # bytes of a slice that a place can address; one text must stay below
 
-ENTRIES = "owner int, block int, keys binary, many binary"
-CONTEXTS = "owner int, block int, keys binary, contexts binary, lefts binary, rights binary, many binary, bytes binary"
-REPLIES = "block int, contexts binary, lefts binary, rights binary, repeats binary"
+ENTRIES = "owner int, block int, keys binary, times binary"
+SURVIVORS = "block int, keys binary, frequent binary"
+CONTEXTS = "owner int, block int, keys binary, contexts binary, lefts binary, rights binary, many binary, bytes binary, windows binary, grams binary"
+REPLIES = "block int, contexts binary, lefts binary, rights binary, repeats binary, windows binary, grams binary"
 RESULT = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string"
 OCCURRENCES = "repeat_id long, length long, doc_id long, start long"
 
-_ENTRIES = pa.schema([("owner", pa.int32()), ("block", pa.int32()), ("keys", pa.binary()), ("many", pa.binary())])
-_SURVIVORS = pa.schema([("block", pa.int32()), ("keys", pa.binary())])
+_ENTRIES = pa.schema([("owner", pa.int32()), ("block", pa.int32()), ("keys", pa.binary()), ("times", pa.binary())])
+_SURVIVORS = pa.schema([("block", pa.int32()), ("keys", pa.binary()), ("frequent", pa.binary())])
 _CONTEXTS = pa.schema(
     [("owner", pa.int32()), ("block", pa.int32())]
-    + [(x, pa.binary()) for x in ("keys", "contexts", "lefts", "rights", "many", "bytes")]
+    + [(x, pa.binary()) for x in ("keys", "contexts", "lefts", "rights", "many", "bytes", "windows", "grams")]
 )
-_REPLIES = pa.schema([("block", pa.int32())] + [(x, pa.binary()) for x in ("contexts", "lefts", "rights", "repeats")])
+_REPLIES = pa.schema([("block", pa.int32())] + [(x, pa.binary()) for x in ("contexts", "lefts", "rights", "repeats", "windows", "grams")])
 _RESULT = pa.schema(
     [("doc_id", pa.int64()), ("n_bytes", pa.int64()), ("n_removed", pa.int64()), ("n_spans", pa.int64()), ("kept_sha256", pa.string())]
 )
@@ -100,30 +107,44 @@ class Anchors:
         return c.mixed(self._hash(self.first, self.last + length) ^ c.mixed(shape + np.uint64(1)))
 
 
+    def windows(self, of: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(starts, hashes, grams) of all windows of the chosen anchors."""
+        if not of.any():
+            return np.zeros(0, np.int64), np.zeros(0, np.uint64), np.zeros(0, np.uint64)
+        times = (self.last - self.first + 1)[of]
+        starts = np.arange(times.sum()) - np.repeat(np.cumsum(times) - times, times) + np.repeat(self.first[of], times)
+        return starts, c.mixed(self._hash(starts, starts + length) + np.uint64(1)), np.repeat(self.keys[of], times)
+
+
 def _anchor_entries(length: int, n_buckets: int):
     def f(docs: pa.Table) -> pa.Table:
         data, offsets = c.text_bytes(docs.column("text"))
         block = docs.column("block")[0].as_py()
         keys = np.sort(np.concatenate([Anchors(part, at, length).keys for _, _, part, at in c.slices(data, offsets)]))
         at = c.runs(keys)
-        many = np.diff(np.append(at, len(keys))) > 1
-        rows = [x | {"block": block} for x in c.packed(("keys", "many"), c.bucket_of(keys[at], n_buckets), keys[at], many)]
+        times = np.minimum(np.diff(np.append(at, len(keys))), (1 << 16) - 1).astype(np.uint16)
+        rows = [x | {"block": block} for x in c.packed(("keys", "times"), c.bucket_of(keys[at], n_buckets), keys[at], times)]
         return pa.Table.from_pylist(rows, schema=_ENTRIES)
 
     return f
 
 
-def _repeated(entries: pa.Table) -> pa.Table:
-    """To each block its grams that occur more than once."""
-    keys = c.unpacked(entries.column("keys"), np.uint64)
-    blocks = np.repeat(entries.column("block").to_numpy(), [len(x) // 8 for x in entries.column("keys").to_pylist()])
-    order = np.argsort(keys, kind="stable")
-    keys, blocks, many = keys[order], blocks[order], c.unpacked(entries.column("many"), np.uint8)[order]
-    at = c.runs(keys)
-    sizes = np.diff(np.append(at, len(keys)))
-    keep = np.repeat((sizes > 1) | (np.maximum.reduceat(many, at) > 0 if len(at) else np.zeros(0, bool)), sizes)
-    rows = [{"block": x["owner"], "keys": x["keys"]} for x in c.packed(("keys",), blocks[keep], keys[keep])]
-    return pa.Table.from_pylist(rows, schema=_SURVIVORS)
+def _repeated(frequent: int):
+    """To each block its grams that occur more than once, and which of them occur more than `frequent` times."""
+
+    def f(entries: pa.Table) -> pa.Table:
+        keys = c.unpacked(entries.column("keys"), np.uint64)
+        blocks = np.repeat(entries.column("block").to_numpy(), [len(x) // 8 for x in entries.column("keys").to_pylist()])
+        order = np.argsort(keys, kind="stable")
+        keys, blocks, times = keys[order], blocks[order], c.unpacked(entries.column("times"), np.uint16)[order].astype(np.int64)
+        at = c.runs(keys)
+        total = np.repeat(np.add.reduceat(times, at) if len(at) else times, np.diff(np.append(at, len(keys))))
+        keep = total > 1
+        names = ("keys", "frequent")
+        rows = [{"block": x.pop("owner")} | x for x in c.packed(names, blocks[keep], keys[keep], total[keep] > frequent)]
+        return pa.Table.from_pylist(rows, schema=_SURVIVORS)
+
+    return f
 
 
 def _context_entries(length: int, n_buckets: int):
@@ -134,10 +155,14 @@ def _context_entries(length: int, n_buckets: int):
             return pa.Table.from_pylist([], schema=_CONTEXTS)
         data, offsets = c.text_bytes(docs.column("text"))
         block = docs.column("block")[0].as_py()
-        survivors = np.sort(c.unpacked(replies.column("keys"), np.uint64))
-        found = []
+        survivors = c.unpacked(replies.column("keys"), np.uint64)
+        often = c.unpacked(replies.column("frequent"), np.uint8) > 0
+        frequent, survivors = np.sort(survivors[often]), np.sort(survivors[~often])
+        found, windows = [], []
         for first, _, part, at in c.slices(data, offsets):
             a = Anchors(part, at, length)
+            if len(frequent):
+                windows.append(a.windows(c.is_member(a.keys, frequent), length)[1:])
             keep = c.is_member(a.keys, survivors)
             found.append((a.keys[keep], a.contexts(length)[keep], (a.place - a.first)[keep], (a.last + length - a.place)[keep], a.first[keep] + offsets[first]))
         keys, contexts, lefts, rights, starts = (np.concatenate(x) for x in zip(*found, strict=True))
@@ -163,6 +188,14 @@ def _context_entries(length: int, n_buckets: int):
                     "bytes": b"".join(raw[b : b + n] for b, n in zip(starts[of].tolist(), (lefts[of] + rights[of]).tolist(), strict=True)),
                 }
             )
+        if windows:
+            names, grams = (np.concatenate(x) for x in zip(*windows, strict=True))
+            order = np.argsort(names, kind="stable")
+            names, grams = names[order], grams[order]
+            at = c.runs(names)
+            again = np.diff(np.append(at, len(names))) > 1
+            packed = c.packed(("windows", "grams", "many"), c.bucket_of(names[at], n_buckets), names[at], grams[at], again)
+            rows += [x | {"block": block} for x in packed]
         return pa.Table.from_pylist(rows, schema=_CONTEXTS)
 
     return f
@@ -286,10 +319,26 @@ def bucket_repeats(entries: pa.Table, length: int) -> tuple[np.ndarray, ...]:
     return class_of, classes, befores, afters, ids
 
 
+def _window_replies(entries: pa.Table) -> list[dict]:
+    """To each block its windows that occur more than once, of a bucket's frequent grams."""
+    names, grams = (c.unpacked(entries.column(x), np.uint64) for x in ("windows", "grams"))
+    many = c.unpacked(entries.column("many"), np.uint8) > 0
+    blocks = np.repeat(entries.column("block").to_numpy(), [len(x) // 8 for x in entries.column("windows").to_pylist()])
+    order = np.argsort(names, kind="stable")
+    at = c.runs(names[order])
+    if not len(at):
+        return []
+    times = np.diff(np.append(at, len(order)))
+    keep = order[np.repeat((times > 1) | np.maximum.reduceat(many[order], at), times)]
+    return [{"block": x.pop("owner")} | x for x in c.packed(("windows", "grams"), blocks[keep], names[keep], grams[keep])]
+
+
 def _reply(length: int, widest: bool):
     """Occurrences back to the blocks; `widest`: only the furthest bytes on either side for each context."""
 
-    def f(entries: pa.Table) -> pa.Table:
+    def f(table: pa.Table) -> pa.Table:
+        alone = pc.is_valid(table.column("windows"))
+        entries = table.filter(pc.invert(alone))
         class_of, classes, befores, afters, ids = bucket_repeats(entries, length)
         contexts = c.unpacked(entries.column("contexts"), np.uint64)
         blocks = np.repeat(entries.column("block").to_numpy(), [len(x) // 8 for x in entries.column("contexts").to_pylist()])
@@ -307,7 +356,7 @@ def _reply(length: int, widest: bool):
         names = ("contexts", "lefts", "rights", "repeats")
         values = (contexts[entry], befores[which].astype(np.uint16), afters[which].astype(np.uint16), ids[which].astype(np.uint64))
         rows = [{"block": x.pop("owner")} | x for x in c.packed(names, blocks[entry], *values)]
-        return pa.Table.from_pylist(rows, schema=_REPLIES)
+        return pa.Table.from_pylist(rows + _window_replies(table.filter(alone)), schema=_REPLIES)
 
     return f
 
@@ -318,15 +367,21 @@ def _occurrences(docs: pa.Table, replies: pa.Table, length: int):
     contexts, lefts, rights, repeats = (c.unpacked(replies.column(x), t) for x, t in zip(names, (np.uint64, np.uint16, np.uint16, np.uint64), strict=True))
     order = np.argsort(contexts, kind="stable")
     contexts, lefts, rights, repeats = contexts[order], lefts[order].astype(np.int64), rights[order].astype(np.int64), repeats[order]
+    windows, grams = (np.sort(c.unpacked(replies.column(x), np.uint64)) for x in ("windows", "grams"))
     data, offsets = c.text_bytes(docs.column("text"))
     for first, end, part, at in c.slices(data, offsets):
         a = Anchors(part, at, length)
+        starts, own_names, _ = a.windows(c.is_member(a.keys, grams), length)
+        again = c.is_member(own_names, windows)
+        starts, own_names = starts[again], own_names[again]
         own = a.contexts(length)
         lo, hi = np.searchsorted(contexts, own), np.searchsorted(contexts, own, side="right")
         times = hi - lo
         which = np.repeat(np.arange(len(own)), times)
         reply = np.arange(len(which)) - np.repeat(np.cumsum(times) - times, times) + lo[which]
-        yield first, end, part, at, a.place[which] - lefts[reply], a.place[which] + rights[reply], repeats[reply]
+        begins = np.concatenate([a.place[which] - lefts[reply], starts])
+        ends = np.concatenate([a.place[which] + rights[reply], starts + length])
+        yield first, end, part, at, begins, ends, np.concatenate([repeats[reply], own_names])
 
 
 def _results(length: int):
@@ -373,7 +428,7 @@ def _listed(length: int):
 def _base_and_replies(docs: DataFrame, length: int, widest: bool) -> tuple[DataFrame, DataFrame]:
     n = c.block_count(docs)
     base = c.in_blocks(docs, n)
-    survivors = c.by_block(base, _anchor_entries(length, n), ENTRIES).groupBy("owner").applyInArrow(_repeated, "block int, keys binary")
+    survivors = c.by_block(base, _anchor_entries(length, n), ENTRIES).groupBy("owner").applyInArrow(_repeated(FREQUENT), SURVIVORS)
     contexts = c.by_block_with(base, survivors, _context_entries(length, n), CONTEXTS)
     return base, contexts.groupBy("owner").applyInArrow(_reply(length, widest), REPLIES)
 
