@@ -6,8 +6,12 @@ a table of fixed size (COUNTERS), then by hash, so the order is the same everywh
 share a word among their rarest (the prefix), unless the word occurs once, so only those words are
 sent: lines meet by word, and a pair is a candidate if its lengths allow the threshold, the places
 of the shared word leave enough words for it, and parity bitmaps of the words do not exclude it.
-Words that more than TILE sets send are dealt out as pairs of tiles. Candidates are verified on
-their whole sets. A line goes if a line before it, by (doc_id, line number), matches; lines are
+Words that more than TILE sets send, or that are counted more
+than FREQUENT times, are dealt out as pairs of tiles instead. A pair is verified on the whole
+sets, where both meet: each set has ROUTES MinHash values, equal in most near sets, and the first
+that is equal in both names the bucket, so a set travels to few buckets however many partners it
+has (pairs without an equal one meet in a bucket that found them). Pairs travel packed and end in
+their bucket, which returns for each set the number of its links and its earliest partner. A line goes if a line before it, by (doc_id, line number), matches; lines are
 judged on the input, so a line may go for one that goes itself.
 
 Words are those between blanks, unchanged; lines are cut at line feeds. Results for odd input:
@@ -31,15 +35,22 @@ from ticketmill.llm import common as c
 THRESHOLD = 0.8
 COUNTERS = 1 << 20
 TILE = 2048
+FREQUENT = 100_000  # entries of words counted more often do not gather by word at all
 LAST = int(np.iinfo(np.int64).max)
 
 LINES = "key long, doc_id long, mark long, line int"
-ENTRIES = "owner int, tokens binary, keys binary, sizes binary, places binary, even binary, odd binary"
-_ENTRIES = pa.schema([("owner", pa.int32())] + [(x, pa.binary()) for x in ("tokens", "keys", "sizes", "places", "even", "odd")])
-_COLUMNS = (("tokens", np.uint64), ("keys", np.uint64), ("sizes", np.uint32), ("places", np.uint32), ("even", np.uint64), ("odd", np.uint64))
-_PACKED = pa.schema([("kind", pa.int32())] + list(_ENTRIES) + [(x, pa.binary()) for x in ("line_keys", "docs", "marks", "numbers")])
-PACKED = "kind int, " + ENTRIES + ", line_keys binary, docs binary, marks binary, numbers binary"
-HOT = "token long, tile int, other int, key long, size int, place int, even long, odd long"
+LONGEST = (1 << 16) - 1  # sizes and places of words travel in two bytes; lines of more words pass those filters
+
+# What travels: kind 0, prefix entries of a bucket or candidate pairs; kind 1, lines; kind 2, entries of a word that
+# many sets send, to be dealt out as tiles. Columns are packed.
+NAMES = ("c0", "c1", "c2", "c3", "c4", "c5", "c6", "c7", "c8")
+PACKED = "kind int, owner int, " + ", ".join(f"{x} binary" for x in NAMES)
+_PACKED = pa.schema([("kind", pa.int32()), ("owner", pa.int32())] + [(x, pa.binary()) for x in NAMES])
+ROUTES = 3
+# word, set, size, place, two words of parity bits, routes
+ENTRY = (np.uint64, np.uint64, np.uint16, np.uint16, np.uint64, np.uint64, *[np.uint16] * ROUTES)
+LINE = (np.uint64, np.int64, np.int64, np.int32)  # set, doc_id, mark, line
+
 ADDED = ("n_lines", "n_removed", "n_links", "first_doc")
 
 
@@ -59,21 +70,16 @@ class Sets:
         self.first = np.flatnonzero(new)
 
 
-def ranked(hashes: np.ndarray, counts: np.ndarray) -> np.ndarray:
-    """A word's place in the order of rarity: its count, then the upper bits of its hash."""
-    count = counts[hashes & np.uint64(COUNTERS - 1)].astype(np.uint64)
-    return np.minimum(count, np.uint64((1 << 20) - 1)) << np.uint64(44) | hashes >> np.uint64(20)
-
-
 def _word_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """A task's counts of all words, in one row for each sixteenth of the table."""
     counts = np.zeros(COUNTERS, np.int64)
     for batch in batches:
         data, offsets = c.text_bytes(batch.column(1))
+        slots = [np.zeros(0, np.int32)]
         for _, _, part, at in c.slices(data, offsets):
             starts, _, _ = c.words(part, at)
-            slots = c.word_hashes(part, starts) & np.uint64(COUNTERS - 1)
-            counts += np.bincount(slots.astype(np.int64), minlength=COUNTERS)
+            slots.append((c.word_hashes(part, starts) & np.uint64(COUNTERS - 1)).astype(np.int32))
+        counts += np.bincount(np.concatenate(slots), minlength=COUNTERS)
     share = COUNTERS // 16
     if counts.any():
         rows = [{"part": i, "counts": counts[i * share : (i + 1) * share].astype(np.int32).tobytes()} for i in range(16)]
@@ -96,43 +102,72 @@ def word_counts(texts: DataFrame) -> np.ndarray:
     return out
 
 
+# Multipliers of the MinHash values, whose lower two bytes name a route.
+SEEDS = c.mixed(np.arange(1, ROUTES + 1, dtype=np.uint64)) | np.uint64(1)
+
+
 def _prefix(size: np.ndarray, threshold: float) -> np.ndarray:
     return size - np.ceil(threshold * size - 1e-9).astype(np.int64) + 1
 
 
-def _entries_of(data: np.ndarray, offsets: np.ndarray, counts: np.ndarray, threshold: float):
+def _in_order(line: np.ndarray, count: np.ndarray, hashes: np.ndarray) -> np.ndarray:
+    """Order by line, then count, then hash: by one number that holds most of it, or in full where that ties."""
+    bits = int(line[-1]).bit_length() if len(line) else 0
+    short = np.minimum(count, np.uint64((1 << 20) - 1)) << np.uint64(44 - bits) | hashes >> np.uint64(20 + bits)
+    one = (line.astype(np.uint64) << np.uint64(64 - bits) if bits else np.uint64(0)) | short
+    order = np.argsort(one)
+    at = np.flatnonzero(one[order][1:] == one[order][:-1])
+    if (hashes[order[at]] != hashes[order[at + 1]]).any():
+        return np.lexsort((hashes, count, line))
+    return order
+
+
+def _entries_of(data: np.ndarray, offsets: np.ndarray, counts: np.ndarray, threshold: float, frequent: int = FREQUENT):
     """(line keys, text, line number), and the prefix entries of the slice's distinct sets."""
     s = Sets(data, offsets)
-    rank = ranked(s.hashes, counts)
-    order = np.lexsort((s.hashes, rank, s.line))
-    line, rank, hashes = s.line[order], rank[order], s.hashes[order]
+    count = np.minimum(counts[(s.hashes & np.uint64(COUNTERS - 1)).astype(np.int64)], (1 << 20) - 1).astype(np.uint64)
+    order = _in_order(s.line, count, s.hashes)
+    line, count, hashes = s.line[order], count[order], s.hashes[order]
     keep = np.ones(len(line), bool)
     keep[1:] = (line[1:] != line[:-1]) | (hashes[1:] != hashes[:-1])
-    line, rank, hashes = line[keep], rank[keep], hashes[keep]
+    line, count, hashes = line[keep], count[keep], hashes[keep]
     n = len(s.first)
     starts = np.searchsorted(line, np.arange(n))
     sizes = np.diff(np.append(starts, len(line)))
     if n:
         keys = c.mixed(np.add.reduceat(c.mixed(hashes + np.uint64(1)), starts) ^ sizes.astype(np.uint64))
-        bit = np.uint64(1) << (hashes >> np.uint64(3) & np.uint64(63))
-        side = (hashes >> np.uint64(9) & np.uint64(1)).astype(bool)
-        even = np.bitwise_xor.reduceat(np.where(side, np.uint64(0), bit), starts)
-        odd = np.bitwise_xor.reduceat(np.where(side, bit, np.uint64(0)), starts)
+        bit, side = np.uint64(1) << (hashes >> np.uint64(3) & np.uint64(63)), (hashes >> np.uint64(9) & np.uint64(1)) > 0
+        parity = [np.bitwise_xor.reduceat(np.where(side == odd, bit, np.uint64(0)), starts) for odd in (False, True)]
+        routes = [(np.minimum.reduceat(hashes * seed, starts) & np.uint64(LONGEST)).astype(np.uint16) for seed in SEEDS]
     else:
-        keys = even = odd = np.zeros(0, np.uint64)
+        keys = np.zeros(0, np.uint64)
+        parity, routes = [keys] * 2, [np.zeros(0, np.uint16)] * ROUTES
     _, once = np.unique(keys, return_index=True)
     chosen = np.zeros(n, bool)
     chosen[once] = True
     place = np.arange(len(line)) - starts[line]
-    alone = counts[hashes & np.uint64(COUNTERS - 1)] <= 1
-    sent = chosen[line] & (place < _prefix(sizes, threshold)[line]) & ~alone
+    sent = chosen[line] & (place < _prefix(sizes, threshold)[line]) & (count > 1)
     of = line[sent]
-    entries = (rank[sent], keys[of], sizes[of].astype(np.uint32), place[sent].astype(np.uint32), even[of], odd[of])
-    return keys, s.text[s.first], s.number[s.first], entries
+    word = count[sent] << np.uint64(44) | hashes[sent] >> np.uint64(20)
+    short = [np.minimum(x, LONGEST).astype(np.uint16) for x in (sizes[of], place[sent])]
+    return keys, s.text[s.first], s.number[s.first], (word, keys[of], *short, *(x[of] for x in parity), *(x[of] for x in routes), count[sent] > frequent)
+
+
+def _once(columns: list[np.ndarray]) -> list[np.ndarray]:
+    """Rows in order of the first two columns, of equal ones in those the first."""
+    order = np.lexsort((columns[1], columns[0]))
+    columns = [x[order] for x in columns]
+    new = np.ones(len(order), bool)
+    new[1:] = (columns[0][1:] != columns[0][:-1]) | (columns[1][1:] != columns[1][:-1])
+    return [x[new] for x in columns]
 
 
-def _pack(counts: np.ndarray, threshold: float, n_buckets: int):
-    """Rows of kind 0: a bucket's prefix entries; of kind 1: all lines with their keys."""
+def _rows(kind: int, owner: np.ndarray, *columns: np.ndarray) -> list[dict]:
+    return [x | {"kind": kind} for x in c.packed(NAMES[: len(columns)], owner, *columns)]
+
+
+def _pack(counts: np.ndarray, threshold: float, n_buckets: int, frequent: int):
+    """The prefix entries of a batch by bucket, and its lines with their keys."""
 
     def f(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -140,39 +175,40 @@ def _pack(counts: np.ndarray, threshold: float, n_buckets: int):
             ids, marks = c.id_values(batch.column(0)), batch.column(2).to_numpy(zero_copy_only=False)
             parts, lines = [], []
             for first, _, part, at in c.slices(data, offsets):
-                keys, text, number, entries = _entries_of(part, at, counts, threshold)
+                keys, text, number, entries = _entries_of(part, at, counts, threshold, frequent)
                 parts.append(entries)
                 lines.append((keys, ids[first + text], marks[first + text], number.astype(np.int32)))
             if not parts:
                 continue
-            entries = [np.concatenate(x) for x in zip(*parts, strict=True)]
-            order = np.lexsort((entries[1], entries[0]))
-            entries = [x[order] for x in entries]
-            new = np.ones(len(order), bool)
-            new[1:] = (entries[0][1:] != entries[0][:-1]) | (entries[1][1:] != entries[1][:-1])
-            entries = [x[new] for x in entries]
-            names = [n for n, _ in _COLUMNS]
-            rows = [x | {"kind": 0} for x in c.packed(tuple(names), c.bucket_of(c.mixed(entries[0]), n_buckets), *entries)]
-            keys, docs, own, numbers = (np.concatenate(x) for x in zip(*lines, strict=True))
-            rows.append({"kind": 1, "line_keys": keys.tobytes(), "docs": docs.tobytes(), "marks": own.tobytes(), "numbers": numbers.tobytes()})
+            *entries, often = _once([np.concatenate(x) for x in zip(*parts, strict=True)])
+            seldom = [x[~often] for x in entries]
+            rows = _rows(0, c.bucket_of(c.mixed(seldom[0]), n_buckets), *seldom)
+            often = [x[often] for x in entries]
+            rows += _rows(2, c.bucket_of(often[1], n_buckets), *often)
+            columns = [np.concatenate(x) for x in zip(*lines, strict=True)]
+            rows += _rows(1, c.bucket_of(columns[0][:1], n_buckets).repeat(len(columns[0])), *columns)
             yield c.to_batch(rows, _PACKED)
 
     return f
 
 
+def _of_kind(table: pa.Table | pa.RecordBatch, kind: int, types: tuple) -> list[np.ndarray]:
+    table = table.filter(pa.array(np.asarray(table.column("kind")) == kind))
+    return [c.unpacked(table.column(name), t) for name, t in zip(NAMES, types, strict=False)]
+
+
 def _unpack_lines(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        for i in range(batch.num_rows):
-            columns = [np.frombuffer(batch.column(j)[i].as_py(), t) for j, t in enumerate((np.int64, np.int64, np.int64, np.int32))]
-            yield pa.RecordBatch.from_arrays([pa.array(x) for x in columns], names=["key", "doc_id", "mark", "line"])
+        columns = _of_kind(batch, 1, LINE)
+        yield pa.RecordBatch.from_arrays([pa.array(x.view(np.int64) if x.dtype == np.uint64 else x) for x in columns], names=["key", "doc_id", "mark", "line"])
 
 
-def _pairs_of(group: np.ndarray, keys: np.ndarray, sizes: np.ndarray, places: np.ndarray, even: np.ndarray, odd: np.ndarray, threshold: float):
-    """Candidate pairs of keys within groups (equal values of `group`), by length, place and bitmap."""
-    order = np.lexsort((sizes, group))
-    group, keys, sizes, places, even, odd = (x[order] for x in (group, keys, sizes.astype(np.int64), places.astype(np.int64), even, odd))
-    starts = c.runs(group)
-    ends = np.repeat(np.append(starts[1:], len(group)), np.diff(np.append(starts, len(group))))
+def _pairs_of(columns: list[np.ndarray], threshold: float, owner: int, n_buckets: int) -> list[np.ndarray]:
+    """Candidate pairs (a, b, bucket that verifies) of entries with equal words, by length, place and bitmap."""
+    order = np.lexsort((columns[2], columns[0]))
+    group, keys, sizes, places, even, odd, *routes = (x[order] for x in columns)
+    sizes, places, routes = sizes.astype(np.int64), places.astype(np.int64), [x.astype(np.int64) for x in routes]
+    ends = np.repeat(*_run_ends(group))
     rows, step, found = np.arange(len(group)), 0, []
     while len(rows):
         step += 1
@@ -184,106 +220,172 @@ def _pairs_of(group: np.ndarray, keys: np.ndarray, sizes: np.ndarray, places: np
         need = np.ceil(threshold / (1 + threshold) * (sizes[rows] + sizes[other]) - 1e-9)
         left = np.minimum(places[rows], places[other]) + np.minimum(sizes[rows] - places[rows], sizes[other] - places[other])
         differ = np.bitwise_count(even[rows] ^ even[other]).astype(np.int64) + np.bitwise_count(odd[rows] ^ odd[other])
-        ok = (left >= need) & (differ <= sizes[rows] + sizes[other] - 2 * need) & (keys[rows] != keys[other])
-        found.append((keys[rows[ok]], keys[other[ok]]))
+        ok = (left >= need) & (differ <= sizes[rows] + sizes[other] - 2 * need) | (sizes[other] >= LONGEST)
+        ok &= keys[rows] != keys[other]
+        x, y = rows[ok], other[ok]
+        meet = np.full(len(x), n_buckets + owner)
+        for route in reversed(routes):
+            meet = np.where(route[x] == route[y], route[x] % n_buckets, meet)
+        found.append((np.minimum(keys[x], keys[y]), np.maximum(keys[x], keys[y]), meet.astype(np.int32)))
     if not found:
-        return np.zeros(0, np.uint64), np.zeros(0, np.uint64)
-    a, b = (np.concatenate(x) for x in zip(*found, strict=True))
-    a, b = np.minimum(a, b), np.maximum(a, b)
-    order = np.lexsort((b, a))
-    a, b = a[order], b[order]
-    new = np.ones(len(a), bool)
-    new[1:] = (a[1:] != a[:-1]) | (b[1:] != b[:-1])
-    return a[new], b[new]
+        return [np.zeros(0, np.uint64), np.zeros(0, np.uint64), np.zeros(0, np.int32)]
+    return _once([np.concatenate(x) for x in zip(*found, strict=True)])
 
 
-_OUT = pa.schema([("a", pa.int64()), ("b", pa.int64()), ("token", pa.int64()), ("tiles", pa.int32()), ("size", pa.int32()), ("place", pa.int32()), ("even", pa.int64()), ("odd", pa.int64())])
-OUT = "a long, b long, token long, tiles int, size int, place int, even long, odd long"
+def _run_ends(group: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The end of each run of equal values, and its length."""
+    starts = c.runs(group)
+    ends = np.append(starts, len(group))[1:]
+    return ends, ends - starts
 
 
-def _bucket_pairs(threshold: float):
-    """Candidate pairs of a bucket's words; rows of words with more than TILE sets come back with `tiles`."""
+def _bucket_pairs(threshold: float, n_buckets: int):
+    """Candidate pairs of a bucket's words, entries of words with more than TILE sets, and the other kinds as they came."""
 
     def f(table: pa.Table) -> pa.Table:
-        columns = [c.unpacked(table.column(n), t) for n, t in _COLUMNS]
-        order = np.lexsort((columns[1], columns[0]))
-        columns = [x[order] for x in columns]
-        new = np.ones(len(order), bool)
-        new[1:] = (columns[0][1:] != columns[0][:-1]) | (columns[1][1:] != columns[1][:-1])
-        tokens, keys, sizes, places, even, odd = (x[new] for x in columns)
-        starts = c.runs(tokens)
-        times = np.diff(np.append(starts, len(tokens)))
+        columns = _once(_of_kind(table, 0, ENTRY))
+        words = columns[0]
+        _, times = _run_ends(words)
         each = np.repeat(times, times)
         some, hot = (each > 1) & (each <= TILE), each > TILE
-        a, b = _pairs_of(tokens[some], keys[some], sizes[some], places[some], even[some], odd[some], threshold)
-        none = np.zeros(len(a), np.int64)
-        m = int(hot.sum())
-        signed = [x.view(np.int64) for x in (a, b)]
-        out = [
-            np.concatenate([signed[0], keys[hot].view(np.int64)]),
-            np.concatenate([signed[1], keys[hot].view(np.int64)]),
-            np.concatenate([none, tokens[hot].view(np.int64)]),
-            np.concatenate([none, -(-each[hot] // TILE)]).astype(np.int32),
-            np.concatenate([none, sizes[hot]]).astype(np.int32),
-            np.concatenate([none, places[hot]]).astype(np.int32),
-            np.concatenate([none, even[hot].view(np.int64)]),
-            np.concatenate([none, odd[hot].view(np.int64)]),
-        ]
-        assert len(out[0]) == len(a) + m
-        return pa.table(out, schema=_OUT)
+        owner = table.column("owner")[0].as_py()
+        a, b, meet = _pairs_of([x[some] for x in columns], threshold, owner, n_buckets)
+        rows = _rows(0, c.bucket_of(a, n_buckets), a, b, meet)
+        rows += _rows(2, np.zeros(int(hot.sum()), np.int64), *(x[hot] for x in columns))
+        found = pa.Table.from_pylist(rows, schema=_PACKED)
+        others = table.filter(pa.array(np.asarray(table.column("kind")) != 0)).select(_PACKED.names)
+        return pa.concat_tables([found, others.cast(_PACKED)])
 
     return f
 
 
-def _tile_pairs(threshold: float):
+HOT = ("word", "key", "size", "place", "even", "odd", *[f"route{i}" for i in range(ROUTES)])
+HOT_TYPES = ("long", "long", "int", "int", "long", "long", *["int"] * ROUTES)
+
+
+def _unpack_hot(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        columns = [x.view(np.int64) if x.dtype == np.uint64 else x.astype(np.int32) for x in _of_kind(batch, 2, ENTRY)]
+        yield pa.RecordBatch.from_arrays([pa.array(x) for x in columns], names=list(HOT))
+
+
+def _tile_pairs(threshold: float, n_buckets: int):
     def f(table: pa.Table) -> pa.Table:
-        keys = table.column("a").to_numpy().view(np.uint64)
-        sizes, places = table.column("size").to_numpy(), table.column("place").to_numpy()
-        even, odd = (table.column(x).to_numpy().view(np.uint64) for x in ("even", "odd"))
-        a, b = _pairs_of(np.zeros(len(keys), np.int64), keys, sizes, places, even, odd, threshold)
-        return pa.table([a.view(np.int64), b.view(np.int64)], names=["a", "b"])
+        columns = [table.column(x).to_numpy() for x in HOT]
+        columns = [x.view(np.uint64) if x.dtype == np.int64 else x for x in columns]
+        owner = int(c.bucket_of(c.mixed(columns[0][:1]), n_buckets)[0])
+        a, b, meet = _pairs_of(columns, threshold, owner, n_buckets)
+        return pa.Table.from_pylist(_rows(0, c.bucket_of(a, n_buckets), a, b, meet), schema=_PACKED)
 
     return f
 
 
-def candidate_pairs(entries: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
-    """Pairs (a, b) of set keys that may match."""
-    found = c.stored(entries.groupBy("owner").applyInArrow(_bucket_pairs(threshold), OUT))
-    hot = found.filter("tiles > 0").withColumn("own", F.pmod(F.xxhash64("a"), F.col("tiles")).cast("int"))
+def _distinct_pairs(table: pa.Table) -> pa.Table:
+    """Each pair once, packed for the bucket that verifies it (of several the first)."""
+    a, b, meet = _of_kind(table, 0, (np.uint64, np.uint64, np.int32))
+    order = np.argsort(meet, kind="stable")
+    a, b, meet = _once([a[order], b[order], meet[order]])
+    return pa.Table.from_pylist(_rows(0, meet, a, b), schema=_PACKED)
+
+
+def _keys_of_pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The distinct keys of the pairs of each packed row, with the bucket that needs them."""
+    for batch in batches:
+        for i in range(batch.num_rows):
+            keys = np.unique(np.frombuffer(batch.column(1)[i].as_py() + batch.column(2)[i].as_py(), np.int64))
+            owner = np.full(len(keys), batch.column(0)[i].as_py(), np.int32)
+            yield pa.RecordBatch.from_arrays([pa.array(owner), pa.array(keys)], names=["owner", "key"])
+
+
+def candidate_pairs(found: DataFrame, n_buckets: int, threshold: float = THRESHOLD) -> DataFrame:
+    """Pairs (a, b) of set keys that may match, each once, packed by the bucket (owner) that is to verify them."""
+    hot = found.filter("kind = 2").mapInArrow(_unpack_hot, ", ".join(map(" ".join, zip(HOT, HOT_TYPES, strict=True))))
+    # a set once for each word, then the number of tiles by an aggregate: no word gathers in one task
+    hot = hot.dropDuplicates(["word", "key"])
+    tiles = hot.groupBy("word").agg(F.ceil(F.count("*") / TILE).cast("int").alias("tiles"))
+    hot = hot.join(tiles, "word").withColumn("own", F.pmod(F.xxhash64("key"), F.col("tiles")).cast("int"))
     hot = hot.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("tiles") - 1)))
     hot = hot.withColumns({"i": F.least("own", "other"), "j": F.greatest("own", "other")})
-    tiles = hot.select("token", "i", "j", "a", "size", "place", "even", "odd").groupBy("token", "i", "j").applyInArrow(_tile_pairs(threshold), "a long, b long")
-    return found.filter("tiles = 0").select("a", "b").unionByName(tiles).distinct()
+    tiles = hot.groupBy("word", "i", "j").applyInArrow(_tile_pairs(threshold, n_buckets), PACKED)
+    return found.filter("kind = 0").unionByName(tiles).groupBy("owner").applyInArrow(_distinct_pairs, PACKED).select("owner", "c0", "c1")
+
+
+SETS = "owner int, key long, doc_id long, mark long, line int, words binary"
+_SETS = pa.schema(
+    [("owner", pa.int32()), ("key", pa.int64()), ("doc_id", pa.int64()), ("mark", pa.int64()), ("line", pa.int32()), ("words", pa.binary())]
+)
 
 
 def _wanted_sets(docs: pa.Table, wanted: pa.Table) -> pa.Table:
-    """key and words (distinct hashes in order) of the lines asked for."""
+    """The words (distinct hashes in order) of the lines that buckets ask for."""
     rows = []
     if docs.num_rows and wanted.num_rows:
         place = {}
         ids, marks = c.id_values(docs.column("doc_id")).tolist(), docs.column("mark").to_pylist()
         for i, at in enumerate(zip(ids, marks, strict=True)):
             place.setdefault(at, i)
-        texts, cut = docs.column("text"), {}
-        for key, doc, mark, line in zip(*(wanted.column(x).to_pylist() for x in ("key", "doc_id", "mark", "line")), strict=True):
-            i = place[doc, mark]
-            if i not in cut:
-                cut[i] = texts[i].as_py().encode().split(b"\n")
-            data = np.frombuffer(cut[i][line], np.uint8)
-            starts, _, _ = c.words(data, np.array([0, len(data)]))
-            rows.append({"key": key, "words": np.unique(c.word_hashes(data, starts)).tobytes()})
-    return pa.Table.from_pylist(rows, schema=pa.schema([("key", pa.int64()), ("words", pa.binary())]))
+        texts, cut, known = docs.column("text"), {}, {}
+        names = ("owner", "key", "doc_id", "mark", "line")
+        for owner, key, doc, mark, line in zip(*(wanted.column(x).to_pylist() for x in names), strict=True):
+            if key not in known:
+                i = place[doc, mark]
+                if i not in cut:
+                    cut[i] = texts[i].as_py().encode().split(b"\n")
+                data = np.frombuffer(cut[i][line], np.uint8)
+                starts, _, _ = c.words(data, np.array([0, len(data)]))
+                known[key] = _six_bytes(np.unique(c.word_hashes(data, starts)))
+            rows.append({"owner": owner, "key": key, "doc_id": doc, "mark": mark, "line": line, "words": known[key]})
+    return pa.Table.from_pylist(rows, schema=_SETS)
+
+
+def _six_bytes(words: np.ndarray) -> bytes:
+    """48 bits of each hash: enough to tell the words of two lines apart, and a quarter less to move."""
+    return words.view(np.uint8).reshape(-1, 8)[:, :6].tobytes()
+
+
+def _from_six_bytes(sets: pa.Table) -> tuple[np.ndarray, np.ndarray]:
+    """(sizes of the sets, all their words)."""
+    sizes = np.array([len(x) // 6 for x in sets.column("words").to_pylist()], np.int64)
+    wide = np.zeros((sizes.sum(), 8), np.uint8)
+    wide[:, :6] = c.unpacked(sets.column("words"), np.uint8).reshape(-1, 6)
+    return sizes, wide.view(np.uint64)[:, 0]
+
+
+LINKS = "key long, links long, doc_id long, line int, mark long"
 
 
 def _verified(threshold: float):
-    def f(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            ok = []
-            for x, y in zip(batch.column(2), batch.column(3), strict=True):
-                x, y = np.frombuffer(x.as_buffer(), np.uint64), np.frombuffer(y.as_buffer(), np.uint64)
-                both = len(np.intersect1d(x, y, assume_unique=True))
-                ok.append(both >= threshold * (len(x) + len(y) - both) - 1e-9)
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1)], names=["a", "b"]).filter(pa.array(ok, pa.bool_()))
+    """For each set of a bucket's pairs: its links, the pairs whose whole sets match, and its earliest partner's place."""
+
+    def f(pairs: pa.Table, sets: pa.Table) -> pa.Table:
+        place = [sets.column(x).to_numpy() for x in ("mark", "line", "doc_id")]
+        sets = sets.take(pa.array(np.lexsort(place)))  # so that the least row number is the earliest place
+        keys = sets.column("key").to_numpy()
+        order = np.argsort(keys)
+        sizes, words = _from_six_bytes(sets)
+        starts = np.cumsum(sizes) - sizes
+        distinct, words = np.unique(words, return_inverse=True)
+        a, b = (c.unpacked(pairs.column(x), np.int64) for x in ("c0", "c1"))
+        a, b = (order[np.searchsorted(keys, x, sorter=order)] for x in (a, b))
+        sort = np.argsort(a, kind="stable")
+        a, b = a[sort], b[sort]
+        held, keep = np.zeros(len(distinct), bool), np.zeros(len(a), bool)
+        for s, e in c.run_bounds(a):
+            own = words[starts[a[s]] : starts[a[s]] + sizes[a[s]]]
+            held[own] = True
+            n = sizes[b[s:e]]
+            first = np.cumsum(n) - n
+            at = np.arange(n.sum()) - np.repeat(first, n) + np.repeat(starts[b[s:e]], n)
+            both = np.add.reduceat(held[words[at]], first, dtype=np.int64)
+            keep[s:e] = both >= threshold * (len(own) + n - both) - 1e-9
+            held[own] = False
+        one, other = np.concatenate([a[keep], b[keep]]), np.concatenate([b[keep], a[keep]])
+        links = np.bincount(one, minlength=len(keys))
+        least = np.full(len(keys), len(keys))
+        np.minimum.at(least, one, other)
+        linked = np.flatnonzero(links)
+        partner = sets.take(pa.array(least[linked])).select(["doc_id", "line", "mark"])
+        return pa.table([pa.array(keys[linked]), pa.array(links[linked]), *partner.columns], names=["key", "links", "doc_id", "line", "mark"])
 
     return f
 
@@ -323,9 +425,10 @@ def dedup_lines(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     mark = F.xxhash64("text").alias("mark")
     texts = docs.select("doc_id", "text", mark)
     counts = word_counts(texts)
-    packed = c.stored(texts.mapInArrow(_pack(counts, threshold, n), PACKED))
-    pairs = c.stored(candidate_pairs(packed.filter("kind = 0").drop("kind", "line_keys", "docs", "marks", "numbers"), threshold))
-    lines = packed.filter("kind = 1").select("line_keys", "docs", "marks", "numbers").mapInArrow(_unpack_lines, LINES)
+    entries = texts.mapInArrow(_pack(counts, threshold, n, FREQUENT), PACKED).groupBy("owner")
+    found = c.stored(entries.applyInArrow(_bucket_pairs(threshold, n), PACKED))
+    pairs = c.stored(candidate_pairs(found, n, threshold))
+    lines = found.filter("kind = 1").mapInArrow(_unpack_lines, LINES)
     place = F.struct("doc_id", "line", "mark")
     firsts = c.stored(lines.groupBy("key").agg(F.min(place).alias("first"), F.count("*").alias("times")))
 
@@ -333,14 +436,13 @@ def dedup_lines(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     base = docs.select(*columns, mark, block).repartition(n, "block")
     # null ids were counted as the largest; their blocks are those of null
     block_of = F.pmod(F.xxhash64(F.nullif(F.col("doc_id"), F.lit(LAST))), F.lit(n)).cast("int").alias("block")
-    asked = pairs.select(F.col("a").alias("key")).union(pairs.select("b")).distinct().join(firsts, "key")
-    asked = asked.select("key", "first.*").select("key", "doc_id", "mark", "line", block_of)
-    sets = c.by_block_with(base, asked, _wanted_sets, "key long, words binary")
-    both = pairs.join(sets.select(F.col("key").alias("a"), F.col("words").alias("x")), "a").join(sets.select(F.col("key").alias("b"), F.col("words").alias("y")), "b")
-    matches = c.stored(both.select("a", "b", "x", "y").mapInArrow(_verified(threshold), "a long, b long"))
-
-    ways = matches.unionByName(matches.select(F.col("b").alias("a"), F.col("a").alias("b")))
-    partner = ways.join(firsts, ways["b"] == firsts["key"]).groupBy("a").agg(F.min("first").alias("partner"), F.count("*").alias("links"))
+    asked = pairs.mapInArrow(_keys_of_pairs, "owner int, key long").distinct().join(firsts, "key")
+    asked = asked.select("owner", "key", "first.*").select("owner", "key", "doc_id", "mark", "line", block_of)
+    sets = c.by_block_with(base, asked, _wanted_sets, SETS)
+    c.release(docs.sparkSession)
+    links = c.stored(pairs.groupBy("owner").cogroup(sets.groupBy("owner")).applyInArrow(_verified(threshold), LINKS))
+
+    partner = links.groupBy(F.col("key").alias("a")).agg(F.min(place).alias("partner"), F.sum("links").alias("links"))
     earliest = firsts.filter("times > 1").select("key", "first").join(partner, F.col("key") == F.col("a"), "full")
     earliest = earliest.select(
         F.coalesce("key", "a").alias("of"), F.least("first", "partner").alias("earliest"), F.coalesce("links", F.lit(0)).alias("links")
@@ -352,6 +454,7 @@ def dedup_lines(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
         F.min(F.when(F.col("goes"), F.col("earliest.doc_id"))).alias("first_doc"),
     )
     gone = gone.select("doc_id", "mark", "lines", "n_links", "first_doc", block_of)
+    c.release(docs.sparkSession)
     schema = ", ".join([f"`{x}` {t}" for x, t in docs.dtypes] + [f"{x} long" for x in ADDED])
     return c.by_block_with(base, gone, _kept(columns), schema)
 
