@@ -1,5 +1,6 @@
 import math
 import random
+import re
 import zlib
 from collections import Counter
 from pathlib import Path
@@ -90,6 +91,10 @@ def test_license_base_phrases_equal_brute_force(odd):
         ("CC BY-NC-ND 4.0", "cc-by,cc-by-nc-nd"),
         ("Permission is hereby granted, free of charge, to any person obtaining a copy of this software", "mit"),
         ("ALL RIGHTS RESERVED", "reserved"),
+        ("Creative Commons Attribution 4.0 International License", "cc-by-4.0"),
+        ("Creative Commons Attribution-NonCommercial-NoDerivatives", "cc-by-nc-nd"),
+        ("Creative Commons Attribution-ShareAlike", "cc-by-sa"),
+        ("the BigScience OpenRAIL-M license", "openrail"),
         ("mit Freunden", ""),
         ("", ""),
     ],
@@ -103,6 +108,42 @@ def test_contained_detections_are_suppressed():
     assert rules == ["bsd-3-clause", "bsd"]
 
 
+def written(items):
+    """All texts that a parsed expression matches; one character stands for its range."""
+    out = [""]
+    for op, value in items:
+        match str(op):
+            case "LITERAL":
+                ways = [chr(value)]
+            case "IN":
+                ways = [chr(v) if str(o) == "LITERAL" else chr(v[0]) if str(o) == "RANGE" else "7" for o, v in value]
+            case "MAX_REPEAT":
+                ways = [x for n in range(value[0], value[1] + 1) for x in ([""] if n == 0 else written([*value[2]] * n))]
+            case "SUBPATTERN":
+                ways = written(value[3])
+            case "BRANCH":
+                ways = [x for branch in value[1] for x in written(branch)]
+            case "ASSERT":
+                ways = [""]
+        out = [a + b for a in out for b in ways]
+    return out
+
+
+def test_each_alternative_of_each_rule_holds_a_keyword():
+    for rule in licenses.RULES:
+        for text in written(re._parser.parse(rule.pattern.pattern)):
+            assert rule.pattern.search(f" {text} "), (rule.label, text)
+            assert not rule.keywords.isdisjoint(text.split()), (rule.label, text)
+
+
+def test_scans_with_and_without_the_gate_are_equal():
+    for rule in licenses.RULES:
+        texts = written(re._parser.parse(rule.pattern.pattern))
+        for text in texts[:: max(1, len(texts) // 8)]:
+            joined = f" some {text} here "
+            assert licenses.detections(joined, licenses.KEYWORDS.intersection(joined.split())) == licenses.detections(joined, licenses.KEYWORDS)
+
+
 def test_there_are_hundreds_of_rules():
     assert len(licenses.RULES) >= 400
 

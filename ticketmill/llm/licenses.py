@@ -2,8 +2,8 @@
 
 A text is read as its words (letters, digits and characters beyond ASCII, A-Z lower-cased) joined
 by single spaces, so punctuation and line breaks do not matter. Each rule is a regular expression
-over that form with a label, a priority and a keyword; it runs only on texts that hold its
-keyword. Rules of a higher priority come first, in order. A detection that lies within an accepted
+over that form with a label, a priority and keywords, of which every match holds one as a whole
+word; it runs only on texts that hold one of them. Rules of a higher priority come first, in order. A detection that lies within an accepted
 detection is suppressed (interval containment): "bsd 3 clause license" is not also "bsd license".
 The three base phrases are rules that are never suppressed.
 
@@ -36,7 +36,7 @@ BASE = (("cc by", "cc-by"), ("general public license", "gpl"), ("all rights rese
 LICENSE = r"licen[cs]e"
 VERSION = r"(?: version| v)? ?"
 
-# Families: label, keyword, name as it is written in words, identifiers, and words of its address.
+# Families: label, keywords (each form of the name holds one), name as it is written in words, identifiers, and words of its address.
 FAMILIES = (
     ("apache-1.1", "apache", rf"apache (?:software )?{LICENSE}{VERSION}1 1", "apache 1 1", "apache org licenses license 1 1"),
     ("apache-2.0", "apache", rf"apache (?:software )?{LICENSE}{VERSION}2(?: 0)?", "apache 2 0", "apache org licenses license 2 0"),
@@ -62,19 +62,19 @@ FAMILIES = (
     ("cddl-1.0", "distribution", rf"common development and distribution {LICENSE}{VERSION}1(?: 0)?", "cddl 1 0", "opensource org licenses cddl1"),
     ("cddl-1.1", "distribution", rf"common development and distribution {LICENSE}{VERSION}1 1", "cddl 1 1", "glassfish dev java net public cddl gplv2"),
     ("cc0-1.0", "cc0", r"(?:creative commons )?cc0(?: 1 0)?(?: universal)?(?: public domain dedication)?", "cc0 1 0", "creativecommons org publicdomain zero 1 0"),
-    ("cc-by-nc-nd", "nd", r"(?:creative commons |cc )(?:by|attribution) (?:nc|noncommercial|non commercial) (?:nd|noderivatives|noderivs|no derivatives)", r"cc by nc nd [1-4] [05]", "creativecommons org licenses by nc nd"),
-    ("cc-by-nc-sa", "sa", r"(?:creative commons |cc )(?:by|attribution) (?:nc|noncommercial|non commercial) (?:sa|sharealike|share alike)", r"cc by nc sa [1-4] [05]", "creativecommons org licenses by nc sa"),
-    ("cc-by-nc", "nc", r"(?:creative commons |cc )(?:by|attribution) (?:nc|noncommercial|non commercial)", r"cc by nc [1-4] [05]", "creativecommons org licenses by nc"),
-    ("cc-by-nd", "nd", r"(?:creative commons |cc )(?:by|attribution) (?:nd|noderivatives|noderivs|no derivatives)", r"cc by nd [1-4] [05]", "creativecommons org licenses by nd"),
-    ("cc-by-sa", "sa", r"(?:creative commons |cc )(?:by|attribution) (?:sa|sharealike|share alike)", r"cc by sa [1-4] [05]", "creativecommons org licenses by sa"),
-    ("cc-by-4.0", "by", r"(?:creative commons |cc )(?:by|attribution)(?: international)? 4 0(?: international)?", "cc by 4 0", "creativecommons org licenses by 4 0"),
-    ("cc-by-3.0", "by", r"(?:creative commons |cc )(?:by|attribution)(?: unported)? 3 0(?: unported)?", "cc by 3 0", "creativecommons org licenses by 3 0"),
-    ("cc-by-2.0", "by", r"(?:creative commons |cc )(?:by|attribution)(?: generic)? 2 [05](?: generic)?", "cc by 2 [05]", "creativecommons org licenses by 2 [05]"),
+    ("cc-by-nc-nd", "nd noderivatives noderivs derivatives", r"(?:creative commons |cc )(?:by|attribution) (?:nc|noncommercial|non commercial) (?:nd|noderivatives|noderivs|no derivatives)", r"cc by nc nd [1-4] [05]", "creativecommons org licenses by nc nd"),
+    ("cc-by-nc-sa", "sa sharealike alike", r"(?:creative commons |cc )(?:by|attribution) (?:nc|noncommercial|non commercial) (?:sa|sharealike|share alike)", r"cc by nc sa [1-4] [05]", "creativecommons org licenses by nc sa"),
+    ("cc-by-nc", "nc noncommercial commercial", r"(?:creative commons |cc )(?:by|attribution) (?:nc|noncommercial|non commercial)", r"cc by nc [1-4] [05]", "creativecommons org licenses by nc"),
+    ("cc-by-nd", "nd noderivatives noderivs derivatives", r"(?:creative commons |cc )(?:by|attribution) (?:nd|noderivatives|noderivs|no derivatives)", r"cc by nd [1-4] [05]", "creativecommons org licenses by nd"),
+    ("cc-by-sa", "sa sharealike alike", r"(?:creative commons |cc )(?:by|attribution) (?:sa|sharealike|share alike)", r"cc by sa [1-4] [05]", "creativecommons org licenses by sa"),
+    ("cc-by-4.0", "cc commons", r"(?:creative commons |cc )(?:by|attribution)(?: international)? 4 0(?: international)?", "cc by 4 0", "creativecommons org licenses by 4 0"),
+    ("cc-by-3.0", "cc commons", r"(?:creative commons |cc )(?:by|attribution)(?: unported)? 3 0(?: unported)?", "cc by 3 0", "creativecommons org licenses by 3 0"),
+    ("cc-by-2.0", "cc commons", r"(?:creative commons |cc )(?:by|attribution)(?: generic)? 2 [05](?: generic)?", "cc by 2 [05]", "creativecommons org licenses by 2 [05]"),
     ("unlicense", "unlicense", r"(?:the )?unlicense", "unlicense", "unlicense org"),
     ("wtfpl", "wtfpl", rf"wtfpl(?: public {LICENSE})?", "wtfpl", "wtfpl net"),
     ("isc", "isc", rf"isc {LICENSE}", "isc", "opensource org licenses isc"),
     ("zlib", "zlib", rf"zlib(?: libpng)? {LICENSE}", "zlib", "opensource org licenses zlib"),
-    ("libpng", "libpng", rf"(?:lib)?libpng {LICENSE}(?: version 2)?", "libpng 2 0", "libpng org pub png src libpng license"),
+    ("libpng", "libpng liblibpng", rf"(?:lib)?libpng {LICENSE}(?: version 2)?", "libpng 2 0", "libpng org pub png src libpng license"),
     ("boost-1.0", "boost", rf"boost software {LICENSE}{VERSION}1(?: 0)?", "bsl 1 0", "boost org license 1 0"),
     ("artistic-1.0", "artistic", rf"artistic {LICENSE}{VERSION}1(?: 0)?", "artistic 1 0", "opensource org licenses artistic license 1 0"),
     ("artistic-2.0", "artistic", rf"artistic {LICENSE}{VERSION}2(?: 0)?", "artistic 2 0", "opensource org licenses artistic license 2 0"),
@@ -103,11 +103,11 @@ FAMILIES = (
     ("bsl-1.1", "business", rf"business source {LICENSE}{VERSION}1 1", "busl 1 1", "mariadb com bsl11"),
     ("sspl-1.0", "server", rf"server side public {LICENSE}{VERSION}1(?: 0)?", "sspl 1 0", "mongodb com licensing server side public license"),
     ("elastic-2.0", "elastic", rf"elastic {LICENSE}{VERSION}2(?: 0)?", "elastic 2 0", "elastic co licensing elastic license"),
-    ("openrail", "rail", rf"(?:creative ml |bigscience )?open ?rail(?: m)?(?: {LICENSE})?", "openrail(?: m)?", "huggingface co spaces bigscience license"),
+    ("openrail", "rail openrail", rf"(?:creative ml |bigscience )?open ?rail(?: m)?(?: {LICENSE})?", "openrail(?: m)?", "huggingface co spaces bigscience license"),
     ("blueoak-1.0", "oak", rf"blue oak model {LICENSE}(?: 1 0 0)?", "blueoak 1 0 0", "blueoakcouncil org license 1 0 0"),
 )
 
-# Sentences of license texts and notices that belong to no form above: label, keyword, expression, priority, weight.
+# Sentences of license texts and notices that belong to no form above: label, keywords, expression, priority, weight.
 SENTENCES = (
     ("mit", "charge", r"permission is hereby granted free of charge to any person obtaining a copy of this software", 90, 1.0),
     ("isc", "permission", r"permission to use copy modify and or distribute this software for any purpose with or without fee", 90, 1.0),
@@ -147,28 +147,28 @@ _RESULT = pa.schema(
 
 class Rule(NamedTuple):
     label: str
-    keyword: str
+    keywords: frozenset
     pattern: re.Pattern
     priority: int
     weight: float
 
 
-def _rule(label: str, keyword: str, pattern: str, priority: int, weight: float) -> Rule:
-    return Rule(label, keyword, re.compile(rf"(?<= ){pattern}(?= )"), priority, weight)
+def _rule(label: str, keywords: str, pattern: str, priority: int, weight: float) -> Rule:
+    return Rule(label, frozenset(keywords.split()), re.compile(rf"(?<= ){pattern}(?= )"), priority, weight)
 
 
 def _family_rules() -> Iterator[Rule]:
     granted = r"(?:licen[cs]ed|released|distributed|available|published|provided|covered|made available)"
-    for label, keyword, name, identifier, address in FAMILIES:
-        # an identifier's own first word gates it, as it need not hold the family's keyword
+    for label, keywords, name, identifier, address in FAMILIES:
+        # an identifier's own first word gates it, as it need not hold one of the family's keywords
         tag = re.match(r"\w+", identifier)[0]
         yield _rule(label, "spdx", rf"spdx licen[cs]e identifier {identifier}", 100, 1.0)
-        yield _rule(label, keyword, rf"{granted} under (?:the )?(?:terms of )?(?:the )?{name}", 80, 1.0)
-        yield _rule(label, keyword, rf"subject to (?:the )?(?:terms of )?(?:the )?{name}", 78, 0.95)
-        yield _rule(label, keyword, rf"(?:terms|conditions|copy) of the {name}", 76, 0.95)
+        yield _rule(label, keywords, rf"{granted} under (?:the )?(?:terms of )?(?:the )?{name}", 80, 1.0)
+        yield _rule(label, keywords, rf"subject to (?:the )?(?:terms of )?(?:the )?{name}", 78, 0.95)
+        yield _rule(label, keywords, rf"(?:terms|conditions|copy) of the {name}", 76, 0.95)
         yield _rule(label, tag, rf"{granted} under (?:the )?(?:terms of )?(?:the )?{identifier}", 75, 0.95)
         yield _rule(label, address.split()[0], rf"(?:http|https)(?: www)? {address}", 70, 0.95)
-        yield _rule(label, keyword, name, 50, 0.9)
+        yield _rule(label, keywords, name, 50, 0.9)
         if " " in identifier:
             yield _rule(label, tag, identifier, 45, 0.8)
 
@@ -181,12 +181,15 @@ def all_rules() -> list[Rule]:
 
 RULES = all_rules()
 BASE_RULES = [(label, re.compile(rf"(?<= )(?={phrase} )")) for phrase, label in BASE]
-KEYWORDS = frozenset(r.keyword for r in RULES) | {phrase.split()[0] for phrase, _ in BASE}
+KEYWORDS = frozenset().union(*(r.keywords for r in RULES)) | {phrase.split()[0] for phrase, _ in BASE}
+#: The numbers of the rules that a keyword lets run.
+GATED = {k: [n for n, r in enumerate(RULES) if k in r.keywords] for k in KEYWORDS}
 
 
 def detections(joined: str, present: frozenset | set) -> list[tuple[int, int, Rule]]:
     """Accepted detections: (start, end, rule) in the form of words joined by spaces, best rules first."""
-    found = [(m.start(), m.end(), rule) for rule in RULES if rule.keyword in present for m in rule.pattern.finditer(joined)]
+    rules = [RULES[n] for n in sorted({n for k in present for n in GATED[k]})]
+    found = [(m.start(), m.end(), rule) for rule in rules for m in rule.pattern.finditer(joined)]
     starts = sorted({s for s, _, _ in found})
     # furthest[i]: the furthest end of some accepted detections that start at or before starts[i - 1], as a Fenwick tree
     furthest, accepted = [0] * (len(starts) + 1), []
