@@ -40,6 +40,51 @@ def test_matcher_equals_one_edit_by_enumeration():
         assert matcher.edits(word) == (0 if exact else 1 if near else -1), word
 
 
+def distance(a, b):
+    """Insertions, deletions, substitutions and swaps of neighbours, by the full table."""
+    d = {(i, j): i + j for i in range(len(a) + 1) for j in range(len(b) + 1) if not i or not j}
+    for i in range(1, len(a) + 1):
+        for j in range(1, len(b) + 1):
+            d[i, j] = min(d[i - 1, j] + 1, d[i, j - 1] + 1, d[i - 1, j - 1] + (a[i - 1] != b[j - 1]))
+            if i > 1 and j > 1 and a[i - 2 : i] == b[j - 1] + b[j - 2]:
+                d[i, j] = min(d[i, j], d[i - 2, j - 2] + 1)
+    return d[len(a), len(b)]
+
+
+def test_matcher_equals_edit_distance_at_any_letter():
+    rng = random.Random(4)
+    terms = ["abcab", "bacca", "cabbage", "abc", "abcgeabcg"]
+    matcher = toxicity.Matcher(terms, [], first=True)
+    words = {"".join(rng.choice("abcge") for _ in range(rng.randint(1, 8))) for _ in range(2000)}
+    for term in terms * 200:
+        word = list(term)
+        for _ in range(rng.randint(0, 3)):
+            i = rng.randrange(len(word))
+            word[i : i + 2] = rng.choice([word[i + 1 : i + 2], ["a", *word[i + 1 : i + 2]], ["g", *word[i : i + 2]], word[i : i + 2][::-1]])
+        words.add("".join(word))
+    for word in words:
+        near = [d for t in terms if (d := distance(t, word)) <= toxicity.edits_allowed(len(t), False)]
+        assert matcher.edits(word) == min(near, default=-1), word
+
+
+def test_lost_and_changed_first_letters_and_forms_of_stems(spark):
+    forms = ["grolak", "grolaken", "grolaks", "grolakish", "grolaker"]
+    rows = [(i, f"word{i} more of it {forms[i % 5]} here" if i % 2 else f"word{i} more of it all here", i % 2) for i in range(400)]
+    train = spark.createDataFrame(rows, "doc_id long, text string, toxic int")
+    model = toxicity.learn(train, train)
+    assert any("grolak".startswith(s) for s in model.stems)
+    matcher = model.matcher()
+    for word in ("grolak", "golak", "xrolak", "$rolak", "grolka", "gorlaken", "grlaks"):
+        assert toxicity.hits(f"you {word} there", matcher)[1] == 1, word
+    scores = toxicity.toxicity_scores(spark.createDataFrame([(1, "you rolak there")], "doc_id long, text string").unionByName(train.select("doc_id", "text")), train)
+    assert scores.filter("n_misspelled = 1").count() == 1
+
+
+def test_usual_words_are_no_misspellings():
+    matcher = toxicity.Matcher(["loser"], [], first=True, usual=["closer", "loser"])
+    assert [matcher.edits(w) for w in ("closer", "loser", "oser", "looser")] == [-1, 0, 1, 1]
+
+
 def test_stems_match_beginnings_and_long_ones_with_an_edit():
     matcher = toxicity.Matcher([], ["lowei", "abcdefg"])
     assert [matcher.edits(w) for w in ("lowei", "loweischaft", "lwei", "abcdefgxyz", "abcdfgxyz")] == [0, 0, -1, 0, 1]

@@ -3,12 +3,16 @@
 Lexicon. Words and word beginnings (stems) of PREFIXES letters are counted per text of a bounded
 sample of labelled texts (SAMPLE rows in order of a hash of doc_id, equal texts once). Those that
 stand almost only in toxic texts, in at least SUPPORT of them, become terms; of nested ones the
-longest that loses hardly any text stays.
+longest that loses hardly any text stays. The words that begin with a stem and stand almost only in
+toxic texts, in FORMS of them or more, become terms beside it.
 
 Matching. The terms form a trie. A word is read letter by letter by the product of the trie and
 the Levenshtein automaton (insertion, deletion, substitution, swap of neighbours), whose states
-are made as they are met and kept. Words of 5 letters or more may have one edit, of 9 or more two (stems
-from 7 and 11); the first letter stands or is swapped with the second. A stem matches a word that begins with it.
+are made as they are met and kept. Words of 5 letters or more may have one edit, of 9 or more two,
+at any letter; shorter ones none, as most words so short are an edit from another. A stem matches a
+word that begins with it. It leaves the rest of a word open, so stems of PREFIXES letters have no
+edits; misspellings of the family are those of its words. A word near a term is no misspelling if
+FORMS texts of the sample or more hold it and most of them are clean ("closer" beside "loser").
 
 Context. A hit between quotation marks, or with a word of reporting in the REACH words before it,
 counts QUOTED, otherwise 1. A logistic model of the weighed hits, their density and the
@@ -25,6 +29,7 @@ from __future__ import annotations
 import re
 from collections.abc import Iterator
 from dataclasses import dataclass, field
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -38,6 +43,7 @@ SAMPLE = 20_000
 TERMS = 2_000
 PREFIXES = (4, 5, 6)
 SUPPORT = 0.02
+FORMS = 5
 PURITY = 0.95
 REACH = 5
 QUOTED = 0.25
@@ -61,9 +67,15 @@ def edits_allowed(length: int, stem: bool) -> int:
 
 
 class Matcher:
-    """The Levenshtein automaton of all terms at once: states are sets of (trie node, edits, swap)."""
+    """The Levenshtein automaton of all terms at once: states are sets of (trie node, edits, swap).
 
-    def __init__(self, words: list[str], stems: list[str]):
+    first: whether edits may also replace, drop or add letters at the beginning.
+    usual: words that are no misspellings of a term.
+    """
+
+    def __init__(self, words: list[str], stems: list[str], first: bool = False, usual: list[str] | None = None):
+        self.first = first
+        self.usual = frozenset(usual or ())
         self.children: list[dict[str, int]] = [{}]
         self.most: list[int] = [-1]  # edits with which a node's word ends a match
         self.stem: list[int] = [-1]  # and a node's stem
@@ -98,7 +110,7 @@ class Matcher:
             if edits > self.room[node] or best.get((node, swap), 99) <= edits:
                 continue
             best[node, swap] = edits
-            if not swap and node:
+            if not swap and (node or self.first):
                 todo += [(child, edits + 1, "") for child in self.children[node].values()]
         return frozenset((node, edits, swap) for (node, swap), edits in best.items())
 
@@ -116,10 +128,10 @@ class Matcher:
                 if swap == letter:
                     after.add((node, edits, ""))
                 continue
-            if node:
+            if node or self.first:
                 after.add((node, edits + 1, ""))  # a letter too many
             for own, child in self.children[node].items():
-                if node or own == letter:
+                if node or self.first or own == letter:
                     after.add((child, edits + (own != letter), ""))
                 if own != letter and letter in self.children[child]:
                     after.add((self.children[child][letter], edits + 1, own))
@@ -130,6 +142,8 @@ class Matcher:
         found = self.kept.get(word)
         if found is None:
             found = self._edits(word)
+            if found > 0 and word in self.usual:
+                found = -1
             if len(self.kept) >= CACHE:
                 self.kept.clear()
             self.kept[word] = found
@@ -155,8 +169,12 @@ class Matcher:
 class Model:
     words: list[str] = field(default_factory=list)
     stems: list[str] = field(default_factory=list)
+    usual: list[str] = field(default_factory=list)
     weights: np.ndarray | None = None
 
+    def matcher(self) -> Matcher:
+        return Matcher(self.words, self.stems, first=True, usual=self.usual)
+
 
 def hits(text: str, matcher: Matcher) -> tuple[int, int, int, int, float, float]:
     """(tokens, hits, misspelled, quoted, weighed exact hits, weighed misspelled hits)."""
@@ -239,9 +257,33 @@ def _terms(train: DataFrame) -> list[tuple[str, bool, int]]:
     return [(r.term.removesuffix(STEM), r.term.endswith(STEM), r.toxic) for r in counts.collect()]
 
 
-def _hit_rows(words: list[str], stems: list[str]):
+def _forms(train: DataFrame, stems: list[str]) -> list[str]:
+    """The words that begin with a stem and stand almost only in toxic texts."""
+    if not stems:
+        return []
+    words = F.array_distinct(F.regexp_extract_all(F.lower("text"), F.lit(r"(?U)\w{3,}"), F.lit(0)))
+    family = reduce(lambda a, b: a | b, [F.substring("word", 1, n).isin([s for s in stems if len(s) == n]) for n in sorted({len(s) for s in stems})])
+    counts = train.select("toxic", F.explode(words).alias("word")).filter(family).groupBy("word").agg(F.sum("toxic").alias("toxic"), F.count("*").alias("texts"))
+    return sorted(r.word for r in counts.filter((F.col("toxic") >= FORMS) & (F.col("toxic") >= PURITY * F.col("texts"))).collect())
+
+
+def _usual(train: DataFrame, model: Model) -> list[str]:
+    """The words near a term that mostly stand in clean texts."""
+
+    def near(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        matcher = model.matcher()
+        for batch in batches:
+            yield batch.filter(pa.array([matcher.edits(w) > 0 for w in batch.column(0).to_pylist()], pa.bool_()))
+
+    words = F.array_distinct(F.regexp_extract_all(F.lower("text"), F.lit(r"(?U)\w+"), F.lit(0)))
+    counts = train.select("toxic", F.explode(words).alias("word")).groupBy("word").agg(F.sum("toxic").alias("toxic"), F.count("*").alias("texts"))
+    common = counts.filter((F.col("texts") >= FORMS) & (2 * F.col("toxic") < F.col("texts"))).select("word")
+    return sorted(r.word for r in common.mapInArrow(near, "word string").collect())
+
+
+def _hit_rows(model: Model):
     def f(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        matcher = Matcher(words, stems)
+        matcher = model.matcher()
         for batch in batches:
             rows = [features(hits(t.as_py() or "", matcher)) for t in batch.column(0)]
             yield pa.RecordBatch.from_arrays([batch.column(1), pa.array(rows, pa.list_(pa.float64()))], names=["toxic", "x"])
@@ -264,9 +306,12 @@ def learn(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Model:
     words, stems = choose_terms(_terms(train))
     if not words and not stems:
         return Model()
-    rows = train.select("text", "toxic").mapInArrow(_hit_rows(words, stems), "toxic int, x array<double>").collect()
+    model = Model(sorted({*words, *_forms(train, stems)}), stems)
+    model.usual = _usual(train, model)
+    rows = train.select("text", "toxic").mapInArrow(_hit_rows(model), "toxic int, x array<double>").collect()
     x, y = np.array([r.x for r in rows]), np.array([r.toxic for r in rows], float)
-    return Model(words, stems, fit_logistic(x, y))
+    model.weights = fit_logistic(x, y)
+    return model
 
 
 def score(text: str | None, matcher: Matcher, weights: np.ndarray | None) -> tuple[float, tuple]:
@@ -279,7 +324,7 @@ def score(text: str | None, matcher: Matcher, weights: np.ndarray | None) -> tup
 
 def _score_rows(model: Model):
     def f(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        matcher = Matcher(model.words, model.stems)
+        matcher = model.matcher()
         for batch in batches:
             scores, found = [], []
             for text in batch.column(1):
@@ -305,7 +350,7 @@ def without_toxic(docs: DataFrame, labels: DataFrame, cutoff: float = 0.5, sampl
 
     def keep(texts: pa.Array) -> np.ndarray:
         if not matchers:
-            matchers.append(Matcher(model.words, model.stems))
+            matchers.append(model.matcher())
         return np.array([score(t.as_py(), matchers[0], model.weights)[0] < cutoff for t in texts], bool)
 
     return c.filtered(docs, keep)
