@@ -13,6 +13,7 @@ from ticketmill.llm.contamination import decontaminate
 from ticketmill.llm.licenses import license_scan
 from ticketmill.llm.linededup import line_dedup
 from ticketmill.llm.mixing import mix_documents
+from ticketmill.llm.periodicity import periodic_runs
 from ticketmill.llm.quality import quality_verdicts
 from ticketmill.llm.simhash import simhash_dedup
 from ticketmill.llm.substring import substring_dedup
@@ -60,6 +61,10 @@ def op10_class_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
     return class_scores(read_table(spark, sf_dir, "documents"))
 
 
+def op13_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return periodic_runs(read_table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_substring_dedup": op1_substring_dedup,
     "op2_mix_sources": op2_mix_sources,
@@ -71,6 +76,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_simhash_dedup": op8_simhash_dedup,
     "op9_quality_rules": op9_quality_rules,
     "op10_class_lm": op10_class_lm,
+    "op13_periodic_runs": op13_periodic_runs,
 }
 
 ORACLES: dict[str, str] = {
