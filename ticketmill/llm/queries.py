@@ -10,6 +10,7 @@ from ticketmill.llm import oracles
 from ticketmill.llm.classlm import class_scores
 from ticketmill.llm.common import read_table
 from ticketmill.llm.contamination import decontaminate
+from ticketmill.llm.disclosure import private_spans
 from ticketmill.llm.licenses import license_scan
 from ticketmill.llm.linededup import line_dedup
 from ticketmill.llm.mixing import mix_documents
@@ -66,6 +67,10 @@ def op11_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spelling_variants(read_table(spark, sf_dir, "documents"))
 
 
+def op12_private_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return private_spans(read_table(spark, sf_dir, "documents"))
+
+
 def op13_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return periodic_runs(read_table(spark, sf_dir, "documents"))
 
@@ -82,6 +87,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_quality_rules": op9_quality_rules,
     "op10_class_lm": op10_class_lm,
     "op11_spelling_variants": op11_spelling_variants,
+    "op12_private_spans": op12_private_spans,
     "op13_periodic_runs": op13_periodic_runs,
 }
 
