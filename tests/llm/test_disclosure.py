@@ -6,6 +6,7 @@ import random
 import re
 from collections import Counter, defaultdict
 
+import pytest
 import regex
 
 from tests.llm.conftest import passage
@@ -138,7 +139,9 @@ def test_disclosing_terms_equal_plain_counts(spark):
     assert "the" not in got and "singular" not in got  # common; copies of one text
 
 
-def test_spans_hold_base_and_terms(spark):
+@pytest.mark.parametrize("chunk", [d.CHUNK, 7])
+def test_spans_hold_base_and_terms(spark, chunk, monkeypatch):
+    monkeypatch.setattr(d, "CHUNK", chunk)
     rows = corpus()
     docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
     terms = plain_terms(rows)

@@ -51,6 +51,7 @@ CONTEXT = 100
 MIN_TEXTS = 3
 DISCLOSURE = 0.9
 CLASS = 3
+CHUNK = 1000
 
 
 def _digits(value: Column) -> Column:
@@ -124,13 +125,6 @@ def _identified(docs: DataFrame) -> DataFrame:
 DOCUMENT = ("doc_id", "mark")
 
 
-def _placed(rows: DataFrame, *by: str) -> DataFrame:
-    """Rows (gap, value, number) with the start and end of their values in the text."""
-    before = Window.partitionBy(*DOCUMENT, *by).orderBy("number").rowsBetween(Window.unboundedPreceding, 0)
-    end = F.sum(F.col("gap").cast("long") + F.length("value")).over(before)
-    return rows.withColumn("end", end).withColumn("start", F.col("end") - F.length("value"))
-
-
 def mentions(docs: DataFrame) -> DataFrame:
     """One row for each mention of a protected entity: doc_id, mark, kind, start, end, entity, around."""
     text, arrays = F.col("text"), {}
@@ -142,7 +136,10 @@ def mentions(docs: DataFrame) -> DataFrame:
     matches = [_matches(kind, F.col(f"pieces{kind}"), F.col(f"values{kind}")) for kind in range(TERM_KIND)]
     found = F.explode(F.flatten(F.filter(F.array(*matches), F.isnotnull))).alias("found")
     rows = texts.select(*DOCUMENT, found).select(*DOCUMENT, "found.*").dropDuplicates([*DOCUMENT, "kind", "number"])
-    return _placed(rows, "kind").where("valid").select(*DOCUMENT, "kind", "start", "end", "entity", "around")
+    upto = Window.partitionBy(*DOCUMENT, "kind").orderBy("number").rowsBetween(Window.unboundedPreceding, 0)
+    end = F.sum(F.col("gap").cast("long") + F.length("value")).over(upto)
+    placed = rows.withColumn("end", end).withColumn("start", F.col("end") - F.length("value"))
+    return placed.where("valid").select(*DOCUMENT, "kind", "start", "end", "entity", "around")
 
 
 def term_counts(docs: DataFrame) -> DataFrame:
@@ -209,12 +206,22 @@ def term_spans(docs: DataFrame, terms: DataFrame) -> DataFrame:
     texts = _with_terms(_identified(docs), c.stored(documents_with(docs, terms)), "inner")
     pieces, values = _parts(F.col("text"), TERM)
     texts = texts.select(*DOCUMENT, "instead", pieces.alias("pieces"), values.alias("values"))
-    pieces, values = F.col("pieces"), F.col("values")
-    rows = F.transform(_numbers(values), lambda i: F.struct(i.alias("number"), F.length(F.get(pieces, i)).alias("gap"), F.get(values, i).alias("value")))
-    exploded = texts.select(*DOCUMENT, "instead", F.explode(rows).alias("found")).select(*DOCUMENT, "instead", "found.*")
-    exploded = exploded.withColumn("goes", F.map_contains_key("instead", F.lower("value"))).drop("instead")
-    placed = _placed(exploded.dropDuplicates([*DOCUMENT, "number"]))
-    return placed.where("goes").select(*DOCUMENT, F.lit(TERM_KIND).alias("kind"), "start", "end")
+    # a row for each CHUNK words, in which the terms that go are placed; then the chunks are placed in the text
+    chunks = F.expr(f"explode(sequence(0, (size(values) - 1) div {CHUNK})) AS number")
+    chunks = texts.where(F.size("values") > 0).select("*", chunks)
+    chunks = chunks.withColumns({x: F.slice(x, F.col("number") * CHUNK + 1, F.lit(CHUNK)) for x in ("pieces", "values")})
+    folded = F.expr(
+        """aggregate(
+            zip_with(slice(pieces, 1, size(values)), values, (p, v) -> named_struct('gap', length(p), 'size', length(v), 'goes', map_contains_key(instead, lower(v)))),
+            named_struct('upto', 0L, 'places', CAST(array() AS array<struct<start: bigint, end: bigint>>)),
+            (a, w) -> named_struct('upto', a.upto + w.gap + w.size, 'places',
+                if(w.goes, array_append(a.places, named_struct('start', a.upto + w.gap, 'end', a.upto + w.gap + w.size)), a.places)))"""
+    )
+    folded = chunks.select(*DOCUMENT, "number", folded.alias("folded")).select(*DOCUMENT, "number", "folded.*").dropDuplicates([*DOCUMENT, "number"])
+    before = Window.partitionBy(*DOCUMENT).orderBy("number").rowsBetween(Window.unboundedPreceding, -1)
+    placed = folded.withColumn("before", F.coalesce(F.sum("upto").over(before), F.lit(0)))
+    place = placed.select(*DOCUMENT, "before", F.explode("places").alias("place"))
+    return place.select(*DOCUMENT, F.lit(TERM_KIND).alias("kind"), (F.col("place.start") + F.col("before")).alias("start"), (F.col("place.end") + F.col("before")).alias("end"))
 
 
 def _replaced(text: Column, pattern: str, instead) -> Column:
