@@ -200,8 +200,15 @@ def test_change_plan_and_audit(spark, users, groups):
     }
 
 
-def test_audit_is_appended(spark, users, groups, tmp_path):
+def test_a_plan_is_recorded_once(spark, users, groups, tmp_path):
+    path = str(tmp_path / "audit")
     rows = access.audit_rows(access.plan_role_sync(users, groups), "root@x.example")
-    for _ in range(2):
-        access.append_audit(rows, str(tmp_path / "audit"))
-    assert spark.read.schema(LOGIN_EVENTS).parquet(str(tmp_path / "audit")).count() == 8
+    for plan_id in ("p1", "p2", "p1"):
+        access.write_audit(rows, path, plan_id)
+    assert {r.plan_id: r["count"] for r in access.read_audit(spark, path).groupBy("plan_id").count().collect()} == {"p1": 4, "p2": 4}
+    access.write_audit(rows.where("email IS NULL"), path, "p1")
+    assert access.read_audit(spark, path).where("plan_id = 'p1'").count() == 0
+    assert access.read_audit(spark, path).columns == [*LOGIN_EVENTS.fieldNames(), "plan_id"]
+    for bad in ("", "a/b", "..", "a=b c"):
+        with pytest.raises(ValueError, match="plan id"):
+            access.write_audit(rows, path, bad)

@@ -142,7 +142,8 @@ def _iso(c: str) -> str:
     )
 
 
-def _documents(since: str, limit: str) -> str:
+def _document_parts() -> tuple[str, str]:
+    """Expressions of a document's text and of its metadata as JSON."""
     text = (
         "'[Asunto]' || chr(10) || coalesce(subject, '') || chr(10) || chr(10) || '[Descripción]' || chr(10) || "
         "coalesce(content, '') || chr(10) || chr(10) || '[Resolución]' || chr(10) || coalesce(resolution, '')"
@@ -152,6 +153,11 @@ def _documents(since: str, limit: str) -> str:
         "'category', category, 'subcategory', subcategory, 'itinerary_number', itinerary_number, 'case_key', case_key, "
         "'owner_id', owner_id, 'owner_name', owner_name) AS VARCHAR)"
     )
+    return text, metadata
+
+
+def _documents(since: str, limit: str) -> str:
+    text, metadata = _document_parts()
     return _tickets(
         f"SELECT hubspot_ticket_id AS id, {text} AS text, {metadata} AS metadata, "
         "row_number() OVER (ORDER BY closed_at DESC, hubspot_ticket_id) AS position FROM t "
@@ -159,6 +165,14 @@ def _documents(since: str, limit: str) -> str:
     )
 
 
+def _document_lines(since: str) -> str:
+    """The NDJSON lines of all documents, numbered in file order."""
+    text, metadata = _document_parts()
+    line = f"""'{{"id":' || CAST(to_json(hubspot_ticket_id) AS VARCHAR) || ',"text":' || CAST(to_json({text}) AS VARCHAR) || ',"metadata":' || {metadata} || '}}'"""
+    order = "row_number() OVER (ORDER BY closed_at DESC, hubspot_ticket_id) AS position"
+    return _tickets(f"SELECT {line} AS line, {order} FROM t WHERE closed_at >= TIMESTAMP '{since}'")
+
+
 TICKET_COLUMNS = (
     "hubspot_ticket_id, subject, content, created_at, closed_at, itinerary_number, source, category, subcategory, "
     "resolution, owner_id, owner_name, case_key, raw_hubspot"
@@ -424,6 +438,7 @@ ORACLES: dict[str, str] = {
     "export_documents": _documents("2024-01-20 00:00:00", "LIMIT 500"),
     "export_all_documents": _documents("2024-01-20 00:00:00", ""),
     "export_recent_documents": _documents("2024-01-21 06:00:00", ""),
+    "exported_lines": _document_lines("2024-01-20 00:00:00"),
     "run_sql": _tickets(
         "SELECT category, count(*) AS tickets, max(closed_at) AS last_closed FROM t "
         "WHERE closed_at >= TIMESTAMP '2024-01-10' AND source = 'Email' GROUP BY category"
@@ -540,6 +555,10 @@ ORACLES: dict[str, str] = {
     "plan_role_sync": _plan("SELECT * EXCLUDE (after) FROM plan", change=False),
     "plan_role_change": _plan("SELECT * EXCLUDE (after) FROM plan", change=True),
     "audit_rows": _plan(_AUDIT, change=True),
+    "audit_log": (
+        f"SELECT *, 'plan-1' AS plan_id FROM ({_plan(_AUDIT, change=True)}) "
+        f"UNION ALL SELECT *, 'plan-2' AS plan_id FROM ({_plan(_AUDIT, change=False)})"
+    ),
     "invite_status": _access(
         "SELECT email, role, status, token_expires_at, coalesce(token_expires_at < TIMESTAMP '2024-01-12', FALSE) AS expired "
         "FROM u WHERE token IS NOT NULL"
@@ -553,6 +572,16 @@ ORACLES: dict[str, str] = {
     "stream_closed_daily": _tickets(
         "SELECT CAST(CAST(closed_at AS DATE) AS VARCHAR) AS day, count(*) AS count FROM t WHERE closed_at IS NOT NULL GROUP BY 1"
     ),
+    "stream_ingest_within": _parsed(f"SELECT {TICKET_COLUMNS}, pos FROM ranked WHERE r = 1"),
+    "stream_rejects": _parsed("SELECT pos, error FROM p WHERE error IS NOT NULL"),
+    "finished_ingests": _parsed(f"SELECT {TICKET_COLUMNS}, batch_id FROM ranked WHERE r = 1 AND batch_id < 3"),
+    "stream_closed_windows": _tickets(
+        "SELECT CAST(day AS VARCHAR) AS day, count(*) AS count FROM ("
+        "SELECT CAST(closed_at AS DATE) AS day, part, max(closed_at) FILTER (part < 2) OVER () - INTERVAL 2 DAY AS known, "
+        "max(closed_at) OVER () - INTERVAL 2 DAY AS until FROM (SELECT closed_at, CASE WHEN CAST(hubspot_ticket_id AS BIGINT) % 97 = 0 THEN 2 "
+        "WHEN closed_at < TIMESTAMP '2024-01-15' THEN 0 ELSE 1 END AS part FROM t WHERE closed_at IS NOT NULL)) "
+        "WHERE (part < 2 OR day + INTERVAL 1 DAY > known) AND day + INTERVAL 1 DAY <= until GROUP BY day"
+    ),
     "plan_status_change": _access(
         "SELECT w.email, u.status AS status_from, w.status_to, CASE WHEN applies AND g.username IS NOT NULL THEN g.username END AS username, "
         "CASE WHEN applies AND g.username IS NOT NULL THEN CASE WHEN status_to = 'revoked' THEN 'disable' ELSE 'enable' END END AS account_action, "

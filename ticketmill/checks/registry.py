@@ -3,15 +3,15 @@
 from __future__ import annotations
 
 from collections.abc import Callable
-from datetime import datetime
+from datetime import datetime, timedelta
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ticketmill.checks import fixtures as fx
 from ticketmill.functions import access as fa
 from ticketmill.functions import text as ft
-from ticketmill.operators import expansion, filters, ingest
+from ticketmill.operators import expansion, filters, ingest, numbering
 from ticketmill.plans import access, chat, counts, resolution, roster, volume
 from ticketmill.session import scratch_path, staged
 from ticketmill.sources import batches, documents, sql, tickets
@@ -44,8 +44,7 @@ def _in_order(query: Query) -> Query:
     """Adds each row's ``position`` in the order in which the query returns its rows."""
 
     def ranked(spark: SparkSession, sf_dir: str) -> DataFrame:
-        rows = query(spark, sf_dir).withColumn("_at", F.monotonically_increasing_id())
-        return rows.withColumn("position", F.row_number().over(Window.orderBy("_at")).cast("bigint")).drop("_at")
+        return numbering.numbered(query(spark, sf_dir))
 
     return ranked
 
@@ -229,11 +228,72 @@ def _ingested(report: Callable, *args) -> Query:
     def query(spark, sf_dir):
         base = scratch_path(spark, "ingest")
         ingest.ingest_lines(fx.TICKET_LINES.frame(spark, sf_dir).select("pos", "line"), base, 0)
-        return report(tickets.read_tickets(spark, f"{base}/tickets", d_from=args[0], d_to=args[1]), *args)
+        return report(ingest.read_ingested(spark, base, d_from=args[0], d_to=args[1]), *args)
 
     return query
 
 
+def _finished_ingests(spark, sf_dir):
+    """Three batches ingested, and a fourth that stopped after its tickets: the table shows the three."""
+    base = scratch_path(spark, "ingest")
+    lines = fx.TICKET_LINES.frame(spark, sf_dir)
+    for batch in range(3):
+        ingest.ingest_lines(lines.where(F.col("batch_id") == batch), base, batch)
+    ingest.begin_ingest(spark, base, 3)
+    valid, _ = batches.parse_tickets(lines.where("batch_id = 3").select("pos", "line"))
+    ingest.store_new_tickets(valid, base, 3)
+    return ingest.read_ingested(spark, base).select(*TICKETS.fieldNames(), F.col("ingest_id").alias("batch_id"))
+
+
+def _stream_ingest_within(spark, sf_dir):
+    """The batches as files, one streaming run per batch, with the ids of a day in state."""
+    base = scratch_path(spark, "stream-within")
+    lines = fx.TICKET_LINES.frame(spark, sf_dir)
+    for batch in range(4):
+        lines.where(F.col("batch_id") == batch).select("pos", "line").write.mode("append").json(f"{base}/landing")
+        arriving = stream_ingest.read_line_stream(spark, f"{base}/landing")
+        run = stream_ingest.stream_ingest_within(arriving, f"{base}/store", f"{base}/checkpoint", timedelta(days=1))
+        run.awaitTermination()
+    stored = spark.read.schema(ingest.STORED).parquet(f"{base}/store/tickets")
+    return ingest.finished(stored, f"{base}/store").select(*TICKETS.fieldNames(), "pos")
+
+
+def _stream_rejects(spark, sf_dir):
+    base = scratch_path(spark, "stream-rejects")
+    fx.TICKET_LINES.frame(spark, sf_dir).select("pos", "line").write.json(f"{base}/landing")
+    arriving = stream_ingest.read_line_stream(spark, f"{base}/landing")
+    stream_ingest.stream_rejects(arriving, f"{base}/rejects", f"{base}/checkpoint").awaitTermination()
+    return spark.read.parquet(f"{base}/rejects").select("pos", "error")
+
+
+def _audit_log(spark, sf_dir):
+    """Two plans recorded, the first of them twice."""
+    path = scratch_path(spark, "audit")
+    for plan_id, change in (("plan-1", True), ("plan-2", False), ("plan-1", True)):
+        access.write_audit(access.audit_rows(_sync_plan(spark, sf_dir, change), "root@corp.example"), path, plan_id)
+    return access.read_audit(spark, path).drop("ip").withColumn("groups", F.array_join("groups", ","))
+
+
+def _exported_lines(spark, sf_dir):
+    """All documents written as NDJSON files, and their lines read back in file order."""
+    path = scratch_path(spark, "documents")
+    documents.write_documents(documents.export_documents(fx.TICKETS.frame(spark, sf_dir), SINCE), path)
+    return documents.read_document_lines(spark, path)
+
+
+def _stream_closed_windows(spark, sf_dir):
+    """The tickets in three runs: closed by mid-January, after, and a part of all that comes too late for most days."""
+    base = scratch_path(spark, "stream-windows")
+    part = F.when(F.col("hubspot_ticket_id").cast("bigint") % 97 == 0, 2).when(F.col("closed_at") < F.lit("2024-01-15").cast("timestamp_ntz"), 0).otherwise(1)
+    closed = fx.TICKETS.frame(spark, sf_dir).select("closed_at", part.alias("part"))
+    for run in range(3):
+        closed.where(F.col("part") == run).select("closed_at").write.mode("append").parquet(f"{base}/tickets")
+        arriving = spark.readStream.schema("closed_at TIMESTAMP_NTZ").parquet(f"{base}/tickets")
+        stream_volume.stream_closed_windows(arriving, f"{base}/days", f"{base}/checkpoint", "2 days").awaitTermination()
+    days = stream_volume.read_closed_windows(spark, f"{base}/days")
+    return days.select(F.col("day").cast("string").alias("day"), "count")
+
+
 def _status_plan(spark, sf_dir):
     return access.plan_status_change(
         fx.USERS.frame(spark, sf_dir), _groups(spark, sf_dir), fx.STATUS_REQUESTS.frame(spark, sf_dir)
@@ -266,6 +326,7 @@ QUERIES: dict[str, Query] = {
     "export_documents": _documents(500),
     "export_all_documents": _documents(None),
     "export_recent_documents": _recent_documents,
+    "exported_lines": _exported_lines,
     "run_sql": _run_sql,
     "list_roster": _on(fx.USERS, roster.list_roster),
     # Filters and scalar functions
@@ -344,14 +405,19 @@ QUERIES: dict[str, Query] = {
     "plan_role_sync": _role_sync(change=False),
     "plan_role_change": _role_sync(change=True),
     "audit_rows": _audit_rows,
+    "audit_log": _audit_log,
     "plan_status_change": _status_plan,
     "access_gate": _access_gate,
     "invite_status": _on(fx.USERS, roster.invite_status, NOW),
     # Streaming
     "stream_ingest": _stream_ingest,
     "stream_ingest_counts": _stream_ingest_counts,
+    "stream_ingest_within": _stream_ingest_within,
+    "stream_rejects": _stream_rejects,
     "stream_closed_daily": _stream_closed_daily,
+    "stream_closed_windows": _stream_closed_windows,
     # Reports on the table that an ingest has written, and on stored tickets
+    "finished_ingests": _finished_ingests,
     "ingested_resolution_by_source": _ingested(resolution.resolution_by_source, *ALL),
     "ingested_closed_daily": _ingested(volume.closed_daily, *STANDARD),
     "stored_resolution_by_agent": _on_stored(resolution.resolution_by_agent, *STANDARD),
@@ -364,6 +430,7 @@ ORDERED = (
     "export_documents",
     "export_all_documents",
     "export_recent_documents",
+    "exported_lines",
     "category_counts",
     "category_counts_top",
     "top_categories",

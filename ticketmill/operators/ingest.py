@@ -12,7 +12,7 @@ from pyspark.sql import types as T
 from ticketmill.session import staged
 from ticketmill.sources.batches import parse_ticket_rows, split_ticket_rows
 from ticketmill.sources.schemas import TICKET_KEY, TICKETS
-from ticketmill.sources.tickets import write_tickets
+from ticketmill.sources.tickets import LOADED, read_tickets, write_tickets
 
 
 def known_keys(keys: DataFrame, existing: DataFrame, key: str) -> DataFrame:
@@ -104,6 +104,53 @@ def keys_before(rows: DataFrame, path: str, ingest_id: int) -> DataFrame:
     return stored.where(F.col("key_bucket").isin(buckets) & (F.col("ingest_id") < ingest_id)).select(TICKET_KEY)
 
 
+class UnfinishedIngestError(RuntimeError):
+    """Another ingest has begun and not ended; it must be run again first."""
+
+
+def begin_ingest(spark: SparkSession, base: str, ingest_id: int) -> None:
+    """Note that an ingest begins; raise while another one that has begun has no row in ``counts``.
+
+    An unfinished ingest may have stored tickets whose keys are not stored yet,
+    so a later one could store these keys again. One writer at a time is assumed.
+    """
+    begun = _read_or_empty(spark, f"{base}/begun", "ingest_id BIGINT")
+    unfinished = begun.join(ingest_counts(spark, base).select("ingest_id"), "ingest_id", "left_anti")
+    other = unfinished.where(F.col("ingest_id") != ingest_id).agg(F.min("ingest_id")).first()[0]
+    if other is not None:
+        raise UnfinishedIngestError(f"ingest {other} of {base} is not finished; run it again before ingest {ingest_id}")
+    spark.range(1).select(F.lit(True).alias("begun")).write.mode("overwrite").parquet(f"{base}/begun/ingest_id={ingest_id}")
+
+
+def finished(tickets: DataFrame, base: str) -> DataFrame:
+    """Stored rows (with ``ingest_id``) of finished ingests, and those that no ingest brought.
+
+    A semi join with the small table of finished ingests on a partition column:
+    Spark reads only their folders where it broadcasts that table.
+    """
+    spark = tickets.sparkSession
+    visible = ingest_counts(spark, base).select("ingest_id").unionByName(spark.range(1).select(F.lit(LOADED).cast("bigint").alias("ingest_id")))
+    return tickets.join(visible, "ingest_id", "left_semi")
+
+
+def read_ingested(spark: SparkSession, base: str, tz: str = "UTC", d_from=None, d_to=None) -> DataFrame:
+    """The ticket table of the ingests below ``base``, as ``read_tickets``, without what an unfinished ingest has left."""
+    return finished(read_tickets(spark, f"{base}/tickets", tz, d_from, d_to), base)
+
+
+def store_new_tickets(valid: DataFrame, base: str, ingest_id: int) -> DataFrame:
+    """Store the tickets whose keys no earlier ingest has, and return them as stored; they are not visible yet."""
+    spark = valid.sparkSession
+    fresh = insert_if_absent(valid, keys_before(valid, f"{base}/keys", ingest_id), TICKET_KEY, ["pos"])
+    write_tickets(fresh.select(*TICKETS.fieldNames(), "pos"), f"{base}/tickets", "replace", ingest_id)
+    return _read_or_empty(spark, f"{base}/tickets", STORED).where(F.col("ingest_id") == ingest_id)
+
+
+def finish_ingest(counts: DataFrame, base: str, ingest_id: int) -> None:
+    """Write the ingest's row of ``counts``, which makes its tickets visible."""
+    counts.write.mode("overwrite").parquet(f"{base}/counts/ingest_id={ingest_id}")
+
+
 def ingest_lines(raw: DataFrame, base: str, ingest_id: int, tz: str = "UTC") -> None:
     """Parse one batch (``pos``, ``line``) and store its new tickets, its bad rows and its counts.
 
@@ -113,14 +160,14 @@ def ingest_lines(raw: DataFrame, base: str, ingest_id: int, tz: str = "UTC") ->
     ``ingest_id=N`` and compares with earlier ones only. Running it again
     replaces those folders with the same rows, also after a partial write. The
     keys are written after the tickets and the counts last, so a row in
-    ``counts`` says that an ingest is complete.
+    ``counts`` says that an ingest is complete: ``read_ingested`` shows complete
+    ingests only, and no other ingest begins (``begin_ingest``) until a stopped
+    one has been run again.
     """
-    spark = raw.sparkSession
+    begin_ingest(raw.sparkSession, base, ingest_id)
     rows = staged(parse_ticket_rows(raw.select("pos", "line"), tz), f"{base}/staging")
     valid, rejected = split_ticket_rows(rows)
-    fresh = insert_if_absent(valid, keys_before(valid, f"{base}/keys", ingest_id), TICKET_KEY, ["pos"])
-    write_tickets(fresh.select(*TICKETS.fieldNames(), "pos"), f"{base}/tickets", "replace", ingest_id)
-    stored = _read_or_empty(spark, f"{base}/tickets", STORED).where(F.col("ingest_id") == ingest_id)
+    stored = store_new_tickets(valid, base, ingest_id)
     (
         stored.select(TICKET_KEY, _key_bucket(), "ingest_id")
         .repartition("key_bucket")
@@ -135,7 +182,7 @@ def ingest_lines(raw: DataFrame, base: str, ingest_id: int, tz: str = "UTC") ->
     inserted = F.lit(stored.count())
     duplicate = F.col("total_processed") - F.col("skipped") - inserted
     counts = seen.select(inserted.alias("inserted"), "skipped", duplicate.alias("duplicate"), "total_processed")
-    counts.write.mode("overwrite").parquet(f"{base}/counts/ingest_id={ingest_id}")
+    finish_ingest(counts, base, ingest_id)
 
 
 def ingest_counts(spark: SparkSession, base: str) -> DataFrame:

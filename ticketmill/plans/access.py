@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ticketmill.functions.access import AGENT, ROLES, STATUSES, SUPERVISOR, email_in_domain, is_email, normalize_email, other_role
@@ -249,5 +250,19 @@ def audit_rows(plan: DataFrame, admin: str) -> DataFrame:
     )
 
 
-def append_audit(rows: DataFrame, path: str) -> None:
-    rows.write.mode("append").parquet(path)
+AUDIT_LOG = "email STRING, provider_sub STRING, groups ARRAY<STRING>, result STRING, reason STRING, user_agent STRING, ip STRING, plan_id STRING"
+
+
+def write_audit(rows: DataFrame, path: str, plan_id: str) -> None:
+    """Store the audit rows of one plan; storing them again replaces that plan's rows, and those of no other.
+
+    A plan owns the folder ``plan_id=…``, so a retry after a lost driver leaves one copy.
+    """
+    if not re.fullmatch(r"[A-Za-z0-9_.-]+", plan_id) or set(plan_id) == {"."}:
+        raise ValueError(f"a plan id is letters, digits, '_', '-' and '.': {plan_id!r}")
+    rows.write.mode("overwrite").parquet(f"{path}/plan_id={plan_id}")
+
+
+def read_audit(spark: SparkSession, path: str) -> DataFrame:
+    """All stored audit rows with their ``plan_id``."""
+    return spark.read.schema(AUDIT_LOG).parquet(path)

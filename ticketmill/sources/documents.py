@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from datetime import datetime, timedelta
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ticketmill.functions.text import iso_text
@@ -70,3 +70,10 @@ def export_documents(
 def write_documents(documents: DataFrame, path: str, mode: str = "errorifexists") -> None:
     """Write documents as NDJSON files; NULL metadata stays as explicit null."""
     documents.write.mode(mode).option("ignoreNullFields", "false").json(path)
+
+
+def read_document_lines(spark: SparkSession, path: str) -> DataFrame:
+    """The lines of written documents (``line``) in file order: by part number, place of the split, and row."""
+    rows = spark.read.text(path).select("value", "_metadata.file_name", "_metadata.file_block_start")
+    rows = rows.withColumns({"_part": F.regexp_extract("file_name", r"part-(\d+)", 1).cast("int"), "_at": F.monotonically_increasing_id()})
+    return rows.orderBy("_part", "file_block_start", "_at").select(F.col("value").alias("line"))
