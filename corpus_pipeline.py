@@ -6,12 +6,14 @@ four return the columns of documents; the last adds size, source_size, target an
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ticketmill.llm.common import read_table, stored
 from ticketmill.llm.contamination import without_contaminated
-from ticketmill.llm.linededup import dedup_lines
+from ticketmill.llm.linededup import ADDED, dedup_lines
 from ticketmill.llm.mixing import mixed_documents
 from ticketmill.llm.simhash import keep_one
 from ticketmill.llm.toxicity import without_toxic
@@ -23,10 +25,14 @@ def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Lines that match an earlier line go; a text may end empty, and n_chars follows the text."""
-    kept = dedup_lines(docs)
+    """Lines that match an earlier line go; a text may end empty, and n_chars follows the text.
+
+    Columns with names that the operator returns are kept as they are.
+    """
+    own = {x: f"{x}_{uuid.uuid4().hex}" for x in ADDED if x in docs.columns}
+    kept = dedup_lines(docs.withColumnsRenamed(own))
     n_chars = F.when(kept["n_removed"] > 0, F.length("text")).otherwise(F.col("n_chars")).cast(docs.schema["n_chars"].dataType)
-    return kept.withColumn("n_chars", n_chars).select(*docs.columns)
+    return kept.withColumn("n_chars", n_chars).drop(*ADDED).withColumnsRenamed({y: x for x, y in own.items()}).select(*docs.columns)
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
