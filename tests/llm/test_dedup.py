@@ -77,7 +77,21 @@ def test_lines_equal_brute_force(odd, tile, monkeypatch):
 
 def test_lines_pass_other_columns(odd):
     got = linededup.dedup_lines(odd)
-    assert got.columns == ["doc_id", "text", "lang", "source", "n_chars", "bits", "size", "words", "n_lines", "n_removed", "n_links", "first_doc"]
+    assert got.columns == ["doc_id", "text", "lang", "source", "n_chars", "block", "bits", "size", "mark", "words", "n_lines", "n_removed", "n_links", "first_doc"]
+
+
+@pytest.mark.parametrize("pairs", [linededup.PAIRS, 2000, 50])
+def test_many_near_copies_are_verified_in_parts(spark, pairs, monkeypatch):
+    """A group of lines that are all alike but for one word: every two of them are a link."""
+    monkeypatch.setattr(linededup, "PAIRS", pairs)
+    monkeypatch.setattr(linededup, "FLUSH", pairs)
+    monkeypatch.setattr(linededup, "TILE", 64)
+    base = [f"w{i}" for i in range(30)]
+    rows = [(i, " ".join([*base, f"x{i}", f"y{i % 7}"])) for i in range(300)] + [(400 + i, f"line number {i} of others z{i}") for i in range(50)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    got = linededup.line_dedup(docs).select("doc_id", "class_id", "n_links", "n_removed").collect()
+    expected = [(i, 0, 299, int(i > 0)) for i in range(300)] + [(400 + i, 400 + i, 0, 0) for i in range(50)]
+    assert sorted(map(tuple, got)) == expected
 
 
 def test_simhash_equals_brute_force(odd):

@@ -10,19 +10,23 @@ Words that more than TILE sets send, or that are counted more
 than FREQUENT times, are dealt out as pairs of tiles instead. A pair is verified on the whole
 sets, where both meet: each set has ROUTES MinHash values, equal in most near sets, and the first
 that is equal in both names the bucket, so a set travels to few buckets however many partners it
-has (pairs without an equal one meet in a bucket that found them). Pairs travel packed and end in
-their bucket, which returns for each set the number of its links and its earliest partner. A line goes if a line before it, by (doc_id, line number), matches; lines are
+has (pairs without an equal one meet in a bucket that found them). A bucket with very many pairs, as
+those of a large group of near copies, is verified in parts, each with some of the pairs' first sets.
+Pairs travel packed and end in their bucket, which returns for each set the number of its links and its earliest partner. A line goes if a line before it, by (doc_id, line number), matches; lines are
 judged on the input, so a line may go for one that goes itself.
 
 Words are those between blanks, unchanged; lines are cut at line feeds. Results for odd input:
 lines without words stay and match nothing; null texts are empty; repeated rows of a doc_id are
 one place, so neither makes the other go; rows that share a doc_id but not the text, and null
 doc_ids (after all others), are told apart by their text; an empty table gives no rows; other
-columns pass through, but for those with a name that this operator returns.
+columns pass through, but for those with a name that this operator returns; very long lines and
+texts are processed whole. Each pair of different matching lines is a link and is verified, so time
+grows with the square of a group of near copies, and its pairs are stored, some 16 bytes each.
 """
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Iterator
 
 import numpy as np
@@ -34,7 +38,9 @@ from ticketmill.llm import common as c
 
 THRESHOLD = 0.8
 COUNTERS = 1 << 20
-TILE = 2048
+TILE = 1024
+PAIRS = 250_000  # about so many pairs are verified at once
+FLUSH = 500_000
 FREQUENT = 100_000  # entries of words counted more often do not gather by word at all
 LAST = int(np.iinfo(np.int64).max)
 
@@ -44,8 +50,8 @@ LONGEST = (1 << 16) - 1  # sizes and places of words travel in two bytes; lines
 # What travels: kind 0, prefix entries of a bucket or candidate pairs; kind 1, lines; kind 2, entries of a word that
 # many sets send, to be dealt out as tiles. Columns are packed.
 NAMES = ("c0", "c1", "c2", "c3", "c4", "c5", "c6", "c7", "c8")
-PACKED = "kind int, owner int, " + ", ".join(f"{x} binary" for x in NAMES)
-_PACKED = pa.schema([("kind", pa.int32()), ("owner", pa.int32())] + [(x, pa.binary()) for x in NAMES])
+PACKED = "kind int, owner long, " + ", ".join(f"{x} binary" for x in NAMES)
+_PACKED = pa.schema([("kind", pa.int32()), ("owner", pa.int64())] + [(x, pa.binary()) for x in NAMES])
 ROUTES = 3
 # word, set, size, place, two words of parity bits, routes
 ENTRY = (np.uint64, np.uint64, np.uint16, np.uint16, np.uint64, np.uint64, *[np.uint16] * ROUTES)
@@ -209,7 +215,7 @@ def _pairs_of(columns: list[np.ndarray], threshold: float, owner: int, n_buckets
     group, keys, sizes, places, even, odd, *routes = (x[order] for x in columns)
     sizes, places, routes = sizes.astype(np.int64), places.astype(np.int64), [x.astype(np.int64) for x in routes]
     ends = np.repeat(*_run_ends(group))
-    rows, step, found = np.arange(len(group)), 0, []
+    rows, step, found, held = np.arange(len(group)), 0, [], 0
     while len(rows):
         step += 1
         rows = rows[rows + step < ends[rows]]
@@ -227,6 +233,9 @@ def _pairs_of(columns: list[np.ndarray], threshold: float, owner: int, n_buckets
         for route in reversed(routes):
             meet = np.where(route[x] == route[y], route[x] % n_buckets, meet)
         found.append((np.minimum(keys[x], keys[y]), np.maximum(keys[x], keys[y]), meet.astype(np.int32)))
+        held += len(x)
+        if held > FLUSH:  # a pair that two words find need not meet itself here: _distinct_pairs takes it once
+            found, held = [tuple(_once([np.concatenate(x) for x in zip(*found, strict=True)]))], 0
     if not found:
         return [np.zeros(0, np.uint64), np.zeros(0, np.uint64), np.zeros(0, np.int32)]
     return _once([np.concatenate(x) for x in zip(*found, strict=True)])
@@ -280,12 +289,26 @@ def _tile_pairs(threshold: float, n_buckets: int):
     return f
 
 
-def _distinct_pairs(table: pa.Table) -> pa.Table:
-    """Each pair once, packed for the bucket that verifies it (of several the first)."""
-    a, b, meet = _of_kind(table, 0, (np.uint64, np.uint64, np.int32))
-    order = np.argsort(meet, kind="stable")
-    a, b, meet = _once([a[order], b[order], meet[order]])
-    return pa.Table.from_pylist(_rows(0, meet, a, b), schema=_PACKED)
+def _distinct_pairs(n_buckets: int):
+    """Each pair once, packed for the bucket that verifies it (of several the first), or for a part of it.
+
+    Each owner sees its share of every bucket's pairs. Where that share says that a bucket has over PAIRS
+    of them, they are dealt out to parts of the bucket, so no task verifies all pairs of a group of near copies.
+    """
+
+    def f(table: pa.Table) -> pa.Table:
+        own = table.column("owner")[0].as_py()
+        a, b, meet = _of_kind(table, 0, (np.uint64, np.uint64, np.int32))
+        order = np.argsort(meet, kind="stable")
+        a, b, meet = _once([a[order], b[order], meet[order]])
+        meet = meet.astype(np.int64)
+        share = np.bincount(meet)[meet] if len(meet) else meet
+        parts = 1 << np.ceil(np.log2(np.maximum(1, share * n_buckets / PAIRS))).astype(np.int64)
+        # parts is a power of two, so parts + part names both
+        meet = np.where(parts > 1, meet + 2 * n_buckets * (parts + own % parts), meet)
+        return pa.Table.from_pylist(_rows(0, meet, a, b), schema=_PACKED)
+
+    return f
 
 
 def _keys_of_pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -293,7 +316,7 @@ def _keys_of_pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch
     for batch in batches:
         for i in range(batch.num_rows):
             keys = np.unique(np.frombuffer(batch.column(1)[i].as_py() + batch.column(2)[i].as_py(), np.int64))
-            owner = np.full(len(keys), batch.column(0)[i].as_py(), np.int32)
+            owner = np.full(len(keys), batch.column(0)[i].as_py(), np.int64)
             yield pa.RecordBatch.from_arrays([pa.array(owner), pa.array(keys)], names=["owner", "key"])
 
 
@@ -307,12 +330,12 @@ def candidate_pairs(found: DataFrame, n_buckets: int, threshold: float = THRESHO
     hot = hot.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("tiles") - 1)))
     hot = hot.withColumns({"i": F.least("own", "other"), "j": F.greatest("own", "other")})
     tiles = hot.groupBy("word", "i", "j").applyInArrow(_tile_pairs(threshold, n_buckets), PACKED)
-    return found.filter("kind = 0").unionByName(tiles).groupBy("owner").applyInArrow(_distinct_pairs, PACKED).select("owner", "c0", "c1")
+    return found.filter("kind = 0").unionByName(tiles).groupBy("owner").applyInArrow(_distinct_pairs(n_buckets), PACKED).select("owner", "c0", "c1")
 
 
-SETS = "owner int, key long, doc_id long, mark long, line int, words binary"
+SETS = "owner long, key long, doc_id long, mark long, line int, words binary"
 _SETS = pa.schema(
-    [("owner", pa.int32()), ("key", pa.int64()), ("doc_id", pa.int64()), ("mark", pa.int64()), ("line", pa.int32()), ("words", pa.binary())]
+    [("owner", pa.int64()), ("key", pa.int64()), ("doc_id", pa.int64()), ("mark", pa.int64()), ("line", pa.int32()), ("words", pa.binary())]
 )
 
 
@@ -419,7 +442,9 @@ def dedup_lines(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     """The documents with text less the lines that go, and n_lines (with words), n_removed, n_links
     (different sets that the document's lines match) and first_doc (the smallest doc_id with a line
     that matches one of them; its own if none)."""
-    columns = [x for x in docs.columns if x not in (*ADDED, "mark", "block")]
+    own = {x: f"{x}_{uuid.uuid4().hex}" for x in docs.columns if x in ("mark", "block")}
+    docs = docs.withColumnsRenamed(own)
+    columns = [x for x in docs.columns if x not in ADDED]
     n = c.block_count(docs)
     docs = docs.select(*columns).withColumns({"doc_id": F.col("doc_id").cast("long"), "text": F.col("text").cast("string")})
     mark = F.xxhash64("text").alias("mark")
@@ -436,7 +461,7 @@ def dedup_lines(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     base = docs.select(*columns, mark, block).repartition(n, "block")
     # null ids were counted as the largest; their blocks are those of null
     block_of = F.pmod(F.xxhash64(F.nullif(F.col("doc_id"), F.lit(LAST))), F.lit(n)).cast("int").alias("block")
-    asked = pairs.mapInArrow(_keys_of_pairs, "owner int, key long").distinct().join(firsts, "key")
+    asked = pairs.mapInArrow(_keys_of_pairs, "owner long, key long").distinct().join(firsts, "key")
     asked = asked.select("owner", "key", "first.*").select("owner", "key", "doc_id", "mark", "line", block_of)
     sets = c.by_block_with(base, asked, _wanted_sets, SETS)
     c.release(docs.sparkSession)
@@ -455,8 +480,8 @@ def dedup_lines(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     )
     gone = gone.select("doc_id", "mark", "lines", "n_links", "first_doc", block_of)
     c.release(docs.sparkSession)
-    schema = ", ".join([f"`{x}` {t}" for x, t in docs.dtypes] + [f"{x} long" for x in ADDED])
-    return c.by_block_with(base, gone, _kept(columns), schema)
+    schema = ", ".join([f"`{x}` {t}" for x, t in docs.select(*columns).dtypes] + [f"{x} long" for x in ADDED])
+    return c.by_block_with(base, gone, _kept(columns), schema).withColumnsRenamed({y: x for x, y in own.items()})
 
 
 def line_dedup(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
