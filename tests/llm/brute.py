@@ -132,8 +132,16 @@ def shingles(text, size=5):
 
 
 def contained(text, items, least=0.8):
-    own = shingles(text)
-    return sorted(i for i, t in items if (s := shingles(t)) and len(s & own) >= least * len(s))
+    own, w = shingles(text), re.findall(r"[0-9a-z\x80-\U0010ffff]+", lowered(text))
+    out = []
+    for i, t in items:
+        s, v = shingles(t), re.findall(r"[0-9a-z\x80-\U0010ffff]+", lowered(t))
+        if 0 < len(v) < 5:
+            if any(w[j : j + len(v)] == v for j in range(len(w))):
+                out.append(i)
+        elif s and len(s & own) >= least * len(s):
+            out.append(i)
+    return sorted(out)
 
 
 def base_phrases(text):

@@ -45,6 +45,16 @@ def test_short_items_in_long_texts_are_found(spark):
     assert got == 200
 
 
+def test_items_under_five_words_are_found_inside_texts(spark):
+    words = [f"w{i}" for i in range(3000)]
+    docs = [(1, " ".join([*words[:2000], "Capital of  France: PARIS", *words[2000:]])), (2, "capital of France"), (3, "of France"), (4, "France Paris of capital"), (5, None)]
+    items = [(1, "capital of France Paris"), (2, "capital of France"), (3, "Of france"), (4, "paris"), (5, "paris"), (6, ""), (7, "Paris of France")]
+    docs, items = spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")
+    got = {r.doc_id: r["items"] for r in contamination.decontaminate(docs, items).collect()}
+    assert got == {1: [1, 2, 3, 4, 5], 2: [2, 3], 3: [3], 4: [4, 5], 5: []}
+    assert [r.doc_id for r in contamination.without_contaminated(docs, items).collect()] == [5]
+
+
 def test_empty_decontamination(odd, nothing, items):
     assert contamination.decontaminate(nothing, items).collect() == []
     assert contamination.decontaminate(odd, items.limit(0)).filter("contaminated").collect() == []

@@ -14,7 +14,9 @@ items and SLICE_BYTES bytes of text, however many there are, and each slice goes
 the function. Documents are not shuffled; only matches are.
 
 Words are runs of letters and digits, lower-cased; a shingle is `size` words, or all words of a
-shorter text. Results for odd input: null, empty and wordless documents match nothing, and such
+shorter text. An item of k words, fewer than `size`, has one shingle, so it is contained where its
+words stand in a row: it is looked up among the documents' sequences of k words instead, without
+MinHash, for the lengths k that occur. Very long documents are searched whole. Results for odd input: null, empty and wordless documents match nothing, and such
 items match nothing; repeated rows of a doc_id share their union of items; a null doc_id is kept,
 as one row; an empty benchmark matches nothing; extra columns are ignored.
 """
@@ -44,11 +46,16 @@ WORD = np.zeros(256, bool)
 WORD[48:58] = WORD[65:91] = WORD[97:123] = WORD[128:] = True
 
 
-def shingles(data: np.ndarray, offsets: np.ndarray, size: int = SIZE) -> tuple[np.ndarray, np.ndarray]:
-    """Hashes of the shingles of texts lying end to end, and len+1 offsets into them."""
+def word_units(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes of the words of texts lying end to end, and the number of each word's text."""
     clean = np.where(WORD[data], c.LOWER[data], np.uint8(32))
     starts, _, text = c.words(clean, offsets)
-    units = c.word_hashes(clean, starts)
+    return c.word_hashes(clean, starts), text
+
+
+def shingles(data: np.ndarray, offsets: np.ndarray, size: int = SIZE) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes of the shingles of texts lying end to end, and len+1 offsets into them."""
+    units, text = word_units(data, offsets)
     n = len(offsets) - 1
     counts = np.bincount(text, minlength=n) if n else np.zeros(0, np.int64)
     short = (counts > 0) & (counts < size)
@@ -77,11 +84,17 @@ class Items:
         hashes, at = shingles(data, offsets, size)
         self.size = size
         self.ids, self.sets = [], []
+        counts = np.bincount(word_units(data, offsets)[1], minlength=len(ids))
+        short: dict[int, list[tuple[int, int]]] = {}
         for i, item in enumerate(ids):
             own = np.unique(hashes[at[i] : at[i + 1]])
-            if len(own):
+            if 0 < counts[i] < size:
+                short.setdefault(int(counts[i]), []).append((int(own[0]), item))
+            elif len(own):
                 self.ids.append(item)
                 self.sets.append(own)
+        # items of k words: their keys in order, and their ids
+        self.short = {k: (np.array([x for x, _ in sorted(own)], np.uint64), [i for _, i in sorted(own)]) for k, own in short.items()}
         self.partitions = {}
         seeds = _seeds()
         for number, own in enumerate(self.sets):
@@ -118,6 +131,16 @@ class Items:
                     found.update((int(text[b]), int(x)) for x in owners[lo[b] : hi[b]])
         return found
 
+    def short_matches(self, units: np.ndarray, text: np.ndarray) -> set[tuple[int, int]]:
+        """(text, item_id) of short items whose words stand in a row in a text."""
+        found: set[tuple[int, int]] = set()
+        for k, (keys, ids) in self.short.items():
+            grams = c.gram_hashes(units, k)
+            at = np.flatnonzero((text[: len(grams)] == text[k - 1 :]) & c.is_member(grams, keys)) if len(grams) else np.zeros(0, np.int64)
+            lo, hi = np.searchsorted(keys, grams[at]), np.searchsorted(keys, grams[at], side="right")
+            for t, s, e in set(zip(text[at].tolist(), lo.tolist(), hi.tolist(), strict=True)):
+                found.update((t, i) for i in ids[s:e])
+        return found
 
     def matches(self, texts: pa.Array, containment: float) -> Iterator[tuple[int, int, float]]:
         """(text, item_id, containment) of the candidates that an exact count confirms."""
@@ -129,6 +152,9 @@ class Items:
                 share = float(np.isin(own, hashes[bounds[text] : bounds[text + 1]]).mean())
                 if share >= containment:
                     yield first + text, self.ids[item], share
+            if self.short:
+                for text, item_id in sorted(self.short_matches(*word_units(part, at)), key=str):
+                    yield first + text, item_id, 1.0
 
 
 def _matches(items: Items, containment: float):
