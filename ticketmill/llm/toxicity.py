@@ -302,7 +302,7 @@ def learn(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Model:
         .limit(sample)
     )
     # at most `sample` rows of two numbers, so the size of what is broadcast is known
-    train = c.stored(c.texts_of(docs).join(F.broadcast(c.stored(chosen)), "doc_id").select("text", "toxic").na.fill("", ["text"]).dropDuplicates(["text"]))
+    train = c.stored(c.texts_of(docs).join(F.broadcast(c.stored(chosen)), "doc_id").select("text", "toxic").na.fill("", ["text"]).groupBy("text").agg(F.max("toxic").alias("toxic")))
     words, stems = choose_terms(_terms(train))
     if not words and not stems:
         return Model()
