@@ -148,6 +148,36 @@ def test_license_labels(text, labels):
     assert licenses.scan(text.encode())[5] == labels
 
 
+@pytest.mark.parametrize(
+    ("text", "labels"),
+    [
+        ("GNU Lesser General Public License, version 2.1", "gpl,lgpl-2.1"),
+        ("GNU Affero General Public License v3", "agpl-3.0,gpl"),
+        ("GNU Library General Public License version 2", "gpl,lgpl-2.0"),
+        ("GNU Lesser General Public License v3", "gpl,lgpl-3.0"),
+        ("GNU General Public License v3 and, for parts, the GNU Lesser General Public License v3", "gpl,gpl-3.0,lgpl-3.0"),
+        ("Licensed under GPLv3 or later", "gpl-3.0"),
+        ("LGPLv2.1", "lgpl-2.1"),
+        ("AGPLv3", "agpl-3.0"),
+        ("MPLv2", "mpl-2.0"),
+        ("an MIT-licensed library", "mit"),
+        (
+            "This program is free software; you can redistribute it and/or modify it under the terms of the GNU General Public License as "
+            "published by the Free Software Foundation; either version 2 of the License, or (at your option) any later version.",
+            "gpl,gpl-2.0",
+        ),
+        (
+            "under the terms of the GNU Lesser General Public\nLicense as published by the Free Software Foundation; either\n"
+            "version 2.1 of the License, or (at your option) any later version.",
+            "gpl,lgpl-2.1",
+        ),
+        ("the general manager of a public house commits to nothing", ""),
+    ],
+)
+def test_license_texts_written_by_hand(text, labels):
+    assert licenses.scan(text.encode())[5] == labels
+
+
 def test_contained_detections_are_suppressed():
     rules = [r.label for _, _, r in licenses.detections(" the new bsd license and a bsd license ", {"bsd"})]
     assert rules == ["bsd-3-clause", "bsd"]

@@ -3,9 +3,10 @@
 A text is read as its words (letters, digits and characters beyond ASCII, A-Z lower-cased) joined
 by single spaces, so punctuation and line breaks do not matter. Each rule is a regular expression
 over that form with a label, a priority and keywords, of which every match holds one as a whole
-word; it runs only on texts that hold one of them. Rules of a higher priority come first, in order. A detection that lies within an accepted
-detection is suppressed (interval containment): "bsd 3 clause license" is not also "bsd license".
-The three base phrases are rules that are never suppressed.
+word; it runs only on texts that hold one of them. Detections of a higher priority come first, of equal
+priority the longer ones. A detection that lies within an accepted detection is suppressed (interval
+containment): "bsd 3 clause license" is not also "bsd license", and the name of the lesser general
+public license is not also that of the general one. The three base phrases are rules that are never suppressed.
 
 The rules are written per family of licenses below; each family's name, forms and identifiers give
 several rules: its identifier tag, "licensed under", a grant or header sentence, its title, its
@@ -135,6 +136,29 @@ SENTENCES = (
     ("cc", "commons", rf"creative commons(?: {LICENSE})?", 12, 0.5),
     ("gfdl", "documentation", rf"free documentation {LICENSE}", 15, 0.6),
     ("artistic", "artistic", rf"artistic {LICENSE}", 15, 0.6),
+    # the standard notices name the version after the license
+    ("gpl-2.0", "general", rf"gnu general public {LICENSE} as published by the free software foundation either version 2 of the {LICENSE}", 65, 1.0),
+    ("gpl-3.0", "general", rf"gnu general public {LICENSE} as published by the free software foundation either version 3 of the {LICENSE}", 65, 1.0),
+    ("gpl-2.0", "general", rf"gnu general public {LICENSE} as published by the free software foundation version 2", 64, 1.0),
+    ("gpl-3.0", "general", rf"gnu general public {LICENSE} as published by the free software foundation version 3", 64, 1.0),
+    ("lgpl-2.1", "general", rf"gnu lesser general public {LICENSE} as published by the free software foundation either version 2 1 of the {LICENSE}", 65, 1.0),
+    ("lgpl-3.0", "general", rf"gnu lesser general public {LICENSE} as published by the free software foundation either version 3 of the {LICENSE}", 65, 1.0),
+    ("lgpl-2.0", "general", rf"gnu library general public {LICENSE} as published by the free software foundation either version 2 of the {LICENSE}", 65, 1.0),
+    ("agpl-3.0", "general", rf"gnu affero general public {LICENSE} as published by the free software foundation either version 3 of the {LICENSE}", 65, 1.0),
+    # versions written into the name's word
+    ("gpl-2.0", "gplv2", r"gplv2(?: 0)?(?: only| or later)?", 45, 0.8),
+    ("gpl-3.0", "gplv3", r"gplv3(?: 0)?(?: only| or later)?", 45, 0.8),
+    ("lgpl-2.1", "lgplv2", r"lgplv2 1(?: only| or later)?", 46, 0.8),
+    ("lgpl-2.0", "lgplv2", r"lgplv2(?: 0)?(?: only| or later)?", 45, 0.8),
+    ("lgpl-3.0", "lgplv3", r"lgplv3(?: 0)?(?: only| or later)?", 45, 0.8),
+    ("agpl-3.0", "agplv3", r"agplv3(?: 0)?(?: only| or later)?", 45, 0.8),
+    ("mpl-1.1", "mplv1", r"mplv1 1", 45, 0.8),
+    ("mpl-2.0", "mplv2", r"mplv2(?: 0)?", 45, 0.8),
+    ("apache-2.0", "apachev2 apache2", r"apache(?:v2|2)(?: 0)?", 45, 0.8),
+    ("mit", "licensed licenced", r"mit licen[cs]ed", 45, 0.8),
+    ("bsd", "licensed licenced", r"bsd licen[cs]ed", 15, 0.6),
+    ("apache", "licensed licenced", r"apache licen[cs]ed", 15, 0.6),
+    ("gpl", "licensed licenced", r"gpl licen[cs]ed", 15, 0.6),
 )
 
 RESULT = "doc_id long, n_words long, n_base long, first_word long, last_word long, base_labels string, labels string, score double, n_detections long"
@@ -190,6 +214,7 @@ def detections(joined: str, present: frozenset | set) -> list[tuple[int, int, Ru
     """Accepted detections: (start, end, rule) in the form of words joined by spaces, best rules first."""
     rules = [RULES[n] for n in sorted({n for k in present for n in GATED[k]})]
     found = [(m.start(), m.end(), rule) for rule in rules for m in rule.pattern.finditer(joined)]
+    found.sort(key=lambda d: (-d[2].priority, d[0] - d[1]))  # equal ones stay in the order of the rules
     starts = sorted({s for s, _, _ in found})
     # furthest[i]: the furthest end of some accepted detections that start at or before starts[i - 1], as a Fenwick tree
     furthest, accepted = [0] * (len(starts) + 1), []
