@@ -609,7 +609,19 @@ ORACLES: dict[str, str] = {
     "ingested_closed_daily": _ingested(_daily(STANDARD)),
     "stored_resolution_by_agent": _mean_by(AGENT_NAME, "agent", "total_closed", STANDARD),
     "stored_top_categories": _counts(STANDARD, limit="LIMIT 10", category=CATEGORY),
+    "ingested_partial_resolution": _ingested(_mean_by(SOURCE, "source", "tickets", ALL)),
+    "ingests_after_merges": _parsed(f"SELECT {TICKET_COLUMNS}, batch_id FROM ranked WHERE r = 1"),
+    "partial_top_categories": _counts(STANDARD, limit="LIMIT 10", category=CATEGORY),
+    "partial_tickets_by_source": _by_source(WIDE, fx.WIDE_TICKETS),
+    "partial_top_agents": _counts(WIDE, fx.WIDE_TICKETS, "LIMIT 10", agent=AGENT),
+    "partial_closed_total": _total(STANDARD),
+    "partial_closed_daily": _daily(DAYS),
+    "partial_closed_monthly": _monthly(MONTHS),
+    "partial_resolution_by_agent": _mean_by(AGENT_NAME, "agent", "total_closed", STANDARD),
+    "partial_resolution_by_source": _mean_by(SOURCE, "source", "tickets", STANDARD),
+    "partial_resolution_overall": _overall(WIDE, fx.WIDE_TICKETS),
 }
+ORACLES["partial_top_subcategories"] = ORACLES["top_subcategories"]
 
 _BY_COUNT = "count DESC, "
 # The order of each report as SQL; a query that returned its rows in another one would not match.
@@ -629,5 +641,13 @@ ORDERS = {
     "resolution_by_source": "avg_hours_business, tickets DESC, source",
     "resolution_by_source_desc": "avg_hours_business DESC, tickets DESC, source",
     "slow_cases": "hours_business_resolution DESC, closed_at DESC, hubspot_ticket_id",
+    "partial_top_categories": _BY_COUNT + "category",
+    "partial_tickets_by_source": _BY_COUNT + "source",
+    "partial_top_agents": _BY_COUNT + "agent",
+    "partial_top_subcategories": _BY_COUNT + "category, subcategory",
+    "partial_closed_daily": "date",
+    "partial_closed_monthly": "month",
+    "partial_resolution_by_agent": "avg_hours_business, total_closed DESC, agent",
+    "partial_resolution_by_source": "avg_hours_business DESC, tickets DESC, source",
 }
 ORACLES |= {name: f"SELECT *, row_number() OVER (ORDER BY {order}) AS position FROM ({ORACLES[name]})" for name, order in ORDERS.items()}

@@ -12,7 +12,8 @@ from ticketmill.checks import fixtures as fx
 from ticketmill.functions import access as fa
 from ticketmill.functions import text as ft
 from ticketmill.operators import expansion, filters, ingest, numbering
-from ticketmill.plans import access, chat, counts, resolution, roster, volume
+from ticketmill.operators import partials as stored_partials
+from ticketmill.plans import access, chat, counts, partials, resolution, roster, volume
 from ticketmill.session import scratch_path, staged
 from ticketmill.sources import batches, documents, sql, tickets
 from ticketmill.sources.schemas import TICKETS
@@ -233,6 +234,45 @@ def _ingested(report: Callable, *args) -> Query:
     return query
 
 
+def _ingested_partials(report: Callable, *args) -> Query:
+    """A query that ingests all lines as one batch and runs a report on the partials that it wrote."""
+
+    def query(spark, sf_dir):
+        base = scratch_path(spark, "ingest")
+        ingest.ingest_lines(fx.TICKET_LINES.frame(spark, sf_dir).select("pos", "line"), base, 0)
+        return report(ingest.read_ingested_partials(spark, base), *args)
+
+    return query
+
+
+def _on_partials(fixture: fx.Fixture, report: Callable, *args, **kwargs) -> Query:
+    """A query that stores the partials of the tickets in three parts and runs a report on them."""
+
+    def query(spark, sf_dir):
+        path = scratch_path(spark, "partials")
+        given = fixture.frame(spark, sf_dir)
+        for part in range(3):
+            stored_partials.write_partials(given.where(F.pmod(F.xxhash64("hubspot_ticket_id"), F.lit(3)) == part), path, part)
+        return report(stored_partials.read_partials(spark, path), *args, **kwargs)
+
+    return query
+
+
+def _partial_monthly(spark, sf_dir):
+    report = _on_partials(fx.TICKETS, partials.closed_monthly, *MONTHS)(spark, sf_dir)
+    return report.select(F.col("month").cast("string").alias("month"), "date", "count")
+
+
+def _ingests_after_merges(spark, sf_dir):
+    """Four ingests whose key files are merged two by two in between."""
+    base = scratch_path(spark, "ingest")
+    lines = fx.TICKET_LINES.frame(spark, sf_dir)
+    for batch in range(4):
+        ingest.ingest_lines(lines.where(F.col("batch_id") == batch), base, batch, fan=2)
+        ingest.merge_keys(spark, base, fan=2)
+    return ingest.read_ingested(spark, base).select(*TICKETS.fieldNames(), F.col("ingest_id").alias("batch_id"))
+
+
 def _finished_ingests(spark, sf_dir):
     """Three batches ingested, and a fourth that stopped after its tickets: the table shows the three."""
     base = scratch_path(spark, "ingest")
@@ -420,8 +460,21 @@ QUERIES: dict[str, Query] = {
     "finished_ingests": _finished_ingests,
     "ingested_resolution_by_source": _ingested(resolution.resolution_by_source, *ALL),
     "ingested_closed_daily": _ingested(volume.closed_daily, *STANDARD),
+    "ingested_partial_resolution": _ingested_partials(partials.resolution_by_source, *ALL),
+    "ingests_after_merges": _ingests_after_merges,
     "stored_resolution_by_agent": _on_stored(resolution.resolution_by_agent, *STANDARD),
     "stored_top_categories": _on_stored(counts.top_categories, *STANDARD),
+    # Reports from daily partials
+    "partial_top_categories": _on_partials(fx.TICKETS, partials.top_categories, *STANDARD),
+    "partial_tickets_by_source": _on_partials(fx.WIDE_TICKETS, partials.tickets_by_source, *WIDE),
+    "partial_top_agents": _on_partials(fx.WIDE_TICKETS, partials.top_agents, *WIDE),
+    "partial_top_subcategories": _on_partials(fx.TICKETS, partials.top_subcategories, *STANDARD),
+    "partial_closed_total": _on_partials(fx.TICKETS, partials.closed_total, *STANDARD),
+    "partial_closed_daily": _on_partials(fx.TICKETS, partials.closed_daily, *DAYS),
+    "partial_closed_monthly": _partial_monthly,
+    "partial_resolution_by_agent": _on_partials(fx.TICKETS, partials.resolution_by_agent, *STANDARD),
+    "partial_resolution_by_source": _on_partials(fx.TICKETS, partials.resolution_by_source, *STANDARD, order="desc"),
+    "partial_resolution_overall": _on_partials(fx.WIDE_TICKETS, partials.resolution_overall, *WIDE),
 }
 
 # Reports whose order is part of the result.
@@ -445,5 +498,13 @@ ORDERED = (
     "resolution_by_source",
     "resolution_by_source_desc",
     "slow_cases",
+    "partial_top_categories",
+    "partial_tickets_by_source",
+    "partial_top_agents",
+    "partial_top_subcategories",
+    "partial_closed_daily",
+    "partial_closed_monthly",
+    "partial_resolution_by_agent",
+    "partial_resolution_by_source",
 )
 QUERIES |= {name: _in_order(QUERIES[name]) for name in ORDERED}

@@ -27,7 +27,7 @@ def _count_by(tickets: DataFrame, **labels: Column) -> DataFrame:
     return tickets.select(*[c.alias(name) for name, c in labels.items()]).groupBy(*labels).agg(F.count("*").alias("count"))
 
 
-def _most_frequent_first(counts: DataFrame, top: int | None) -> DataFrame:
+def most_frequent_first(counts: DataFrame, top: int | None) -> DataFrame:
     """Largest count first, ties by label; with ``top`` a top-k, not a full sort."""
     labels = [F.col(c).asc() for c in counts.columns if c != "count"]
     ordered = counts.orderBy(F.col("count").desc(), *labels)
@@ -46,29 +46,29 @@ def total_tickets(tickets: DataFrame) -> DataFrame:
 def category_counts(tickets: DataFrame, top: int | None = None) -> DataFrame:
     """Tickets per stored category, blank ones included, missing ones left out."""
     present = tickets.where(F.col("category").isNotNull())
-    return _most_frequent_first(_count_by(present, category=F.col("category")), top)
+    return most_frequent_first(_count_by(present, category=F.col("category")), top)
 
 
 def top_categories(tickets: DataFrame, d_from, d_to, top: int = DEFAULT_TOP) -> DataFrame:
     in_range = closed_between(tickets, d_from, d_to)
-    return _most_frequent_first(_count_by(in_range, category=category_label()), check_limit(top))
+    return most_frequent_first(_count_by(in_range, category=category_label()), check_limit(top))
 
 
 def tickets_by_source(tickets: DataFrame, d_from, d_to) -> DataFrame:
     """Tickets per source with their share of the total in percent."""
     counts = _count_by(closed_between(tickets, d_from, d_to), source=source_label())
     total = counts.agg(F.sum("count")).scalar()
-    return _most_frequent_first(counts, None).withColumn("pct", percent_share(F.col("count"), total))
+    return most_frequent_first(counts, None).withColumn("pct", percent_share(F.col("count"), total))
 
 
 def top_agents(tickets: DataFrame, d_from, d_to, top: int = DEFAULT_TOP) -> DataFrame:
     in_range = closed_between(tickets, d_from, d_to)
-    return _most_frequent_first(_count_by(in_range, agent=agent_label()), check_limit(top))
+    return most_frequent_first(_count_by(in_range, agent=agent_label()), check_limit(top))
 
 
 def top_subcategories(tickets: DataFrame, d_from, d_to, top: int | None = None) -> DataFrame:
     """Pairs of category and subcategory; no limit for ``None``, zero or a negative ``top``."""
     in_range = closed_between(tickets, d_from, d_to)
     counts = _count_by(in_range, category=category_label(), subcategory=subcategory_label())
-    ordered = _most_frequent_first(counts, top if top and top > 0 else None)
+    ordered = most_frequent_first(counts, top if top and top > 0 else None)
     return ordered.withColumn("label", pair_label(F.col("category"), F.col("subcategory")))

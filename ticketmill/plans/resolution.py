@@ -16,7 +16,7 @@ from ticketmill.operators.filters import check_limit, closed_between
 from ticketmill.sources.schemas import TICKET_KEY
 
 
-def _mean_hours(seconds: Column, tickets: Column) -> Column:
+def mean_hours(seconds: Column, tickets: Column) -> Column:
     """Mean hours to two decimals, halves up, from total seconds and a ticket count."""
     return whole_div(2 * seconds + 36 * tickets, 72 * tickets) / F.lit(100.0)
 
@@ -33,7 +33,7 @@ def _mean_by(timed: DataFrame, name: str, label: Column, tickets: str) -> DataFr
         timed.select(label.alias(name), "business_seconds")
         .groupBy(name)
         .agg(F.count("*").alias(tickets), F.sum("business_seconds").alias("seconds"))
-        .select(name, tickets, _mean_hours(F.col("seconds"), F.col(tickets)).alias("avg_hours_business"))
+        .select(name, tickets, mean_hours(F.col("seconds"), F.col(tickets)).alias("avg_hours_business"))
     )
 
 
@@ -51,7 +51,7 @@ def resolution_overall(tickets: DataFrame, d_from, d_to, hours: WorkingHours = S
     totals = business_time(tickets, d_from, d_to, hours).agg(
         F.count("*").alias("total_closed"), F.sum("business_seconds").alias("seconds")
     )
-    mean = F.coalesce(_mean_hours(F.col("seconds"), F.col("total_closed")), F.lit(0.0))
+    mean = F.coalesce(mean_hours(F.col("seconds"), F.col("total_closed")), F.lit(0.0))
     return totals.select(mean.alias("avg_hours_business"), "total_closed")
 
 
@@ -67,7 +67,7 @@ def resolution_by_source(
 
 def slow_cases(tickets: DataFrame, d_from, d_to, top: int = 10, hours: WorkingHours = STANDARD_HOURS) -> DataFrame:
     """The tickets with the most business hours; ties by closing time, newest first, then by id."""
-    rounded = _mean_hours(F.col("business_seconds"), F.lit(1).cast("bigint"))
+    rounded = mean_hours(F.col("business_seconds"), F.lit(1).cast("bigint"))
     slowest = [F.desc("hours_business_resolution"), F.desc("closed_at"), F.asc(TICKET_KEY)]
     return (
         business_time(tickets, d_from, d_to, hours)

@@ -17,6 +17,7 @@ from pyspark.sql.streaming import StreamingQuery
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from ticketmill.operators.ingest import begin_ingest, finish_ingest, ingest_lines
+from ticketmill.operators.partials import write_partials
 from ticketmill.session import staged
 from ticketmill.sources.batches import parse_ticket_rows, split_ticket_rows
 from ticketmill.sources.schemas import TICKET_KEY, TICKET_LINES, TICKETS
@@ -98,6 +99,7 @@ def stream_ingest_within(lines: DataFrame, base: str, checkpoint: str, within: t
         begin_ingest(batch.sparkSession, base, batch_id)
         valid, _ = split_ticket_rows(parse_ticket_rows(rows, tz))
         write_tickets(valid.select(*TICKETS.fieldNames(), "pos"), f"{base}/tickets", "replace", batch_id)
+        write_partials(valid, f"{base}/partials", batch_id)
         counts = rows.agg(F.count("*").alias("inserted"))
         finish_ingest(counts, base, batch_id)
 
