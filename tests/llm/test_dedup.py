@@ -35,15 +35,30 @@ def test_levels_double():
     assert substring.levels(5) == [5]
 
 
-@pytest.mark.parametrize("frequent", [suffix.FREQUENT, 1, 2])
-def test_suffix_equals_brute_force(odd, frequent, monkeypatch):
+@pytest.mark.parametrize(("frequent", "piece"), [(suffix.FREQUENT, suffix.PIECE), (1, suffix.PIECE), (2, suffix.PIECE), (suffix.FREQUENT, 37), (2, 211)])
+def test_suffix_equals_brute_force(odd, frequent, piece, monkeypatch):
     monkeypatch.setattr(suffix, "FREQUENT", frequent)
+    monkeypatch.setattr(suffix, "PIECE", piece)
     got = suffix.suffix_dedup(odd).select("doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256").collect()
     expected = brute.suffix(rows_of(odd))
     assert by_order(got) == by_order(expected)
     assert sum(r[2] for r in expected) > 500
 
 
+def test_pieces_hold_each_window_once():
+    data = np.arange(1000, dtype=np.uint16)
+    got = list(suffix.pieces(data, np.array([0, 0, 700, 710, 1000]), 20, 64))
+    assert [(first, end) for first, end, _ in got] == [(0, 1), (1, 2), (2, 3), (3, 4)]
+    starts = [begin + i for begin, part, _ in got[1][2] for i in range(len(part) - 19)]
+    assert starts == list(range(681))
+    assert all(part.tolist() == data[begin : begin + len(part)].tolist() for begin, part, _ in got[1][2])
+
+
+def test_spans_do_not_cross_texts():
+    starts, ends = suffix.spans(np.array([5, 0, 8, 30, 20]), np.array([9, 3, 20, 40, 25]), np.array([0, 20, 20, 50]))
+    assert (starts.tolist(), ends.tolist()) == ([0, 5, 20, 30], [3, 20, 25, 40])
+
+
 @pytest.mark.parametrize("frequent", [suffix.FREQUENT, 2])
 def test_maximal_repeats_are_equal_and_cover_what_goes(odd, frequent, monkeypatch):
     monkeypatch.setattr(suffix, "FREQUENT", frequent)

@@ -20,8 +20,13 @@ Grams that occur more than FREQUENT times do not gather: their windows are compa
 suffixes cut at `length` bytes, and equal ones of a block travel as one. A window so frequent that
 a third of all documents hold it reaches its bucket once a block.
 
+A text of over PIECE bytes is read in pieces that share `length` - 1 bytes, so each window lies in one
+piece and arrays stay small however long a text is. The windows of an anchor at a border come as two
+contexts; these share `length` - 1 bytes, which is no repeat.
+
 Results for odd input: null and empty texts have 0 bytes and the hash of the empty string; texts
-under `length` bytes lose nothing; repeated rows of one doc_id are separate texts, so both lose
+under `length` bytes lose nothing; very long texts are processed whole, up to the 2 GB of a value in
+Spark; equal texts lose all that they share, as no place has precedence; repeated rows of one doc_id are separate texts, so both lose
 what they share; a null doc_id is carried through; extra columns are ignored. Removal works on
 bytes and may split a character of several bytes.
 """
@@ -41,7 +46,8 @@ from ticketmill.llm import common as c
 LENGTH = 200
 GRAM = 24
 FREQUENT = 50_000
-PLACE = (1 << 28) - 1  # bytes of a slice that a place can address; one text must stay below
+PIECE = c.SLICE_BYTES
+PLACE = (1 << 28) - 1  # bytes of a piece that a place can address
 
 ENTRIES = "owner int, block int, keys binary, times binary"
 SURVIVORS = "block int, keys binary, frequent binary"
@@ -63,13 +69,27 @@ _RESULT = pa.schema(
 _OCCURRENCES = pa.schema([("repeat_id", pa.int64()), ("length", pa.int64()), ("doc_id", pa.int64()), ("start", pa.int64())])
 
 
+def pieces(data: np.ndarray, offsets: np.ndarray, length: int, piece: int) -> Iterator[tuple[int, int, list[tuple]]]:
+    """(first row, end row, parts) of runs of whole texts; a part is (its first byte in the run, bytes, offsets).
+
+    Each window of `length` bytes lies in one part: a text with over `piece` windows is one run of several parts.
+    """
+    for first, end, run, at in c.slices(data, offsets, min(c.SLICE_BYTES, piece)):
+        windows = len(run) - length + 1
+        if end - first > 1 or windows <= piece:
+            yield first, end, [(0, run, at)]
+            continue
+        cut = [(b, run[b : min(b + piece, windows) + length - 1]) for b in range(0, windows, piece)]
+        yield first, end, [(b, part, np.array([0, len(part)])) for b, part in cut]
+
+
 class Anchors:
     """The anchors of the windows of some texts lying end to end, with each one's run of windows."""
 
     def __init__(self, data: np.ndarray, offsets: np.ndarray, length: int):
         n = len(data)
         if n > PLACE:
-            raise ValueError(f"a text of {n} bytes is over the {PLACE} bytes that places can address")
+            raise ValueError(f"a piece of {n} bytes is over the {PLACE} bytes that places can address")
         none = np.zeros(0, np.int64)
         self.place = self.first = self.last = none
         self.keys = np.zeros(0, np.uint64)
@@ -116,11 +136,12 @@ class Anchors:
         return starts, c.mixed(self._hash(starts, starts + length) + np.uint64(1)), np.repeat(self.keys[of], times)
 
 
-def _anchor_entries(length: int, n_buckets: int):
+def _anchor_entries(length: int, n_buckets: int, piece: int):
     def f(docs: pa.Table) -> pa.Table:
         data, offsets = c.text_bytes(docs.column("text"))
         block = docs.column("block")[0].as_py()
-        keys = np.sort(np.concatenate([Anchors(part, at, length).keys for _, _, part, at in c.slices(data, offsets)]))
+        cut = pieces(data, offsets, length, piece)
+        keys = np.sort(np.concatenate([Anchors(part, at, length).keys for _, _, parts in cut for _, part, at in parts]))
         at = c.runs(keys)
         times = np.minimum(np.diff(np.append(at, len(keys))), (1 << 16) - 1).astype(np.uint16)
         rows = [x | {"block": block} for x in c.packed(("keys", "times"), c.bucket_of(keys[at], n_buckets), keys[at], times)]
@@ -147,7 +168,7 @@ def _repeated(frequent: int):
     return f
 
 
-def _context_entries(length: int, n_buckets: int):
+def _context_entries(length: int, n_buckets: int, piece: int):
     """The contexts of anchors whose gram repeats, equal ones of the block once."""
 
     def f(docs: pa.Table, replies: pa.Table) -> pa.Table:
@@ -159,12 +180,14 @@ def _context_entries(length: int, n_buckets: int):
         often = c.unpacked(replies.column("frequent"), np.uint8) > 0
         frequent, survivors = np.sort(survivors[often]), np.sort(survivors[~often])
         found, windows = [], []
-        for first, _, part, at in c.slices(data, offsets):
-            a = Anchors(part, at, length)
-            if len(frequent):
-                windows.append(a.windows(c.is_member(a.keys, frequent), length)[1:])
-            keep = c.is_member(a.keys, survivors)
-            found.append((a.keys[keep], a.contexts(length)[keep], (a.place - a.first)[keep], (a.last + length - a.place)[keep], a.first[keep] + offsets[first]))
+        for first, _, parts in pieces(data, offsets, length, piece):
+            for begin, part, at in parts:
+                a = Anchors(part, at, length)
+                if len(frequent):
+                    windows.append(a.windows(c.is_member(a.keys, frequent), length)[1:])
+                keep = c.is_member(a.keys, survivors)
+                lefts, rights = a.place - a.first, a.last + length - a.place
+                found.append((a.keys[keep], a.contexts(length)[keep], lefts[keep], rights[keep], a.first[keep] + offsets[first] + begin))
         keys, contexts, lefts, rights, starts = (np.concatenate(x) for x in zip(*found, strict=True))
         order = np.argsort(contexts, kind="stable")
         at = c.runs(contexts[order])
@@ -361,15 +384,16 @@ def _reply(length: int, widest: bool):
     return f
 
 
-def _occurrences(docs: pa.Table, replies: pa.Table, length: int):
-    """(first row of the slice, offsets, start, end, repeat) of each occurrence in the block's slices."""
+def _occurrences(docs: pa.Table, replies: pa.Table, length: int, piece: int):
+    """(first row, end row, bytes, offsets, starts, ends, repeats) of the occurrences in each run of whole texts."""
     names = ("contexts", "lefts", "rights", "repeats")
     contexts, lefts, rights, repeats = (c.unpacked(replies.column(x), t) for x, t in zip(names, (np.uint64, np.uint16, np.uint16, np.uint64), strict=True))
     order = np.argsort(contexts, kind="stable")
     contexts, lefts, rights, repeats = contexts[order], lefts[order].astype(np.int64), rights[order].astype(np.int64), repeats[order]
     windows, grams = (np.sort(c.unpacked(replies.column(x), np.uint64)) for x in ("windows", "grams"))
     data, offsets = c.text_bytes(docs.column("text"))
-    for first, end, part, at in c.slices(data, offsets):
+
+    def of_part(begin: int, part: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         a = Anchors(part, at, length)
         starts, own_names, _ = a.windows(c.is_member(a.keys, grams), length)
         again = c.is_member(own_names, windows)
@@ -379,40 +403,53 @@ def _occurrences(docs: pa.Table, replies: pa.Table, length: int):
         times = hi - lo
         which = np.repeat(np.arange(len(own)), times)
         reply = np.arange(len(which)) - np.repeat(np.cumsum(times) - times, times) + lo[which]
-        begins = np.concatenate([a.place[which] - lefts[reply], starts])
-        ends = np.concatenate([a.place[which] + rights[reply], starts + length])
-        yield first, end, part, at, begins, ends, np.concatenate([repeats[reply], own_names])
+        begins = np.concatenate([a.place[which] - lefts[reply], starts]) + begin
+        ends = np.concatenate([a.place[which] + rights[reply], starts + length]) + begin
+        return begins, ends, np.concatenate([repeats[reply], own_names])
+
+    for first, end, parts in pieces(data, offsets, length, piece):
+        begins, ends, names = (np.concatenate(x) for x in zip(*[of_part(*part) for part in parts], strict=True))
+        yield first, end, data[offsets[first] : offsets[end]], offsets[first : end + 1] - offsets[first], begins, ends, names
+
+
+def spans(starts: np.ndarray, ends: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Starts and ends of the union of the intervals, in order; those that touch are one, but not over texts."""
+    if not len(starts):
+        return starts, ends
+    order = np.argsort(starts, kind="stable")
+    starts, ends = starts[order], np.maximum.accumulate(ends[order])
+    text = np.searchsorted(at, starts, side="right")
+    new = np.flatnonzero(np.concatenate(([True], (starts[1:] > ends[:-1]) | (text[1:] != text[:-1]))))
+    return starts[new], ends[np.append(new[1:], len(ends)) - 1]
 
 
-def _results(length: int):
+def _results(length: int, piece: int):
     def f(docs: pa.Table, replies: pa.Table) -> pa.Table:
         out = {"doc_id": docs.column("doc_id"), "n_bytes": [], "n_removed": [], "n_spans": [], "kept_sha256": []}
-        for first, end, part, at, starts, ends, _ in _occurrences(docs, replies, length):
-            marks = np.zeros(len(part) + 1, np.int32)
-            np.add.at(marks, starts, 1)
-            np.add.at(marks, ends, -1)
-            gone = np.cumsum(marks)[:-1] > 0
-            counts = np.concatenate(([0], np.cumsum(gone)))
-            raw = part.tobytes()
+        for first, end, run, at, starts, ends, _ in _occurrences(docs, replies, length, piece):
+            starts, ends = spans(starts, ends, at)
+            bounds = np.searchsorted(starts, at).tolist()
+            raw, at = memoryview(np.ascontiguousarray(run)), at.tolist()
             for i in range(end - first):
-                s, e = at[i], at[i + 1]
-                n = int(counts[e] - counts[s])
-                kept = raw[s:e] if not n else part[s:e][~gone[s:e]].tobytes()
-                mask = gone[s:e] if n else gone[:0]
-                out["n_bytes"].append(int(e - s))
-                out["n_removed"].append(n)
-                out["n_spans"].append(int(mask[:1].sum() + (mask[1:] & ~mask[:-1]).sum()))
-                out["kept_sha256"].append(hashlib.sha256(kept).hexdigest())
+                kept, place, removed = hashlib.sha256(), at[i], 0
+                for s, e in zip(starts[bounds[i] : bounds[i + 1]].tolist(), ends[bounds[i] : bounds[i + 1]].tolist(), strict=True):
+                    kept.update(raw[place:s])
+                    place, removed = e, removed + e - s
+                kept.update(raw[place : at[i + 1]])
+                out["n_bytes"].append(at[i + 1] - at[i])
+                out["n_removed"].append(removed)
+                out["n_spans"].append(bounds[i + 1] - bounds[i])
+                out["kept_sha256"].append(kept.hexdigest())
         return pa.table(out, schema=_RESULT)
 
     return f
 
 
-def _listed(length: int):
+def _listed(length: int, piece: int):
     def f(docs: pa.Table, replies: pa.Table) -> pa.Table:
         tables = []
         ids = docs.column("doc_id").combine_chunks()
-        for first, _, _, at, starts, ends, repeats in _occurrences(docs, replies, length):
+        for first, _, _, at, starts, ends, repeats in _occurrences(docs, replies, length, piece):
             text = np.searchsorted(at, starts, side="right") - 1
             tables.append(
                 pa.table(
@@ -428,8 +465,8 @@ def _listed(length: int):
 def _base_and_replies(docs: DataFrame, length: int, widest: bool) -> tuple[DataFrame, DataFrame]:
     n = c.block_count(docs)
     base = c.in_blocks(docs, n)
-    survivors = c.by_block(base, _anchor_entries(length, n), ENTRIES).groupBy("owner").applyInArrow(_repeated(FREQUENT), SURVIVORS)
-    contexts = c.by_block_with(base, survivors, _context_entries(length, n), CONTEXTS)
+    survivors = c.by_block(base, _anchor_entries(length, n, PIECE), ENTRIES).groupBy("owner").applyInArrow(_repeated(FREQUENT), SURVIVORS)
+    contexts = c.by_block_with(base, survivors, _context_entries(length, n, PIECE), CONTEXTS)
     return base, contexts.groupBy("owner").applyInArrow(_reply(length, widest), REPLIES)
 
 
@@ -439,10 +476,10 @@ def suffix_dedup(docs: DataFrame, length: int = LENGTH) -> DataFrame:
     A byte goes if a string of `length` bytes over it also starts anywhere else.
     """
     base, replies = _base_and_replies(docs, length, widest=True)
-    return c.by_block_with(base, replies, _results(length), RESULT)
+    return c.by_block_with(base, replies, _results(length, PIECE), RESULT)
 
 
 def maximal_repeats(docs: DataFrame, length: int = LENGTH) -> DataFrame:
     """Every occurrence of every maximal repeat around an anchor: repeat_id, length, doc_id, start byte."""
     base, replies = _base_and_replies(docs, length, widest=False)
-    return c.by_block_with(base, replies, _listed(length), OCCURRENCES)
+    return c.by_block_with(base, replies, _listed(length, PIECE), OCCURRENCES)
