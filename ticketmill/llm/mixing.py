@@ -10,8 +10,8 @@ into RANGES equal ranges. Sizes are summed per source and range, the sums of who
 accumulated, and only the documents of the one range in which a source's budget ends are put in
 order, 1 / RANGES of the source.
 
-Results for odd input: null, empty and blank texts have size 0 and take 0; a null source is a
-source, last in order; equal keys go by doc_id and then size, so repeated rows are separate
+Results for odd input: null, empty and blank texts have size 0 and take 0; very long texts
+count whole; a null source is a source, last in order; equal keys go by doc_id and then size, so repeated rows are separate
 documents; sources without words have target 0; an empty table gives no rows; extra columns are
 ignored.
 """

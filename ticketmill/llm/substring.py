@@ -9,7 +9,8 @@ full length is reached or no candidates survive. At the full length the smallest
 window decides.
 
 Results for odd input: null, empty and blank texts have no words (the hash is that of the empty
-string); texts shorter than the window lose nothing; repeated rows of one doc_id count as one
+string); texts shorter than the window lose nothing; very long
+texts are processed whole; repeated rows of one doc_id count as one
 document and remove nothing from each other; a null doc_id counts as larger than any other;
 extra columns are ignored.
 """

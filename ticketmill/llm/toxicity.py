@@ -21,7 +21,7 @@ share of misspelled ones gives the score; it is fitted to the same sample.
 Results for odd input: null, empty and blank texts have no hits and get the score of any text
 without hits; without labelled toxic texts all scores are 0; several labels of a doc_id count as
 toxic if any is; repeated rows score alike; a null doc_id has no label and is held out; extra
-columns are ignored. Scores read the text alone.
+columns are ignored. Scores read the text alone, very long ones whole.
 """
 
 from __future__ import annotations
