@@ -15,7 +15,7 @@ hashes.
 
 Results for odd input: null and empty texts are one end token; a null doc_id is held out; without
 training texts all tokens are unknown and score equals base_score; repeated rows are separate
-texts; extra columns are ignored.
+texts; extra columns are ignored. Very long texts are scored whole.
 """
 
 from __future__ import annotations

@@ -12,7 +12,7 @@ without enough labels in a stratum rejects nothing there.
 Results for odd input: null, empty and blank texts have no words and fail the base rule of 50
 words; a null lang is a stratum of its own; several labels of a doc_id count once, as good if any
 is; repeated rows are judged alike; without labels only the base rules decide; a text's row does
-not depend on other columns.
+not depend on other columns. Very long texts are measured whole.
 """
 
 from __future__ import annotations

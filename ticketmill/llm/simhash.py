@@ -11,7 +11,7 @@ returns links that span what it connects, not all pairs, and star contraction jo
 Results for odd input: null, empty and blank texts have fingerprint zero and link like any other;
 one or two words are one shingle; repeated rows of a doc_id share its row's result; a null doc_id
 is in its fingerprint's component but never names it unless no other is there (then null); extra
-columns are ignored.
+columns are ignored. Very long texts are read whole.
 """
 
 from __future__ import annotations
