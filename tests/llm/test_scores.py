@@ -307,3 +307,106 @@ def test_exchange_finds_planted_classes():
     own = classlm.exchange(pairs, 3, 20)
     assert likelihood(pairs, own, 3) >= likelihood(pairs, start, 3)
     assert len({(a, b) for a, b in zip(truth, own, strict=True)}) == 3
+
+
+def class_texts(spark, n=60, ending=""):
+    rng = np.random.default_rng(4)
+    kinds = [[f"{k}{j}{ending}" for j in range(12)] for k in "abc"]
+    texts = [" ".join(kinds[j % 3][int(rng.integers(12))] for j in range(int(rng.integers(3, 40)))) for _ in range(n)]
+    return texts, spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(3)
+
+
+def hash_of(word):
+    if word == "\n":
+        return int(classlm.END)
+    data = np.frombuffer(word.encode(), np.uint8)
+    return int(classlm.c.word_hashes(data, np.zeros(1, np.int64))[0])
+
+
+def fitted(docs, classes, sweeps, rise=0.0):
+    chunks = classlm.c.stored(classlm.chunks_of(docs))
+    model, classed, history = classlm.fit(chunks, 4, classes, sweeps, rise)
+    known = {}
+    for r in classed.collect():
+        columns = (np.frombuffer(r[x], t).tolist() for x, t in (("words", np.uint64), ("counts", np.int64), ("classes", np.uint8)))
+        known |= {w: (n, k) for w, n, k in zip(*columns, strict=True)}
+    return model, known, history
+
+
+def test_every_word_has_a_class_and_sweeps_raise_the_likelihood(spark, monkeypatch):
+    # all but four words begin in the class of their common ending
+    monkeypatch.setattr(classlm.frequent_words, "__defaults__", (4,))
+    texts, docs = class_texts(spark, ending="same")
+    model, known, history = fitted(docs, 4, 5)
+    train = [[*t.split(), "\n"] for i, t in enumerate(texts) if zlib.crc32(str(i).encode()) % 10]
+    count = Counter(x for t in train for x in t)
+    assert {hash_of(w): n for w, n in count.items()} == {w: n for w, (n, _) in known.items()}
+    assert len(history) > 1 and max(history) > history[0]
+    table = np.zeros((4, 4))
+    for t in train:
+        for a, b in zip(["\n", *t], t):  # noqa: B905
+            table[known[hash_of(a)][1], known[hash_of(b)][1]] += 1
+    assert classlm.likelihood(table) == pytest.approx(max(history))
+
+
+def test_class_scores_equal_a_plain_recomputation(spark):
+    texts, _ = class_texts(spark)
+    texts = [t if zlib.crc32(str(i).encode()) % 10 else f"never {t} new{i} b2" for i, t in enumerate(texts)]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(3)
+    model, known, _ = fitted(docs, classlm.CLASSES, classlm.SWEEPS, classlm.RISE)
+    k = classlm.CLASSES
+    train = [[*t.split(), "\n"] for i, t in enumerate(texts) if zlib.crc32(str(i).encode()) % 10]
+    count = Counter(x for t in train for x in t)
+    own = {w: known[hash_of(w)][1] for w in count}
+    big, types = np.zeros((k + 1, k)), Counter(own.values())
+    for t in train:
+        for a, b in zip(["\n", *t], t):  # noqa: B905
+            big[own[a], own[b]] += 1
+            if count[a] == 1:
+                big[k, own[b]] += 1
+    n, inside = sum(count.values()), big[:k].sum(axis=0)
+    single = (inside + 0.1) / (n + 0.1 * k)
+
+    def chance(a, b):
+        row = own.get(a, k)
+        step = (big[row] + single) / (big[row].sum() + 1)
+        if b in own:
+            p = step[own[b]] * (count[b] - classlm.DISCOUNT) / inside[own[b]]
+        else:
+            p = sum(step[j] * classlm.DISCOUNT * types[j] / inside[j] for j in types)
+        return classlm.MIX * p + (1 - classlm.MIX) * (count[b] + 0.1) / (n + 0.1 * (len(count) + 1))
+
+    got = {r.doc_id: r.score for r in classlm.class_scores(docs).collect()}
+    assert any(t.startswith("never") for t in texts)
+    for i, t in enumerate(texts):
+        words = [*t.split(), "\n"]
+        assert got[i] == pytest.approx(sum(math.log10(chance(a, b)) for a, b in zip(["\n", *words], words)))  # noqa: B905
+    # the words and the one not seen add up to one wherever the classes hold all of the transitions
+    for a in ("\n", "a1", "never"):
+        total = sum(chance(a, b) for b in count) + chance(a, "never")
+        empty = sum((big[own.get(a, k)][j] + single[j]) / (big[own.get(a, k)].sum() + 1) for j in range(k) if not types[j])
+        assert total == pytest.approx(1 - classlm.MIX * empty)
+
+
+def test_best_class_equals_moving_the_word():
+    rng = np.random.default_rng(5)
+    n, k = 40, 5
+    pairs = rng.poisson(1, (n, n)).astype(float)
+    np.fill_diagonal(pairs, 0)
+    own = rng.integers(0, k, n)
+    # a word whose neighbours lie in classes that it neither leaves nor enters: its cells are then exact
+    w, pairs[0], pairs[:, 0] = 0, 0, 0
+    own[0], others = 0, [x for x in range(1, n) if own[x] in (3, 4)]
+    pairs[0, others], pairs[others, 0] = 3, 2
+    member = np.eye(k)[own]
+    table = member.T @ pairs @ member
+    after, before = pairs[w] @ member, member.T @ pairs[:, w]
+    codes = np.concatenate((np.flatnonzero(after), k + np.flatnonzero(before)))
+    counts = np.concatenate((after[after > 0], before[before > 0])).astype(int)
+    tries = []
+    for j in range(3):
+        other = own.copy()
+        other[w] = j
+        tries.append(likelihood(pairs, other, k))
+    wide = classlm.best_classes(own[:1], np.zeros(len(codes), int), codes, counts, table)
+    assert wide[0] < 3 and tries[wide[0]] == max(tries)

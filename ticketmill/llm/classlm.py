@@ -1,31 +1,39 @@
 """Scoring texts with a Brown class-based bigram model, learned from the corpus.
 
-Units. Each of the FREQUENT most frequent words is a unit; every other word belongs to one of
-ENDINGS units by its last bytes; the end of a text is a unit. So every word, seen or not, has one,
-and the counts of unit pairs are a table of bounded size whatever the corpus. Exchange clustering
-moves units between CLASSES classes, one at a time, as long as the likelihood of the class bigrams
-rises. A token's probability is that of its class after the class before, times that of its unit
-in the class, times that of the word in its unit; the last is discounted, and what the discount
-frees is the probability of a word not seen. It is mixed with a unigram share (MIX).
-
-Counts cover all training texts: words are counted per batch of documents and added up by word in
-buckets, which are stored, one row each. To score, each block of documents asks the buckets for the
-counts of its own words, so the vocabulary is never in one place. Words are compared by 64-bit
-hashes.
+Exchange clustering assigns every word of the training texts, however rare, to one of CLASSES
+classes. It starts from a small exact clustering (`exchange`): the FREQUENT most frequent words, the
+end of a text and ENDINGS units of the other words by their last bytes. From there, sweeps over the
+whole vocabulary run as Spark steps: each word's counts to and from classes are added up by word in
+buckets (`evidence`), and each word goes to the class that raises the likelihood of the class
+bigrams most (`moved`), all words of a sweep by the same table of class bigrams. Sweeps go on until
+one raises the likelihood by less than RISE nats a token; the best assignment counts. The driver gets
+tables of classes alone.
+
+A token's probability is that of its class after the class before, times that of the word in its
+class; the last is discounted, and what the discount frees in all classes is the probability of a
+word not seen. After such a word, classes follow as they do after words seen once. It is mixed with
+a unigram share (MIX). All words and the word not seen add up to one.
+
+Texts are tokenised once, into stored chunks of about CHUNK_BYTES: their distinct words, and the
+tokens as places among these. A chunk asks the buckets for what belongs to its words, so the
+vocabulary is never in one place. Words are compared by 64-bit hashes.
 
 Results for odd input: null and empty texts are one end token; a null doc_id is held out; without
 training texts all tokens are unknown and score equals base_score; repeated rows are separate
-texts; extra columns are ignored. Very long texts are scored whole.
+texts; of classes that raise the likelihood equally the first counts, and a word stays where it is
+if none is better; extra columns are ignored. Very long texts are scored whole, a text in one chunk.
 """
 
 from __future__ import annotations
 
+import uuid
 import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -35,20 +43,39 @@ FREQUENT = 2048
 ENDINGS = 1024
 CLASSES = 64
 SWEEPS = 6
+RISE = 0.002
 FOLDS = 10
 ADDED = 0.1
 DISCOUNT = 0.7
 MIX = 0.95
+CHUNK_BYTES = 16 << 20
+TRIPLES = 1 << 15
 END = np.uint64(0x5BD1E995A4C93B2F)
+NOT_SEEN = 255
 
+CHUNKS = "chunk long, doc_ids array<bigint>, held binary, sizes binary, words binary, endings binary, tokens binary"
 COUNTS = "owner int, words binary, endings binary, counts binary"
-_COUNTS = pa.schema([("owner", pa.int32())] + [(x, pa.binary()) for x in ("words", "endings", "counts")])
-_ASKED = pa.schema([("owner", pa.int32()), ("block", pa.int32()), ("words", pa.binary())])
-_PAIRS = pa.schema([("owner", pa.int32()), ("codes", pa.binary()), ("counts", pa.binary())])
-_REPLIES = pa.schema([("block", pa.int32()), ("words", pa.binary()), ("counts", pa.binary())])
+CLASSED = "owner int, words binary, counts binary, classes binary"
+FOUND = "owner int, words binary, widths binary, codes binary, counts binary"
+EVIDENCE = "owner int, words binary, classes binary, widths binary, codes binary, counts binary"
+REPLIES = "chunk long, owner int, classes binary, counts binary"
+
+
+def _binary(*names: str) -> list[tuple[str, pa.DataType]]:
+    return [(x, pa.binary()) for x in names]
+
+
+_CHUNKS = pa.schema([("chunk", pa.int64()), ("doc_ids", pa.list_(pa.int64())), *_binary("held", "sizes", "words", "endings", "tokens")])
+_COUNTS = pa.schema([("owner", pa.int32()), *_binary("words", "endings", "counts")])
+_CLASSED = pa.schema([("owner", pa.int32()), *_binary("words", "counts", "classes")])
+_ASKED = pa.schema([("owner", pa.int32()), ("chunk", pa.int64()), *_binary("words")])
+_PAIRS = pa.schema([("owner", pa.int32()), *_binary("codes", "counts")])
+_FOUND = pa.schema([("owner", pa.int32()), *_binary("words", "widths", "codes", "counts")])
+_EVIDENCE = pa.schema([("owner", pa.int32()), *_binary("words", "classes", "widths", "codes", "counts")])
+_REPLIES = pa.schema([("chunk", pa.int64()), ("owner", pa.int32()), *_binary("classes", "counts")])
+_CELLS = pa.schema([("cell", pa.int32()), ("count", pa.int64())])
 _TOP = pa.schema([("word", pa.int64()), ("count", pa.int64())])
 _LEVELS = pa.schema([("level", pa.int64()), ("words", pa.int64())])
-_STATS = pa.schema([("ending", pa.int32()), ("total", pa.int64()), ("types", pa.int64())])
 RESULT = (
     "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double, perplexity double"
 )
@@ -77,31 +104,69 @@ def tokens(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarra
     return np.insert(hashes, place, END), np.insert(ending, place, ENDINGS), np.insert(text, place, np.arange(n))
 
 
-def _summed(words: np.ndarray, endings: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    order = np.argsort(words, kind="stable")
-    at = c.runs(words[order])
-    return words[order][at], endings[order][at], np.add.reduceat(counts[order], at) if len(at) else counts
+def _chunk(number: int, ids: list, parts: list[tuple[np.ndarray, ...]]) -> dict:
+    hashes, endings, sizes = (np.concatenate(x) for x in zip(*parts, strict=True))
+    words, first, place = np.unique(hashes, return_index=True, return_inverse=True)
+    return {
+        "chunk": number,
+        "doc_ids": ids,
+        "held": held_out(pa.array(ids, pa.int64())).tobytes(),
+        "sizes": sizes.astype(np.int32).tobytes(),
+        "words": words.tobytes(),
+        "endings": endings[first].astype(np.uint16).tobytes(),
+        "tokens": place.astype(np.int32).tobytes(),
+    }
+
+
+def _encoded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    number = TaskContext.get().partitionId() << 32
+    ids, parts, size = [], [], 0
+    for batch in batches:
+        data, offsets = c.text_bytes(batch.column(1))
+        doc_ids = batch.column(0).to_pylist()
+        for first, end, part, at in c.slices(data, offsets):
+            hashes, endings, text = tokens(part, at)
+            parts.append((hashes, endings, np.bincount(text, minlength=end - first)))
+            ids += doc_ids[first:end]
+            size += len(part)
+            if size >= CHUNK_BYTES:
+                yield c.to_batch([_chunk(number, ids, parts)], _CHUNKS)
+                number, ids, parts, size = number + 1, [], [], 0
+    if parts:
+        yield c.to_batch([_chunk(number, ids, parts)], _CHUNKS)
+
+
+def chunks_of(docs: DataFrame) -> DataFrame:
+    """The tokenised texts, in chunks."""
+    return c.texts_of(docs).mapInArrow(_encoded, CHUNKS)
+
+
+def _training(row: dict) -> np.ndarray:
+    """Of each token of a chunk, whether it is in a training text."""
+    return np.repeat(~np.frombuffer(row["held"], bool), np.frombuffer(row["sizes"], np.int32))
 
 
 def _word_counts(n_buckets: int):
-    """Words of training texts with their counts, once for a batch, by bucket."""
+    """Words of a chunk's training texts with their counts, by bucket."""
 
     def f(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            data, offsets = c.text_bytes(batch.column(1))
-            train, found = ~held_out(batch.column(0)), []
-            for first, _, part, at in c.slices(data, offsets):
-                words, endings, text = tokens(part, at)
-                own = train[first + text]
-                found.append(_summed(words[own], endings[own], np.ones(int(own.sum()), np.int64)))
-            if found:
-                words, endings, counts = _summed(*(np.concatenate(x) for x in zip(*found, strict=True)))
-                rows = c.packed(("words", "endings", "counts"), c.bucket_of(words, n_buckets), words, endings.astype(np.uint16), counts)
-                yield c.to_batch(list(rows), _COUNTS)
+            for row in batch.to_pylist():
+                words, endings = np.frombuffer(row["words"], np.uint64), np.frombuffer(row["endings"], np.uint16)
+                counts = np.bincount(np.frombuffer(row["tokens"], np.int32)[_training(row)], minlength=len(words))
+                own = counts > 0
+                words = words[own]
+                yield c.to_batch(list(c.packed(("words", "endings", "counts"), c.bucket_of(words, n_buckets), words, endings[own], counts[own])), _COUNTS)
 
     return f
 
 
+def _summed(words: np.ndarray, endings: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    order = np.argsort(words, kind="stable")
+    at = c.runs(words[order])
+    return words[order][at], endings[order][at], np.add.reduceat(counts[order], at) if len(at) else counts
+
+
 def _entries(table: pa.Table | pa.RecordBatch) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return (
         c.unpacked(table.column("words"), np.uint64),
@@ -117,9 +182,10 @@ def _bucket(table: pa.Table) -> pa.Table:
     return pa.Table.from_pylist([row], schema=_COUNTS)
 
 
-def vocabulary(texts: DataFrame, n_buckets: int) -> DataFrame:
+def vocabulary(chunks: DataFrame, n_buckets: int) -> DataFrame:
     """The words of all training texts and their counts, one row a bucket."""
-    return texts.mapInArrow(_word_counts(n_buckets), COUNTS).groupBy("owner").applyInArrow(_bucket, COUNTS)
+    chunks = chunks.select("held", "sizes", "words", "endings", "tokens")
+    return chunks.mapInArrow(_word_counts(n_buckets), COUNTS).groupBy("owner").applyInArrow(_bucket, COUNTS)
 
 
 def _level(counts: np.ndarray) -> np.ndarray:
@@ -158,46 +224,6 @@ def frequent_words(vocab: DataFrame, most: int = FREQUENT) -> np.ndarray:
     return np.sort(np.array([r.word for r in top.collect()], np.int64).view(np.uint64))
 
 
-def _ending_stats(frequent: np.ndarray):
-    """Tokens and distinct words of each ending in the buckets; the frequent words under ENDINGS + 1."""
-
-    def f(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            words, endings, counts = _entries(batch)
-            endings = np.where(c.is_member(words, frequent), ENDINGS + 1, endings)
-            types = np.bincount(endings, minlength=ENDINGS + 2)
-            at = np.flatnonzero(types)
-            total = np.bincount(endings, weights=counts, minlength=ENDINGS + 2).astype(np.int64)
-            yield pa.RecordBatch.from_arrays([pa.array(at.astype(np.int32)), pa.array(total[at]), pa.array(types[at])], schema=_STATS)
-
-    return f
-
-
-def _asked(n_buckets: int):
-    """The distinct words of a block, by bucket."""
-
-    def f(docs: pa.Table) -> pa.Table:
-        data, offsets = c.text_bytes(docs.column("text"))
-        words = np.unique(np.concatenate([np.unique(tokens(part, at)[0]) for _, _, part, at in c.slices(data, offsets)]))
-        block = docs.column("block")[0].as_py()
-        rows = [x | {"block": block} for x in c.packed(("words",), c.bucket_of(words, n_buckets), words)]
-        return pa.Table.from_pylist(rows, schema=_ASKED)
-
-    return f
-
-
-def _replies(asked: pa.Table, bucket: pa.Table) -> pa.Table:
-    """To each block the counts of its words that training texts hold."""
-    words, _, counts = _entries(bucket)
-    wanted = c.unpacked(asked.column("words"), np.uint64)
-    blocks = np.repeat(asked.column("block").to_numpy(), [len(x) // 8 for x in asked.column("words").to_pylist()])
-    known = c.is_member(wanted, words)
-    wanted, blocks = wanted[known], blocks[known]
-    found = counts[np.searchsorted(words, wanted)] if len(wanted) else counts[:0]
-    rows = [{"block": x.pop("owner")} | x for x in c.packed(("words", "counts"), blocks, wanted, found)]
-    return pa.Table.from_pylist(rows, schema=_REPLIES)
-
-
 def units_of(words: np.ndarray, endings: np.ndarray, frequent: np.ndarray) -> np.ndarray:
     """Units: endings from 0, END at ENDINGS, then the frequent words in the order of their hashes."""
     if not len(frequent):
@@ -206,29 +232,27 @@ def units_of(words: np.ndarray, endings: np.ndarray, frequent: np.ndarray) -> np
     return np.where(frequent[at] == words, ENDINGS + 1 + at, endings)
 
 
+def _neighbours(row: dict) -> tuple[np.ndarray, np.ndarray]:
+    """(word, next word) of all neighbours in training texts, as places among the chunk's words; a text starts after an END."""
+    place = np.frombuffer(row["tokens"], np.int32).astype(np.int64)
+    end = np.searchsorted(np.frombuffer(row["words"], np.uint64), END)
+    train = _training(row)
+    return np.concatenate(([end], place[:-1]))[train], place[train]
+
+
 def _pairs(frequent: np.ndarray, n_units: int, n_buckets: int):
-    """Counts of neighbouring units in training texts, once for a batch; a text starts after an END."""
+    """Counts of neighbouring units in training texts, once for a chunk."""
     share = -(-n_units * n_units // n_buckets)
 
     def f(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            data, offsets = c.text_bytes(batch.column(1))
-            train, found = ~held_out(batch.column(0)), []
-            for first, _, part, at in c.slices(data, offsets):
-                words, endings, text = tokens(part, at)
-                unit = units_of(words, endings, frequent)
-                before = np.concatenate(([ENDINGS], unit[:-1]))
-                code = (before * n_units + unit)[train[first + text]]
-                found.append(np.unique(code, return_counts=True))
-            if not found:
-                continue
-            code, counts = (np.concatenate(x) for x in zip(*found, strict=True))
-            order = np.argsort(code, kind="stable")
-            at = c.runs(code[order])
-            if len(at):
-                code, counts = code[order][at], np.add.reduceat(counts[order], at)
-            rows = list(c.packed(("codes", "counts"), code // share, code.astype(np.int32), counts.astype(np.int64)))
-            yield c.to_batch(rows, _PAIRS)
+            for row in batch.to_pylist():
+                endings = np.frombuffer(row["endings"], np.uint16).astype(np.int64)
+                unit = units_of(np.frombuffer(row["words"], np.uint64), endings, frequent)
+                before, after = _neighbours(row)
+                code, counts = np.unique(unit[before] * n_units + unit[after], return_counts=True)
+                rows = list(c.packed(("codes", "counts"), code // share, code.astype(np.int32), counts.astype(np.int64)))
+                yield c.to_batch(rows, _PAIRS)
 
     return f
 
@@ -293,104 +317,330 @@ def exchange(pairs: np.ndarray, classes: int = CLASSES, sweeps: int = SWEEPS) ->
     return own
 
 
-@dataclass
-class Model:
-    """What scoring needs, of a size that does not depend on the corpus. Probabilities are plain."""
-
-    frequent: np.ndarray
-    train_tokens: int
-    types: int
-    classes: np.ndarray
-    transitions: np.ndarray
-    emissions: np.ndarray
-    unit_tokens: np.ndarray
-    unit_types: np.ndarray
-
-
 def _clusters(n_units: int, classes: int, sweeps: int):
-    """The whole (bounded) table of unit pairs becomes classes, class bigrams and unit counts."""
+    """The whole (bounded) table of unit pairs becomes the units' classes."""
 
     def f(table: pa.Table) -> pa.Table:
         codes, counts = c.unpacked(table.column("codes"), np.int32), c.unpacked(table.column("counts"), np.int64)
         pairs = np.zeros(n_units * n_units)
         pairs[codes] = counts
-        pairs = pairs.reshape(n_units, n_units)
-        own = exchange(pairs, classes, sweeps)
-        member = np.zeros((n_units, classes))
-        member[np.arange(n_units), own] = 1
-        return pa.table({"classes": [own.astype(np.int64).tobytes()], "bigrams": [(member.T @ (pairs @ member)).tobytes()], "counts": [pairs.sum(axis=0).tobytes()]})
+        own = exchange(pairs.reshape(n_units, n_units), classes, sweeps)
+        return pa.table({"classes": [own.astype(np.uint8).tobytes()]})
+
+    return f
+
+
+def _start(frequent: np.ndarray, own: np.ndarray):
+    """The buckets' words in the classes of their units."""
+
+    def f(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            rows = []
+            for row in batch.to_pylist():
+                endings = np.frombuffer(row["endings"], np.uint16).astype(np.int64)
+                unit = units_of(np.frombuffer(row["words"], np.uint64), endings, frequent)
+                rows.append({"owner": row["owner"], "words": row["words"], "counts": row["counts"], "classes": own[unit].tobytes()})
+            yield c.to_batch(rows, _CLASSED)
 
     return f
 
 
-def fit(texts: DataFrame, vocab: DataFrame, classes: int = CLASSES, sweeps: int = SWEEPS) -> Model:
-    """vocab: the stored vocabulary. The driver gets the model alone."""
+def first_classes(chunks: DataFrame, vocab: DataFrame, classes: int = CLASSES, sweeps: int = SWEEPS) -> DataFrame:
+    """Every word in the class of its unit, by exact exchange of the units."""
     n = vocab.sparkSession.conf.get("spark.sql.shuffle.partitions")
     frequent = frequent_words(vocab)
-    stats = vocab.mapInArrow(_ending_stats(frequent), "ending int, total long, types long")
-    stats = stats.groupBy("ending").agg(F.sum("total").alias("total"), F.sum("types").alias("types")).collect()
-    totals, types = np.zeros(ENDINGS + 2, np.int64), np.zeros(ENDINGS + 2, np.int64)
-    for r in stats:
-        totals[r.ending], types[r.ending] = r.total, r.types
     n_units = ENDINGS + 1 + len(frequent)
-    pairs = texts.mapInArrow(_pairs(frequent, n_units, int(n)), "owner int, codes binary, counts binary")
+    pairs = chunks.select("held", "sizes", "words", "endings", "tokens").mapInArrow(_pairs(frequent, n_units, int(n)), "owner int, codes binary, counts binary")
     pairs = pairs.groupBy("owner").applyInArrow(_sum_pairs, "owner int, codes binary, counts binary")
-    got = pairs.groupBy("owner").applyInArrow(_clusters(n_units, classes, sweeps), "classes binary, bigrams binary, counts binary").first()
-    if got is None:
-        return Model(frequent, 0, 0, np.zeros(n_units, np.int64), np.ones((classes, classes)), np.ones(n_units), np.zeros(n_units), np.zeros(n_units))
-    own = np.frombuffer(got.classes, np.int64)
-    bigrams = np.frombuffer(got.bigrams).reshape(classes, classes)
-    unit_tokens = np.frombuffer(got.counts)
-    unit_types = np.concatenate([types[: ENDINGS + 1], np.ones(len(frequent), np.int64)])
-    single = (bigrams.sum(axis=0) + ADDED) / (bigrams.sum() + ADDED * classes)
-    transitions = (bigrams + single[None, :]) / (bigrams.sum(axis=1, keepdims=True) + 1)
-    in_class = np.bincount(own, weights=unit_tokens + ADDED, minlength=classes)
-    emissions = (unit_tokens + ADDED) / in_class[own]
-    return Model(frequent, int(totals.sum()), int(types.sum()), own, transitions, emissions, unit_tokens, unit_types)
-
-
-def _scores(model: Model):
-    def f(docs: pa.Table, replies: pa.Table) -> pa.Table:
-        data, offsets = c.text_bytes(docs.column("text"))
-        known_words = c.unpacked(replies.column("words"), np.uint64)
-        order = np.argsort(known_words)
-        known_words, known_counts = known_words[order], c.unpacked(replies.column("counts"), np.int64)[order]
-        # one place more, for words that are not known
-        known_words, known_counts = np.append(known_words, np.uint64(0)), np.append(known_counts, 0)
-        out = {x: [] for x in ("n_tokens", "n_known", "base_score", "score")}
-        whole = model.train_tokens + ADDED * (model.types + 1)
-        for first, end, part, at in c.slices(data, offsets):
-            words, endings, text = tokens(part, at)
-            place = np.searchsorted(known_words[:-1], words)
-            count = np.where(known_words[place] == words, known_counts[place], 0)
-            base = (count + ADDED) / whole
-            if model.train_tokens:
-                unit = units_of(words, endings, model.frequent)
-                own = model.classes[unit]
-                before = np.concatenate(([model.classes[ENDINGS]], own[:-1]))
-                free = DISCOUNT * model.unit_types[unit]
-                alone = unit >= ENDINGS
-                inside = np.where(count > 0, count - DISCOUNT, np.maximum(free, DISCOUNT)) / np.maximum(model.unit_tokens[unit], 1)
-                inside = np.where(alone, 1.0, np.minimum(inside, 1.0))
-                chance = MIX * model.transitions[before, own] * model.emissions[unit] * inside + (1 - MIX) * base
-            else:
-                chance = base
-            n = end - first
-            out["n_tokens"].append(np.bincount(text, minlength=n))
-            out["n_known"].append(np.bincount(text[count > 0], minlength=n))
-            out["base_score"].append(np.bincount(text, weights=np.log10(base), minlength=n))
-            out["score"].append(np.bincount(text, weights=np.log10(chance), minlength=n))
-        out = {k: np.concatenate(v) for k, v in out.items()}
+    got = pairs.groupBy("owner").applyInArrow(_clusters(n_units, classes, sweeps), "classes binary").first()
+    own = np.frombuffer(got.classes, np.uint8) if got else np.zeros(n_units, np.uint8)
+    return vocab.mapInArrow(_start(frequent, own), CLASSED)
+
+
+def _asked(n_buckets: int):
+    """The distinct words of a chunk, by bucket."""
+
+    def f(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for row in batch.to_pylist():
+                words = np.frombuffer(row["words"], np.uint64)
+                rows = [x | {"chunk": row["chunk"]} for x in c.packed(("words",), c.bucket_of(words, n_buckets), words)]
+                yield c.to_batch(rows, _ASKED)
+
+    return f
+
+
+def _replies(with_counts: bool):
+    """To each chunk the class (or NOT_SEEN) and, if wanted, the count (or 0) of each word that it asked for, in its order."""
+
+    def f(asked: pa.Table, bucket: pa.Table) -> pa.Table:
+        words = c.unpacked(bucket.column("words"), np.uint64)
+        classes, counts = c.unpacked(bucket.column("classes"), np.uint8), c.unpacked(bucket.column("counts"), np.int64)
+        rows = []
+        for row in asked.to_pylist():
+            wanted = np.frombuffer(row["words"], np.uint64)
+            known = c.is_member(wanted, words)
+            at = np.searchsorted(words, wanted[known])
+            found, times = np.full(len(wanted), NOT_SEEN, np.uint8), np.zeros(len(wanted) if with_counts else 0, np.int64)
+            found[known] = classes[at]
+            if with_counts:
+                times[known] = counts[at]
+            rows.append({"chunk": row["chunk"], "owner": row["owner"], "classes": found.tobytes(), "counts": times.tobytes()})
+        return pa.Table.from_pylist(rows, schema=_REPLIES)
+
+    return f
+
+
+def replies(chunks: DataFrame, classed: DataFrame, n_buckets: int, with_counts: bool) -> DataFrame:
+    asked = chunks.select("chunk", "words").mapInArrow(_asked(n_buckets), "owner int, chunk long, words binary")
+    return asked.groupBy("owner").cogroup(classed.groupBy("owner")).applyInArrow(_replies(with_counts), REPLIES)
+
+
+def _answer(words: np.ndarray, replies: pa.Table, name: str, dtype: type, n_buckets: int) -> np.ndarray:
+    """What was replied of each of a chunk's words."""
+    out = np.empty(len(words), dtype)
+    out[np.argsort(c.bucket_of(words, n_buckets), kind="stable")] = c.unpacked(replies.sort_by("owner").column(name), dtype)
+    return out
+
+
+def _found(n_buckets: int, classes: int):
+    """A chunk's words, how often each class follows (codes from 0) and precedes them (codes from `classes`)."""
+
+    def f(chunk: pa.Table, replies: pa.Table) -> pa.Table:
+        row = chunk.to_pylist()[0]
+        words = np.frombuffer(row["words"], np.uint64)
+        own = _answer(words, replies, "classes", np.uint8, n_buckets).astype(np.int64)
+        before, after = _neighbours(row)
+        wide = 2 * classes
+        codes = np.concatenate((before * wide + own[after], after * wide + classes + own[before]))
+        codes, counts = np.unique(codes, return_counts=True)
+        word = codes // wide
+        at = c.runs(word)
+        widths = np.diff(np.append(at, len(word)))
+        owner = c.bucket_of(words[word], n_buckets)
+        one = c.packed(("words", "widths"), owner[at], words[word[at]], widths.astype(np.uint8))
+        more = c.packed(("codes", "counts"), owner, (codes % wide).astype(np.uint8), counts.astype(np.uint32))
+        return pa.Table.from_pylist([x | y for x, y in zip(one, more, strict=True)], schema=_FOUND)
+
+    return f
+
+
+def _gathered(found: pa.Table, classed: pa.Table) -> pa.Table:
+    """A bucket's words with their classes and all that was found of them."""
+    widths = c.unpacked(found.column("widths"), np.uint8)
+    word, place = np.unique(c.unpacked(found.column("words"), np.uint64), return_inverse=True)
+    key = np.repeat(place, widths) * 256 + c.unpacked(found.column("codes"), np.uint8)
+    order = np.argsort(key, kind="stable")
+    at = c.runs(key[order])
+    key = key[order][at]
+    counts = c.unpacked(found.column("counts"), np.uint32)[order].astype(np.int64)
+    counts = np.add.reduceat(counts, at) if len(at) else counts
+    widths = np.bincount(key // 256, minlength=len(word))
+    own = c.unpacked(classed.column("classes"), np.uint8)[np.searchsorted(c.unpacked(classed.column("words"), np.uint64), word)]
+    rows = [
+        {
+            "owner": found.column("owner")[0].as_py(),
+            "words": word.tobytes(),
+            "classes": own.tobytes(),
+            "widths": widths.astype(np.uint8).tobytes(),
+            "codes": (key % 256).astype(np.uint8).tobytes(),
+            "counts": counts.tobytes(),
+        }
+    ] if len(word) else []
+    return pa.Table.from_pylist(rows, schema=_EVIDENCE)
+
+
+def evidence(chunks: DataFrame, classed: DataFrame, n_buckets: int, classes: int) -> DataFrame:
+    """Every word's counts to and from classes, one row a bucket."""
+    told = replies(chunks, classed, n_buckets, False)
+    chunks = chunks.select("chunk", "held", "sizes", "words", "tokens")
+    found = chunks.groupBy("chunk").cogroup(told.groupBy("chunk")).applyInArrow(_found(n_buckets, classes), FOUND)
+    return found.groupBy("owner").cogroup(classed.groupBy("owner")).applyInArrow(_gathered, EVIDENCE)
+
+
+def _read(row: dict) -> tuple[np.ndarray, ...]:
+    """(classes of words, word place of each entry, codes, counts) of an evidence row."""
+    own, widths = np.frombuffer(row["classes"], np.uint8).astype(np.int64), np.frombuffer(row["widths"], np.uint8)
+    codes, counts = np.frombuffer(row["codes"], np.uint8).astype(np.int64), np.frombuffer(row["counts"], np.int64)
+    return own, np.repeat(np.arange(len(own)), widths), codes, counts
+
+
+def _times(word: np.ndarray, codes: np.ndarray, counts: np.ndarray, n_words: int, classes: int) -> np.ndarray:
+    """How often each word stands in training texts: as often as something precedes it."""
+    return np.bincount(word, weights=counts * (codes >= classes), minlength=n_words).astype(np.int64)
+
+
+def _cells(classes: int):
+    """Class bigrams; then the classes that follow words seen once; then the distinct words of each class."""
+
+    def f(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = np.zeros((classes + 2) * classes, np.int64)
+        for batch in batches:
+            for row in batch.to_pylist():
+                own, word, codes, counts = _read(row)
+                after = codes < classes
+                once = after & (_times(word, codes, counts, len(own), classes) == 1)[word]
+                for at, cell in ((after, own[word[after]] * classes + codes[after]), (once, classes * classes + codes[once])):
+                    total += np.bincount(cell, weights=counts[at], minlength=len(total)).astype(np.int64)
+                total += np.bincount((classes + 1) * classes + own, minlength=len(total))
+        at = np.flatnonzero(total)
+        yield pa.RecordBatch.from_arrays([pa.array(at.astype(np.int32)), pa.array(total[at])], schema=_CELLS)
+
+    return f
+
+
+def class_table(found: DataFrame, classes: int) -> np.ndarray:
+    """Rows: classes that follow each class; classes that follow words seen once; distinct words."""
+    table = np.zeros((classes + 2) * classes)
+    cells = found.select("classes", "widths", "codes", "counts").mapInArrow(_cells(classes), "cell int, count long")
+    for r in cells.groupBy("cell").agg(F.sum("count").alias("count")).collect():
+        table[r.cell] = r["count"]
+    return table.reshape(classes + 2, classes)
+
+
+def likelihood(bigrams: np.ndarray) -> float:
+    """Of the class bigrams, in nats a token; what does not depend on classes left out."""
+    parts = _xlogx(bigrams).sum() - _xlogx(bigrams.sum(axis=0)).sum() - _xlogx(bigrams.sum(axis=1)).sum()
+    return parts / max(bigrams.sum(), 1)
+
+
+def best_classes(own: np.ndarray, word: np.ndarray, codes: np.ndarray, counts: np.ndarray, bigrams: np.ndarray) -> np.ndarray:
+    """The class that each word raises the likelihood most in, the others staying where they are.
+
+    own, word, codes, counts: as `_read` gives them. A cell of the table counts as gaining what the
+    word brings, or for the word's own class as losing it.
+    """
+    classes = len(bigrams)
+    # after a word: bigrams[class of the word, next]; before it: bigrams[class before, class of the word]
+    sides = np.concatenate((bigrams.T, bigrams))
+    sums = np.stack((bigrams.sum(axis=1), bigrams.sum(axis=0)))
+    sides_x, sums_x = _xlogx(sides), _xlogx(sums)
+    best = own.copy()
+    edges = np.searchsorted(word, np.arange(len(own) + 1))
+    first = 0
+    while first < len(own):
+        last = max(first + 1, int(np.searchsorted(edges, edges[first] + TRIPLES, side="right")) - 1)
+        span = slice(edges[first], edges[last])
+        here = own[first:last]
+        n, code, who = counts[span, None].astype(float), codes[span], word[span] - first
+        home = here[who]
+        gain = _xlogx(sides[code] + n) - sides_x[code]
+        rows = np.arange(len(code))
+        gain[rows, home] = sides_x[code, home] - _xlogx(np.maximum(sides[code, home] - n[:, 0], 0))
+        total = np.add.reduceat(gain, edges[first:last] - edges[first], axis=0)
+        rows = np.arange(len(here))
+        for side, mine in ((0, code < classes), (1, code >= classes)):
+            size = np.bincount(who[mine], weights=n[mine, 0], minlength=len(here))
+            change = _xlogx(sums[side] + size[:, None]) - sums_x[side]
+            change[rows, here] = sums_x[side, here] - _xlogx(np.maximum(sums[side, here] - size, 0))
+            total -= change
+        top = total.argmax(axis=1)
+        best[first:last] = np.where(total[rows, top] > total[rows, here] + 1e-9, top, here)
+        first = last
+    return best
+
+
+def _moved(bigrams: np.ndarray):
+    def f(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for row in batch.to_pylist():
+                own, word, codes, counts = _read(row)
+                best = best_classes(own, word, codes, counts, bigrams)
+                times = _times(word, codes, counts, len(own), len(bigrams))
+                yield c.to_batch([{"owner": row["owner"], "words": row["words"], "counts": times.tobytes(), "classes": best.astype(np.uint8).tobytes()}], _CLASSED)
+
+    return f
+
+
+def moved(found: DataFrame, bigrams: np.ndarray) -> DataFrame:
+    """Every word in its best class, by one table of class bigrams."""
+    return found.mapInArrow(_moved(bigrams), CLASSED)
+
+
+@dataclass
+class Model:
+    """What scoring needs besides the words' classes, of a fixed size. Row `classes` of transitions follows words not seen."""
+
+    train_tokens: int
+    types: int
+    transitions: np.ndarray
+    class_tokens: np.ndarray
+    class_types: np.ndarray
+
+    @classmethod
+    def of(cls, table: np.ndarray) -> Model:
+        bigrams, once, types = table[:-2], table[-2], table[-1]
+        tokens = bigrams.sum(axis=0)
+        single = (tokens + ADDED) / (tokens.sum() + ADDED * len(tokens))
+        follow = table[:-1]
+        transitions = (follow + single[None, :]) / (follow.sum(axis=1, keepdims=True) + 1)
+        return cls(int(tokens.sum()), int(types.sum()), transitions, tokens, types)
+
+
+def fit(chunks: DataFrame, n_buckets: int, classes: int = CLASSES, sweeps: int = SWEEPS, rise: float = RISE) -> tuple[Model, DataFrame, list[float]]:
+    """The model, the words' counts and classes, and the likelihood of the assignment before each sweep and at the end."""
+    if not 0 < classes <= 127:
+        raise ValueError("classes must be from 1 to 127")
+    spark = chunks.sparkSession
+    folder = f"{c.checkpoint_dir(spark)}/classes-{uuid.uuid4().hex}"
+
+    def written(frame: DataFrame, name: str) -> DataFrame:
+        frame.write.mode("overwrite").parquet(f"{folder}/{name}")
+        return spark.read.schema(frame.schema).parquet(f"{folder}/{name}")
+
+    vocab = c.stored(vocabulary(chunks, n_buckets))
+    classed = written(first_classes(chunks, vocab, classes), "even")
+    best, history = (None, classed), []
+    for sweep in range(sweeps + 1):
+        found = written(evidence(chunks, classed, n_buckets, classes), "evidence")
+        table = class_table(found, classes)
+        c.release(spark)
+        history.append(likelihood(table[:-2]))
+        before = history[-2] if sweep else -np.inf
+        if history[-1] > before:
+            best = table, classed
+        if history[-1] <= before + rise or sweep == sweeps:
+            break
+        # the assignment before the last is no longer needed: its folder takes the next one
+        classed = written(moved(found, table[:-2]), "even" if sweep % 2 else "odd")
+    return Model.of(best[0]), best[1], history
+
+
+def _scores(model: Model, n_buckets: int):
+    unseen = len(model.class_tokens)
+    inside = DISCOUNT * model.class_types / np.maximum(model.class_tokens, 1)
+    new = model.transitions @ inside
+    whole = model.train_tokens + ADDED * (model.types + 1)
+
+    def f(chunk: pa.Table, replies: pa.Table) -> pa.Table:
+        row = chunk.to_pylist()[0]
+        words, sizes = np.frombuffer(row["words"], np.uint64), np.frombuffer(row["sizes"], np.int32)
+        own = _answer(words, replies, "classes", np.uint8, n_buckets)
+        counts = _answer(words, replies, "counts", np.int64, n_buckets)
+        own = np.where(counts > 0, own, unseen).astype(np.int64)
+        base = (counts + ADDED) / whole
+        place = np.frombuffer(row["tokens"], np.int32)
+        after = own[place]
+        before = np.concatenate((own[[np.searchsorted(words, END)]], after[:-1]))
+        if model.train_tokens:
+            known = np.minimum(own, unseen - 1)
+            share = (counts - DISCOUNT) / np.maximum(model.class_tokens[known], 1)
+            chance = np.where(after < unseen, model.transitions[before, known[place]] * share[place], new[before])
+            chance = MIX * chance + (1 - MIX) * base[place]
+        else:
+            chance = base[place]
+        text = np.repeat(np.arange(len(sizes)), sizes)
+        score = np.bincount(text, weights=np.log10(chance), minlength=len(sizes))
         return pa.table(
             [
-                docs.column("doc_id"),
-                pa.array(held_out(docs.column("doc_id"))),
-                out["n_tokens"],
-                out["n_known"],
-                np.full(docs.num_rows, model.train_tokens),
-                out["base_score"],
-                out["score"],
-                10 ** (-out["score"] / out["n_tokens"]),
+                pa.array(row["doc_ids"], pa.int64()),
+                pa.array(np.frombuffer(row["held"], bool)),
+                sizes.astype(np.int64),
+                np.bincount(text[counts[place] > 0], minlength=len(sizes)),
+                np.full(len(sizes), model.train_tokens),
+                np.bincount(text, weights=np.log10(base)[place], minlength=len(sizes)),
+                score,
+                10 ** (-score / sizes),
             ],
             schema=_RESULT,
         )
@@ -401,11 +651,8 @@ def _scores(model: Model):
 def class_scores(docs: DataFrame, classes: int = CLASSES, sweeps: int = SWEEPS) -> DataFrame:
     """Per document: the counts, base_score, score (log10 probability under the class model) and perplexity."""
     n = c.block_count(docs)
-    texts = c.texts_of(docs)
-    vocab = c.stored(vocabulary(texts, n))
-    model = fit(texts, vocab, classes, sweeps)
-    c.release(docs.sparkSession)
-    base = c.in_blocks(docs, n)
-    asked = c.by_block(base, _asked(n), "owner int, block int, words binary")
-    replies = asked.groupBy("owner").cogroup(vocab.groupBy("owner")).applyInArrow(_replies, "block int, words binary, counts binary")
-    return c.by_block_with(base, replies, _scores(model), RESULT)
+    chunks = c.stored(chunks_of(docs))
+    model, classed, _ = fit(chunks, n, classes, sweeps)
+    told = replies(chunks, classed, n, True)
+    chunks = chunks.drop("endings")
+    return chunks.groupBy("chunk").cogroup(told.groupBy("chunk")).applyInArrow(_scores(model, n), RESULT)
