@@ -522,16 +522,20 @@ def best_classes(own: np.ndarray, word: np.ndarray, codes: np.ndarray, counts: n
         last = max(first + 1, int(np.searchsorted(edges, edges[first] + TRIPLES, side="right")) - 1)
         span = slice(edges[first], edges[last])
         here = own[first:last]
-        n, code, who = counts[span, None].astype(float), codes[span], word[span] - first
+        n, code, who = counts[span], codes[span], word[span] - first
         home = here[who]
-        gain = _xlogx(sides[code] + n) - sides_x[code]
+        # words share most of their codes and counts, which are small: logarithms once for each
+        pair, place = np.unique(n * (2 * classes) + code, return_inverse=True)
+        side = pair % (2 * classes)
+        gain = (_xlogx(sides[side] + (pair // (2 * classes))[:, None]) - sides_x[side])[place]
         rows = np.arange(len(code))
-        gain[rows, home] = sides_x[code, home] - _xlogx(np.maximum(sides[code, home] - n[:, 0], 0))
+        gain[rows, home] = sides_x[code, home] - _xlogx(np.maximum(sides[code, home] - n, 0))
         total = np.add.reduceat(gain, edges[first:last] - edges[first], axis=0)
         rows = np.arange(len(here))
         for side, mine in ((0, code < classes), (1, code >= classes)):
-            size = np.bincount(who[mine], weights=n[mine, 0], minlength=len(here))
-            change = _xlogx(sums[side] + size[:, None]) - sums_x[side]
+            size = np.bincount(who[mine], weights=n[mine], minlength=len(here))
+            sizes, place = np.unique(size, return_inverse=True)
+            change = (_xlogx(sums[side] + sizes[:, None]) - sums_x[side])[place]
             change[rows, here] = sums_x[side, here] - _xlogx(np.maximum(sums[side, here] - size, 0))
             total -= change
         top = total.argmax(axis=1)
