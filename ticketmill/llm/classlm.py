@@ -104,17 +104,25 @@ def tokens(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarra
     return np.insert(hashes, place, END), np.insert(ending, place, ENDINGS), np.insert(text, place, np.arange(n))
 
 
-def _chunk(number: int, ids: list, parts: list[tuple[np.ndarray, ...]]) -> dict:
-    hashes, endings, sizes = (np.concatenate(x) for x in zip(*parts, strict=True))
+def _distinct(hashes: np.ndarray, endings: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The words of a slice, their endings, and the tokens as places among the words."""
     words, first, place = np.unique(hashes, return_index=True, return_inverse=True)
+    return words, endings[first], place.astype(np.int32)
+
+
+def _chunk(number: int, ids: list, parts: list[tuple[np.ndarray, ...]]) -> dict:
+    words, endings, first = _distinct(np.concatenate([x[0] for x in parts]), np.concatenate([x[1] for x in parts]))
+    edges = np.cumsum([0, *(len(x[0]) for x in parts)])
+    place = np.concatenate([first[s : s + len(x[0])][x[2]] for s, x in zip(edges[:-1], parts, strict=True)])
+    sizes = np.concatenate([x[3] for x in parts])
     return {
         "chunk": number,
         "doc_ids": ids,
         "held": held_out(pa.array(ids, pa.int64())).tobytes(),
         "sizes": sizes.astype(np.int32).tobytes(),
         "words": words.tobytes(),
-        "endings": endings[first].astype(np.uint16).tobytes(),
-        "tokens": place.astype(np.int32).tobytes(),
+        "endings": endings.astype(np.uint16).tobytes(),
+        "tokens": place.tobytes(),
     }
 
 
@@ -126,7 +134,7 @@ def _encoded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         doc_ids = batch.column(0).to_pylist()
         for first, end, part, at in c.slices(data, offsets):
             hashes, endings, text = tokens(part, at)
-            parts.append((hashes, endings, np.bincount(text, minlength=end - first)))
+            parts.append((*_distinct(hashes, endings), np.bincount(text, minlength=end - first)))
             ids += doc_ids[first:end]
             size += len(part)
             if size >= CHUNK_BYTES:
