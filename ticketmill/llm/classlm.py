@@ -589,22 +589,27 @@ class Model:
         return cls(int(tokens.sum()), int(types.sum()), transitions, tokens, types)
 
 
+def _written(frame: DataFrame, path: str) -> DataFrame:
+    """The rows written at a path, in place of what it held, and read back; packed numbers are mostly small."""
+    frame.write.mode("overwrite").option("compression", "zstd").parquet(path)
+    return frame.sparkSession.read.schema(frame.schema).parquet(path)
+
+
+def stored_chunks(docs: DataFrame) -> DataFrame:
+    return _written(chunks_of(docs), f"{c.checkpoint_dir(docs.sparkSession)}/chunks-{uuid.uuid4().hex}")
+
+
 def fit(chunks: DataFrame, n_buckets: int, classes: int = CLASSES, sweeps: int = SWEEPS, rise: float = RISE) -> tuple[Model, DataFrame, list[float]]:
     """The model, the words' counts and classes, and the likelihood of the assignment before each sweep and at the end."""
     if not 0 < classes <= 127:
         raise ValueError("classes must be from 1 to 127")
     spark = chunks.sparkSession
     folder = f"{c.checkpoint_dir(spark)}/classes-{uuid.uuid4().hex}"
-
-    def written(frame: DataFrame, name: str) -> DataFrame:
-        frame.write.mode("overwrite").parquet(f"{folder}/{name}")
-        return spark.read.schema(frame.schema).parquet(f"{folder}/{name}")
-
-    vocab = c.stored(vocabulary(chunks, n_buckets))
-    classed = written(first_classes(chunks, vocab, classes), "even")
+    vocab = _written(vocabulary(chunks, n_buckets), f"{folder}/vocabulary")
+    classed = _written(first_classes(chunks, vocab, classes), f"{folder}/even")
     best, history = (None, classed), []
     for sweep in range(sweeps + 1):
-        found = written(evidence(chunks, classed, n_buckets, classes), "evidence")
+        found = _written(evidence(chunks, classed, n_buckets, classes), f"{folder}/evidence")
         table = class_table(found, classes)
         c.release(spark)
         history.append(likelihood(table[:-2]))
@@ -614,7 +619,7 @@ def fit(chunks: DataFrame, n_buckets: int, classes: int = CLASSES, sweeps: int =
         if history[-1] <= before + rise or sweep == sweeps:
             break
         # the assignment before the last is no longer needed: its folder takes the next one
-        classed = written(moved(found, table[:-2]), "even" if sweep % 2 else "odd")
+        classed = _written(moved(found, table[:-2]), f"{folder}/even" if sweep % 2 else f"{folder}/odd")
     return Model.of(best[0]), best[1], history
 
 
@@ -663,7 +668,7 @@ def _scores(model: Model, n_buckets: int):
 def class_scores(docs: DataFrame, classes: int = CLASSES, sweeps: int = SWEEPS) -> DataFrame:
     """Per document: the counts, base_score, score (log10 probability under the class model) and perplexity."""
     n = c.block_count(docs)
-    chunks = c.stored(chunks_of(docs))
+    chunks = stored_chunks(docs)
     model, classed, _ = fit(chunks, n, classes, sweeps)
     told = replies(chunks, classed, n, True)
     chunks = chunks.drop("endings")
