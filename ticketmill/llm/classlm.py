@@ -12,7 +12,7 @@ tables of classes alone.
 A token's probability is that of its class after the class before, times that of the word in its
 class; the last is discounted, and what the discount frees in all classes is the probability of a
 word not seen. After such a word, classes follow as they do after words seen once. It is mixed with
-a unigram share (MIX). All words and the word not seen add up to one.
+a unigram share (MIX). All words and the word not seen add up to one if no class is empty.
 
 Texts are tokenised once, into stored chunks of about CHUNK_BYTES: their distinct words, and the
 tokens as places among these. A chunk asks the buckets for what belongs to its words, so the
