@@ -1,3 +1,5 @@
+from pathlib import Path
+
 import numpy as np
 import pandas as pd
 import pytest
@@ -109,6 +111,25 @@ def test_many_near_copies_are_verified_in_parts(spark, pairs, monkeypatch):
     assert sorted(map(tuple, got)) == expected
 
 
+def shuffle_files(spark):
+    env = spark.sparkContext._jvm.org.apache.spark.SparkEnv.get()
+    folders = env.blockManager().diskBlockManager().localDirs()
+    return {x: x.stat().st_size for folder in folders for x in Path(folder.getPath()).rglob("shuffle_*.data")}
+
+
+def test_steps_of_lines_leave_no_shuffle_files(spark):
+    rng = np.random.default_rng(5)
+    texts = [" ".join(f"w{x}" for x in rng.integers(0, 300, 400)) + "\none line of six common words" for _ in range(100)]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    cleanup = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    before, setting = shuffle_files(spark), spark.conf.get(cleanup)
+    kept = linededup.dedup_lines(docs)
+    left = sum(size for x, size in shuffle_files(spark).items() if x not in before)
+    assert left < sum(map(len, texts)) / 20
+    assert spark.conf.get(cleanup) == setting
+    assert kept.filter("n_removed = 1").count() == 99
+
+
 def test_simhash_equals_brute_force(odd):
     got = simhash.simhash_dedup(odd).collect()
     assert by_order(got) == by_order(brute.simhash(rows_of(odd)))

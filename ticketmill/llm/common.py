@@ -15,6 +15,7 @@ import tempfile
 import time
 import uuid
 from collections.abc import Callable, Iterator
+from contextlib import contextmanager
 
 import numpy as np
 import pyarrow as pa
@@ -23,6 +24,7 @@ from pyspark.sql import functions as F
 
 BLOCK_BYTES = 16 << 20
 SLICE_BYTES = 1 << 17  # arrays of 8 bytes for each byte of a slice stay in a core's cache
+CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
 
 def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -50,6 +52,21 @@ def release(spark: SparkSession) -> None:
     spark.sparkContext._jvm.System.gc()
 
 
+@contextmanager
+def shuffles_dropped(spark: SparkSession) -> Iterator[None]:
+    """What is planned and run in here removes its shuffle files at its end; else they lie until the driver collects
+    its garbage, and those of the last execution until there is another one."""
+    before = spark.conf.get(CLEANUP, None)
+    spark.conf.set(CLEANUP, "true")
+    try:
+        yield
+    finally:
+        if before is None:
+            spark.conf.unset(CLEANUP)
+        else:
+            spark.conf.set(CLEANUP, before)
+
+
 def stored(frame: DataFrame) -> DataFrame:
     """The rows written once under the checkpoint folder and read back, which cuts the lineage."""
     spark = frame.sparkSession

@@ -101,7 +101,8 @@ def _sum_counts(table: pa.Table) -> pa.Table:
 
 def word_counts(texts: DataFrame) -> np.ndarray:
     """The fixed-size table of word counts over all lines (4 MB, whatever the corpus)."""
-    rows = texts.mapInArrow(_word_counts, "part int, counts binary").groupBy("part").applyInArrow(_sum_counts, "part int, counts binary").collect()
+    with c.shuffles_dropped(texts.sparkSession):
+        rows = texts.mapInArrow(_word_counts, "part int, counts binary").groupBy("part").applyInArrow(_sum_counts, "part int, counts binary").collect()
     out = np.zeros(COUNTERS, np.int32)
     for r in rows:
         out[r.part * (COUNTERS // 16) : (r.part + 1) * (COUNTERS // 16)] = np.frombuffer(r.counts, np.int32)
@@ -374,6 +375,12 @@ def _from_six_bytes(sets: pa.Table) -> tuple[np.ndarray, np.ndarray]:
     return sizes, wide.view(np.uint64)[:, 0]
 
 
+def _stored(frame: DataFrame) -> DataFrame:
+    """A finished step, whose shuffle files (the entries, the texts in blocks) would else lie beside those of the next."""
+    with c.shuffles_dropped(frame.sparkSession):
+        return c.stored(frame)
+
+
 LINKS = "key long, links long, doc_id long, line int, mark long"
 
 
@@ -451,11 +458,11 @@ def dedup_lines(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     texts = docs.select("doc_id", "text", mark)
     counts = word_counts(texts)
     entries = texts.mapInArrow(_pack(counts, threshold, n, FREQUENT), PACKED).groupBy("owner")
-    found = c.stored(entries.applyInArrow(_bucket_pairs(threshold, n), PACKED))
-    pairs = c.stored(candidate_pairs(found, n, threshold))
+    found = _stored(entries.applyInArrow(_bucket_pairs(threshold, n), PACKED))
+    pairs = _stored(candidate_pairs(found, n, threshold))
     lines = found.filter("kind = 1").mapInArrow(_unpack_lines, LINES)
     place = F.struct("doc_id", "line", "mark")
-    firsts = c.stored(lines.groupBy("key").agg(F.min(place).alias("first"), F.count("*").alias("times")))
+    firsts = _stored(lines.groupBy("key").agg(F.min(place).alias("first"), F.count("*").alias("times")))
 
     block = F.pmod(F.xxhash64("doc_id"), F.lit(n)).cast("int").alias("block")
     base = docs.select(*columns, mark, block).repartition(n, "block")
@@ -464,8 +471,7 @@ def dedup_lines(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     asked = pairs.mapInArrow(_keys_of_pairs, "owner long, key long").distinct().join(firsts, "key")
     asked = asked.select("owner", "key", "first.*").select("owner", "key", "doc_id", "mark", "line", block_of)
     sets = c.by_block_with(base, asked, _wanted_sets, SETS)
-    c.release(docs.sparkSession)
-    links = c.stored(pairs.groupBy("owner").cogroup(sets.groupBy("owner")).applyInArrow(_verified(threshold), LINKS))
+    links = _stored(pairs.groupBy("owner").cogroup(sets.groupBy("owner")).applyInArrow(_verified(threshold), LINKS))
 
     partner = links.groupBy(F.col("key").alias("a")).agg(F.min(place).alias("partner"), F.sum("links").alias("links"))
     earliest = firsts.filter("times > 1").select("key", "first").join(partner, F.col("key") == F.col("a"), "full")
@@ -479,7 +485,6 @@ def dedup_lines(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
         F.min(F.when(F.col("goes"), F.col("earliest.doc_id"))).alias("first_doc"),
     )
     gone = gone.select("doc_id", "mark", "lines", "n_links", "first_doc", block_of)
-    c.release(docs.sparkSession)
     schema = ", ".join([f"`{x}` {t}" for x, t in docs.select(*columns).dtypes] + [f"{x} long" for x in ADDED])
     return c.by_block_with(base, gone, _kept(columns), schema).withColumnsRenamed({y: x for x, y in own.items()})
 
