@@ -30,3 +30,8 @@ def numbered(rows: DataFrame, name: str = "position") -> DataFrame:
     offsets = spark.createDataFrame([(part, n) for (part, _), n in zip(sizes, before, strict=False)], "_part INT, _before BIGINT")
     whole = placed.join(offsets, "_part")
     return whole.withColumn(name, F.col("_at") + F.col("_before") + 1).drop("_at", "_part", "_before")
+
+
+def numbered_first(rows: DataFrame, name: str = "position") -> DataFrame:
+    """As ``numbered``, for the first rows of an order (``orderBy`` and ``limit``), which Spark returns in one partition."""
+    return rows.coalesce(1).withColumn(name, F.monotonically_increasing_id() + 1)
